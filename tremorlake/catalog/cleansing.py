@@ -186,7 +186,7 @@ SELECT CASE time % 5 WHEN 0 THEN 'no id' WHEN 1 THEN 'no time' ELSE 'no geometry
        count(CASE WHEN time % 5 > 0 THEN mag END)
 FROM raw WHERE time % 5 < 3 GROUP BY 1"""))
 def malformed(spark, sf_dir):
-    """Lines as text: cut off, without a time, without geometry, with a wrongly typed
+    """Lines as text: cut off early, without a time, without geometry, with a wrongly typed
     magnitude, or sound."""
     path = workspace(spark, "b8")
     millis = F.col("properties.time")
@@ -196,7 +196,7 @@ def malformed(spark, sf_dir):
     rows = rows.withColumn("geometry", F.when(F.col("kind") != 2, F.col("geometry")))
     line = F.to_json(F.struct("id", "properties", "geometry"))
     line = (
-        F.when(F.col("kind") == 0, F.substring(line, 1, 40))
+        F.when(F.col("kind") == 0, F.substring(line, 1, 8))
         .when(F.col("kind") == 3, F.regexp_replace(line, r'"mag":[0-9.]+', '"mag":"bad"'))
         .otherwise(line)
     )
@@ -213,7 +213,7 @@ def malformed(spark, sf_dir):
 
 
 @query("b9_batch_audit", oracle("""
-SELECT poll, count(*) AS polled, count(DISTINCT id) AS distinct_ids,
+SELECT CAST(poll AS INTEGER) AS poll, count(*) AS polled, count(DISTINCT id) AS distinct_ids,
        count(DISTINCT id) FILTER (poll = p) AS new
 FROM polled GROUP BY poll""", _POLLS))
 def audit(spark, sf_dir):

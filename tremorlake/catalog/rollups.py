@@ -12,6 +12,11 @@ _MAX = "max(magnitude) AS max_magnitude"
 _TJ = "round(sum(energy) / 1e12, 3) AS total_energy_tj"
 
 
+def _half_up(value, digits):
+    """Round as decimal digits read, the way Spark rounds a double: 2.575 gives 2.58."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def _window_sql(unit, fmt="%Y-%m-%d %H:%M:%S"):
     return f"strftime(CAST(date_trunc('{unit}', event_time) AS TIMESTAMP), '{fmt}')"
 
@@ -34,7 +39,7 @@ _activity("e3_monthly_activity", "month")
 
 @query("e1b_hourly_activity_warehouse", oracle(f"""
 SELECT {_window_sql('hour')} AS hour_window, count(*) AS total_events,
-       round(CAST(sum(mag10) AS DOUBLE) / count(*) / 10, 2) AS avg_magnitude, {_MAX}, {_TJ}
+       {_half_up("avg(magnitude)", 2)} AS avg_magnitude, {_MAX}, {_TJ}
 FROM quakes GROUP BY 1"""))
 def hourly_warehouse(spark, sf_dir):
     warehouse.register(quakes(spark, sf_dir))
@@ -61,9 +66,9 @@ def scorecard(spark, sf_dir):
     return rounded(rows, avg_magnitude=6, avg_depth_km=6)
 
 
-@query("e5b_regional_scorecard_warehouse", oracle("""
-SELECT region, count(*) AS event_count, round(avg(magnitude), 2) AS avg_magnitude,
-       max(magnitude) AS max_magnitude, round(avg(depth_km), 1) AS avg_depth_km,
+@query("e5b_regional_scorecard_warehouse", oracle(f"""
+SELECT region, count(*) AS event_count, {_half_up("avg(magnitude)", 2)} AS avg_magnitude,
+       max(magnitude) AS max_magnitude, {_half_up("avg(depth_km)", 1)} AS avg_depth_km,
        CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_warning_count,
        CAST(sum(felt_reports) AS BIGINT) AS total_felt_reports,
        round(sum(energy) / 1e12, 3) AS cumulative_energy_tj
@@ -84,11 +89,11 @@ def depth(spark, sf_dir):
     return rounded(rollups.depth_strata(quakes(spark, sf_dir)), avg_magnitude=6)
 
 
-@query("e6b_depth_strata_warehouse", oracle("""
+@query("e6b_depth_strata_warehouse", oracle(f"""
 SELECT CASE WHEN depth_km < 35 THEN 'Shallow (0-35 km) - High Crustal Risk' WHEN depth_km <= 150
             THEN 'Intermediate (35-150 km) - Subduction Zone'
             ELSE 'Deep (150-700 km) - Mantle Transition' END AS depth_classification,
-       count(*) AS event_count, round(avg(magnitude), 2) AS avg_magnitude,
+       count(*) AS event_count, {_half_up("avg(magnitude)", 2)} AS avg_magnitude,
        max(magnitude) AS max_magnitude
 FROM quakes GROUP BY 1"""))
 def depth_warehouse(spark, sf_dir):

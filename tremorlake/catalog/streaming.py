@@ -11,16 +11,20 @@ from ..session import workspace
 from ..sources import readers, writers
 from ..sources.events_view import features
 from ..streaming import ingest
-from .registry import as_text, oracle, query, rounded, terajoules
+from .registry import as_text, once, oracle, query, rounded, terajoules
 
 LANDED_AT = "2024-02-01 05:06:07"
 
 
 def _feed(spark, sf_dir, form="documents"):
-    path = workspace(spark, "feed")
-    for delivery in (LANDED_AT, "2024-02-01 06:00:00"):
-        writers.land_features(features(spark, sf_dir), path, delivery, form)
-    return ingest.stream_features(spark, path, form=form)
+    """The feed as a stream; the documents are landed once per application."""
+    def land():
+        path = workspace(spark, "feed")
+        for delivery in (LANDED_AT, "2024-02-01 06:00:00"):
+            writers.land_features(features(spark, sf_dir), path, delivery, form)
+        return path
+
+    return ingest.stream_features(spark, once(spark, ("feed", sf_dir, form), land), form=form)
 
 
 def _folders(spark, name):

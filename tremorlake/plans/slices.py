@@ -38,6 +38,8 @@ def cut_points(df, key, slices):
 
 def with_slice(df, key, cuts, name=SLICE):
     """Add the slice number; it grows with ``key``."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
     inf = float("inf")
     assign = Bucketizer(
         splits=[-inf, *cuts, inf], inputCol="_key", outputCol="_bucket", handleInvalid="keep"

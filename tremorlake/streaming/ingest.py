@@ -5,9 +5,12 @@ shared storage: offsets, state and sink commits live there, so a query that lost
 or its driver goes on where it was and writes each event once.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.clock import event_time
+from ..functions.measures import seismic_energy
 from ..operators.cleansing import drop_incomplete, flatten
 from ..operators.filters import dispatch
 from ..operators.serving import append_load, serving_rows
@@ -49,8 +52,9 @@ def _one_per_batch(features):
     """
     def keep_first(batches):
         for batch in batches:
-            repeated = batch.column("id").to_pandas().duplicated()
-            yield batch.filter((~repeated).to_numpy()) if repeated.any() else batch
+            codes = batch.column("id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.unique(codes, return_index=True)[1]
+            yield batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
 
     columns = features.select(*FEATURE.fieldNames())
     return columns.mapInArrow(keep_first, FEATURE)
@@ -95,10 +99,15 @@ def _append_batch(path, column):
 
 def hourly_windows(features, slide=None, horizon=HORIZON):
     """Events, mean and peak magnitude and energy per hour (or sliding hour) of the stream."""
-    flat = flatten(stream_dedup(features, horizon).drop("event_time"))
+    # The dedup's own event_time carries the watermark on to the windows.
+    new = stream_dedup(features, horizon).select(
+        "event_time",
+        F.col("properties.mag").alias("magnitude"),
+        seismic_energy("properties.mag").alias("seismic_energy_joules"),
+    )
     span = F.window("event_time", "1 hour", slide) if slide else F.window("event_time", "1 hour")
     return (
-        flat.withWatermark("event_time", horizon).groupBy(span.alias("w"))
+        new.groupBy(span.alias("w"))
         .agg(
             F.count(F.lit(1)).alias("total_events"),
             F.avg("magnitude").alias("avg_magnitude"),
