@@ -42,6 +42,21 @@ def seismic_energy(magnitude):
     return F.when(joules < F.lit(float("inf")), joules).otherwise(F.lit(0.0))
 
 
+def energy_sql(magnitude):
+    """``seismic_energy`` as SQL text."""
+    joules = f"pow(10D, {ENERGY_INTERCEPT}D + {ENERGY_SLOPE}D * try_cast({magnitude} AS DOUBLE))"
+    return f"CASE WHEN {joules} < double('Infinity') THEN {joules} ELSE 0D END"
+
+
+def depth_sql(depth_km, labels=DEPTH_SHORT):
+    """``depth_class`` as SQL text."""
+    shallow, middle, deep = labels
+    return (
+        f"CASE WHEN {depth_km} < {SHALLOW_BELOW}D THEN '{shallow}' "
+        f"WHEN {depth_km} <= {INTERMEDIATE_UP_TO}D THEN '{middle}' ELSE '{deep}' END"
+    )
+
+
 def depth_class(depth_km, labels=DEPTH_SHORT):
     """One of three depth layers; an unknown depth falls to the last one."""
     depth = _col(depth_km)

@@ -73,7 +73,8 @@ def _token_pattern(token):
 
 def classify_region(place, ruleset=FULL17):
     """Column with the region of ``place``; null or unmatched text is GLOBAL_OTHER."""
-    place = F.col(place) if isinstance(place, str) else place
+    if isinstance(place, str):
+        return F.expr(region_sql(place, ruleset))
     text = F.upper(place) if ruleset.ignore_case else place
     region = F
     for rule in ruleset.rules:

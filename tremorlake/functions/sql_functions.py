@@ -1,29 +1,18 @@
 """The scalar expressions as SQL functions for ``spark.sql`` users."""
 
 from .keys import LAST_MILLI, SEPARATOR
-from .measures import (
-    DEPTH_LONG, DEPTH_SHORT, ENERGY_INTERCEPT, ENERGY_SLOPE, INTERMEDIATE_UP_TO, SHALLOW_BELOW,
-)
+from .measures import DEPTH_LONG, depth_sql, energy_sql
 from .regions import DOCUMENT6, FULL17, WAREHOUSE12, region_sql
 
 
-def _depth_sql(labels):
-    return (
-        f"CASE WHEN d < {SHALLOW_BELOW}D THEN '{labels[0]}' "
-        f"WHEN d <= {INTERMEDIATE_UP_TO}D THEN '{labels[1]}' ELSE '{labels[2]}' END"
-    )
-
-
 def definitions():
-    energy = f"pow(10D, {ENERGY_INTERCEPT}D + {ENERGY_SLOPE}D * m)"
     return {
         "classify_region(place STRING) RETURNS STRING": region_sql("place", FULL17),
         "classify_region_warehouse(place STRING) RETURNS STRING": region_sql("place", WAREHOUSE12),
         "classify_region_document(place STRING) RETURNS STRING": region_sql("place", DOCUMENT6),
-        "seismic_energy(m DOUBLE) RETURNS DOUBLE":
-            f"CASE WHEN {energy} < double('Infinity') THEN {energy} ELSE 0D END",
-        "depth_class(d DOUBLE) RETURNS STRING": _depth_sql(DEPTH_SHORT),
-        "depth_class_long(d DOUBLE) RETURNS STRING": _depth_sql(DEPTH_LONG),
+        "seismic_energy(m DOUBLE) RETURNS DOUBLE": energy_sql("m"),
+        "depth_class(d DOUBLE) RETURNS STRING": depth_sql("d"),
+        "depth_class_long(d DOUBLE) RETURNS STRING": depth_sql("d", DEPTH_LONG),
         "seismic_row_key(region STRING, ms BIGINT) RETURNS STRING":
             f"format_string('%s{SEPARATOR}%019d', region, {LAST_MILLI}L - ms)",
     }

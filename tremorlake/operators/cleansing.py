@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.clock import event_date, event_time
-from ..functions.measures import seismic_energy
-from ..functions.regions import FULL17, WAREHOUSE12, classify_region
+from ..functions.measures import energy_sql
+from ..functions.regions import FULL17, WAREHOUSE12, region_sql
 from ..schemas import CORRUPT
 
 SEEN_LIMIT = 50_000  # fixed value
@@ -96,54 +95,54 @@ def quality_filter(quakes, min_magnitude=1.0):
 
 
 POINT = ("longitude", "latitude", "depth_km")  # order of a coordinate array
+NESTED_POINT = tuple(f"get(geometry.coordinates, {i})" for i in range(3))
+MAP_POINT = tuple(f"get(from_json(geometry['coordinates'], 'array<double>'), {i})" for i in range(3))
 
 
-def _text_or(column, default, empty_too):
-    return F.coalesce(F.nullif(column, F.lit("")) if empty_too else column, F.lit(default))
-
-
-def _zero(column):
-    return F.coalesce(column, F.lit(0))
-
-
-def cleansed_columns(event_id, prop, point):
-    """The ten columns of the cleansing step, as found."""
+def cleansed_columns(prop="properties.{}".format, point=NESTED_POINT):
+    """The ten columns of the cleansing step, as found, as SQL texts."""
     return [
-        event_id.alias("event_id"),
-        prop("mag").alias("magnitude"),
-        prop("place").alias("place"),
-        prop("time").alias("epoch_millis"),
-        *[value.alias(name) for name, value in zip(POINT, point)],
-        prop("felt").alias("felt_reports"),
-        prop("alert").alias("alert_level"),
-        prop("tsunami").alias("tsunami_flag"),
+        "id AS event_id",
+        f"{prop('mag')} AS magnitude",
+        f"{prop('place')} AS place",
+        f"{prop('time')} AS epoch_millis",
+        *[f"{value} AS {name}" for name, value in zip(POINT, point)],
+        f"{prop('felt')} AS felt_reports",
+        f"{prop('alert')} AS alert_level",
+        f"{prop('tsunami')} AS tsunami_flag",
     ]
 
 
-def processed_columns(event_id, prop, point, full=True):
-    """The sixteen processed columns.
+def processed_columns(prop="properties.{}".format, point=NESTED_POINT, full=True):
+    """The sixteen processed columns as SQL texts.
 
-    ``prop`` gives the column of a property by name, ``point`` the three coordinates.
+    ``prop`` gives the text of a property by name, ``point`` the three coordinates.
     ``full`` defaults missing coordinates and empty texts and uses all seventeen region
     rules; otherwise coordinates stay null and twelve rules apply.
     """
-    if full:
-        point = [F.coalesce(value, F.lit(0.0)) for value in point]
+    def text(name, default):
+        value = prop(name)
+        return f"coalesce(nullif({value}, ''), '{default}')" if full else f"coalesce({value}, '{default}')"
+
+    instant = f"timestamp_millis({prop('time')})"
     return [
-        event_id.alias("event_id"),
-        prop("mag").alias("magnitude"),
-        prop("place").alias("place"),
-        classify_region(prop("place"), FULL17 if full else WAREHOUSE12).alias("region"),
-        event_time(prop("time")).alias("event_time"),
-        prop("time").alias("epoch_millis"),
-        *[value.alias(name) for name, value in zip(POINT, point)],
-        _zero(prop("felt")).alias("felt_reports"),
-        _text_or(prop("alert"), NO_ALERT, full).alias("alert_level"),
-        _zero(prop("tsunami")).alias("tsunami_flag"),
-        _zero(prop("sig")).alias("significance"),
-        _text_or(prop("magType"), NO_TYPE, full).alias("magnitude_type"),
-        seismic_energy(prop("mag")).alias("seismic_energy_joules"),
-        event_date(prop("time")).alias("dt"),
+        "id AS event_id",
+        f"{prop('mag')} AS magnitude",
+        f"{prop('place')} AS place",
+        f"{region_sql(prop('place'), FULL17 if full else WAREHOUSE12)} AS region",
+        f"{instant} AS event_time",
+        f"{prop('time')} AS epoch_millis",
+        *[
+            f"coalesce({value}, 0D) AS {name}" if full else f"{value} AS {name}"
+            for name, value in zip(POINT, point)
+        ],
+        f"coalesce({prop('felt')}, 0) AS felt_reports",
+        f"{text('alert', NO_ALERT)} AS alert_level",
+        f"coalesce({prop('tsunami')}, 0) AS tsunami_flag",
+        f"coalesce({prop('sig')}, 0) AS significance",
+        f"{text('magType', NO_TYPE)} AS magnitude_type",
+        f"{energy_sql(prop('mag'))} AS seismic_energy_joules",
+        f"date_format({instant}, 'yyyy-MM-dd') AS dt",
     ]
 
 
@@ -154,29 +153,22 @@ def flatten(features, flavour="full"):
     ``warehouse``: the same columns with the twelve-rule regions; coordinates stay null.
     ``cleansed``: ten columns as found, for the quality filter and the text sink.
     """
-    def prop(name):
-        return F.col(f"properties.{name}")
-
-    nested = (F.col("id"), prop, [F.get("geometry.coordinates", F.lit(i)) for i in range(3)])
     if flavour == "cleansed":
-        return features.select(*cleansed_columns(*nested))
+        return features.selectExpr(*cleansed_columns())
     if flavour not in ("full", "warehouse"):
         raise ValueError(f"unknown flavour {flavour!r}")
-    return features.select(*processed_columns(*nested, full=flavour == "full"))
+    return features.selectExpr(*processed_columns(full=flavour == "full"))
 
 
 def flatten_maps(features):
     """The cleansed columns from untyped features (``properties`` and ``geometry`` as
     string maps): each entry is looked up by name and cast; what cannot be cast is null."""
-    kinds = {"mag": "double", "time": "bigint", "felt": "int", "tsunami": "int"}
+    kinds = {"mag": "DOUBLE", "time": "BIGINT", "felt": "INT", "tsunami": "INT"}
 
-    def prop(name):
-        return F.col("properties").getItem(name).try_cast(kinds.get(name, "string"))
+    def entry(name):
+        return f"try_cast(properties['{name}'] AS {kinds.get(name, 'STRING')})"
 
-    point = F.from_json(F.col("geometry").getItem("coordinates"), "array<double>")
-    return features.select(
-        *cleansed_columns(F.col("id"), prop, [F.get(point, F.lit(i)) for i in range(3)])
-    )
+    return features.selectExpr(*cleansed_columns(entry, MAP_POINT))
 
 
 def process(features):

@@ -4,7 +4,7 @@ Gives the queries real input at every scale factor: each row of ``events`` becom
 feature; magnitudes keep the exponential spread of the values.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cleansing import POINT, processed_columns
 from ..schemas import PROPERTIES
@@ -37,56 +37,62 @@ PLACES = (
 # Alert level by event type; any other type has none.
 ALERTS = {"error": "red", "purchase": "green", "signup": "yellow", "view": "orange"}
 
+EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+
 
 def events(spark, sf_dir):
-    return settle(spark).read.parquet(f"{sf_dir}/events.parquet")
-
-
-def _raw(events_df):
-    """Flat raw columns: one per property or coordinate the table can give."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    mag10 = F.lit(20) + F.floor(F.col("value") / 8)
-    millis = F.unix_millis(F.col("ts").cast("timestamp"))
-    places = F.array(*[F.lit(p).cast("string") for p in PLACES])
-    alert = F.lit(None).cast("string")
-    for kind, level in ALERTS.items():
-        alert = F.when(F.col("event_type") == kind, level).otherwise(alert)
-
-    def spread(factor, size, shift):
-        return F.pmod(F.col("event_id") * factor, F.lit(size)).cast("double") / 10 - shift
-
-    return events_df.select(
-        F.format_string("q%08d", F.col("event_id")).alias("id"),
-        (mag10 / F.lit(10.0)).alias("mag"),
-        F.get(places, F.pmod("user_id", F.lit(len(PLACES))).cast("int")).alias("place"),
-        millis.alias("time"),
-        (millis + k * 1000).alias("updated"),
-        F.when(F.col("event_type") != "view", k).alias("felt"),
-        alert.alias("alert"),
-        F.when(k % 17 == 0, 1).otherwise(0).alias("tsunami"),
-        (mag10 * 10).cast("int").alias("sig"),
-        F.when(F.col("event_type") != "click", "mww").alias("magType"),
-        F.lit("earthquake").alias("type"),
-        spread(37, 3600, 180).alias("longitude"),
-        spread(53, 1400, 60).alias("latitude"),
-        spread(7919, 7000, 0).alias("depth_km"),
-    )
+    return settle(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def _sql(value):
+    return "CAST(NULL AS STRING)" if value is None else f"'{value}'"
+
+
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
+_MAG10 = "(20 + floor(value / 8))"
+_MILLIS = "unix_millis(CAST(ts AS TIMESTAMP))"
+_ALERT = " ".join(f"WHEN '{kind}' THEN '{level}'" for kind, level in ALERTS.items())
+
+# Flat raw columns: one per property or coordinate the table can give.
+_RAW = {
+    "id": "format_string('q%08d', event_id)",
+    "mag": f"{_MAG10} / 10D",
+    "place": f"get(array({', '.join(map(_sql, PLACES))}), CAST(pmod(user_id, {len(PLACES)}) AS INT))",
+    "time": _MILLIS,
+    "updated": f"{_MILLIS} + {_K} * 1000",
+    "felt": f"CASE WHEN event_type <> 'view' THEN {_K} END",
+    "alert": f"CASE event_type {_ALERT} END",
+    "tsunami": f"CASE WHEN {_K} % 17 = 0 THEN 1 ELSE 0 END",
+    "sig": f"CAST({_MAG10} * 10 AS INT)",
+    "magType": "CASE WHEN event_type <> 'click' THEN 'mww' END",
+    "type": "'earthquake'",
+    "longitude": "CAST(pmod(event_id * 37, 3600) AS DOUBLE) / 10 - 180",
+    "latitude": "CAST(pmod(event_id * 53, 1400) AS DOUBLE) / 10 - 60",
+    "depth_km": "CAST(pmod(event_id * 7919, 7000) AS DOUBLE) / 10",
+}
+
+
+def _raw(spark, sf_dir):
+    return events(spark, sf_dir).selectExpr(*[f"{sql} AS {name}" for name, sql in _RAW.items()])
 
 
 def features(spark, sf_dir):
     """One raw feature per event, nested as in the feed; what the table lacks is null."""
-    raw = _raw(events(spark, sf_dir))
-    properties = [
-        F.col(field.name) if field.name in raw.columns
-        else F.lit(None).cast(field.dataType).alias(field.name)
-        for field in PROPERTIES
-    ]
-    return raw.select(
+    properties = ", ".join(
+        (f.name if f.name in _RAW else f"CAST(NULL AS {f.dataType.simpleString()})") + f" AS {f.name}"
+        for f in PROPERTIES
+    )
+    return _raw(spark, sf_dir).selectExpr(
         "id",
-        F.struct(*properties).alias("properties"),
-        F.struct(F.lit("Point").alias("type"), F.array(*POINT).alias("coordinates")).alias(
-            "geometry"
-        ),
+        f"struct({properties}) AS properties",
+        f"struct('Point' AS type, array({', '.join(POINT)}) AS coordinates) AS geometry",
     )
 
 
@@ -95,5 +101,4 @@ def quakes(spark, sf_dir):
 
     Taken from the flat columns, so a query reads only the event columns it needs.
     """
-    raw = _raw(events(spark, sf_dir))
-    return raw.select(*processed_columns(F.col("id"), F.col, [F.col(c) for c in POINT]))
+    return _raw(spark, sf_dir).selectExpr(*processed_columns("{}".format, POINT))
