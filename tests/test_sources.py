@@ -1,11 +1,15 @@
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import feature, feature_frame, plan
 from tremorlake import schemas
+from tremorlake.operators import rollups
 from tremorlake.operators.cleansing import flatten
-from tremorlake.plans.batch import ROLLUPS, run_batch
+from tremorlake.operators.statistics import frequency_magnitude
+from tremorlake.plans import cube
+from tremorlake.plans.batch import run_batch
 from tremorlake.session import workspace
 from tremorlake.sources import footprint, readers, writers
 
@@ -73,7 +77,7 @@ def test_overwrite_replaces_only_given_days(spark, quakes, tmp_path):
 def test_batch_run_and_invariants(spark, features, quakes, tmp_path):
     """Rollups of one input agree on events, felt reports and energy."""
     root = str(tmp_path)
-    run_batch(spark, features.unionByName(features), f"{root}/p", f"{root}/r", f"{root}/s")
+    run_batch(spark, features.unionByName(features), f"{root}/p", f"{root}/c", f"{root}/r", f"{root}/s")
     layout = {
         "hourly_activity": schemas.activity_schema("hour"),
         "daily_activity": schemas.activity_schema("day"),
@@ -82,7 +86,7 @@ def test_batch_run_and_invariants(spark, features, quakes, tmp_path):
         "diurnal_hourly_weekly": schemas.DIURNAL, "frequency_magnitude": schemas.FREQUENCY,
         "pager_tsunami_summary": schemas.PAGER,
     }
-    tables = {n: readers.read_rollup(spark, f"{root}/r/{n}", layout[n]).toPandas() for n in ROLLUPS}
+    tables = {n: readers.read_rollup(spark, f"{root}/r/{n}", layout[n]).toPandas() for n in layout}
     events = quakes.count()
     for name, table in tables.items():
         assert len(glob.glob(f"{root}/r/{name}/part-*.csv")) == 1
@@ -101,6 +105,28 @@ def test_batch_run_and_invariants(spark, features, quakes, tmp_path):
     assert spark.read.schema(schemas.SERVING).parquet(f"{root}/s").count() == events
 
 
+def test_cube_gives_every_rollup(quakes):
+    direct = {
+        "hourly_activity": rollups.activity(quakes, "hour"),
+        "daily_activity": rollups.activity(quakes, "day"),
+        "monthly_activity": rollups.activity(quakes, "month"),
+        "regional_summary": rollups.regional_scorecard(quakes),
+        "depth_summary": rollups.depth_strata(quakes),
+        "diurnal_hourly_weekly": rollups.diurnal(quakes),
+        "frequency_magnitude": frequency_magnitude(quakes),
+        "pager_tsunami_summary": rollups.pager(quakes),
+    }
+    reduced = cube.build(quakes)
+    assert set(direct) == set(cube.ROLLUPS)
+    for name, expected in direct.items():
+        got = cube.ROLLUPS[name][0](reduced)
+        assert got.columns == expected.columns, name
+        key = lambda r: tuple(v for v in r if not isinstance(v, float))
+        for a, b in zip(sorted(got.collect(), key=key), sorted(expected.collect(), key=key), strict=True):
+            assert tuple(a) == pytest.approx(tuple(b)) if name == "frequency_magnitude" else all(
+                x == y or x == pytest.approx(y) for x, y in zip(a, b)), name
+
+
 def test_compaction_keeps_one_copy(spark, features, tmp_path):
     root = str(tmp_path)
     for hour in ("05", "06"):

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import cleansing, rollups
-from ..plans.batch import ROLLUPS
+from ..plans import cube
+from ..plans.batch import write_rollups
 from ..session import workspace
 from ..sources import footprint, readers, writers
 from ..sources.events_view import features, quakes
-from .registry import INPUT_SQL, oracle, query, rounded, terajoules
+from .registry import oracle, query, rounded, terajoules
 
 LANDED_AT = "2024-02-01 05:06:07"
 
@@ -130,6 +131,7 @@ UNION ALL SELECT 'diurnal_hourly_weekly', count(DISTINCT (isodow(event_time), ho
 UNION ALL SELECT 'frequency_magnitude', count(DISTINCT t), count(*) FROM range(50, 84) x(t) JOIN quakes ON mag10 >= t
 UNION ALL SELECT 'pager_tsunami_summary', count(DISTINCT (alert_level, tsunami_flag)), count(*) FROM quakes"""))
 def exports(spark, sf_dir):
+    """All eight rollups, written from one scan and read back."""
     layout = {
         "hourly_activity": schemas.activity_schema("hour"),
         "daily_activity": schemas.activity_schema("day"),
@@ -140,10 +142,10 @@ def exports(spark, sf_dir):
         "frequency_magnitude": schemas.FREQUENCY,
         "pager_tsunami_summary": schemas.PAGER,
     }
-    root, rows = workspace(spark, "a8"), quakes(spark, sf_dir)
+    root = workspace(spark, "a8")
+    write_rollups(quakes(spark, sf_dir), f"{root}/cube", root)
     parts = []
-    for name, (build, order) in ROLLUPS.items():
-        writers.export_rollup(build(rows), f"{root}/{name}", order)
+    for name in layout:
         table = readers.read_rollup(spark, f"{root}/{name}", layout[name])
         count = next(c for c in table.columns if c in ("total_events", "event_count", "cumulative_count"))
         parts.append(table.agg(
@@ -152,6 +154,27 @@ def exports(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("e5a_regional_scorecard_from_cube", oracle("""
+SELECT region, count(*) AS event_count, round(avg(magnitude), 6) AS avg_magnitude,
+       max(magnitude) AS max_magnitude, round(avg(depth_km), 6) AS avg_depth_km,
+       CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_warnings,
+       CAST(sum(felt_reports) AS BIGINT) AS total_felt_reports,
+       round(sum(energy) / 1e12, 3) AS cumulative_energy_tj
+FROM quakes GROUP BY region"""))
+def scorecard_from_cube(spark, sf_dir):
+    rows = cube.regional_scorecard(cube.build(quakes(spark, sf_dir)))
+    rows = terajoules(rows, "cumulative_energy_joules", "cumulative_energy_tj")
+    return rounded(rows, avg_magnitude=6, avg_depth_km=6)
+
+
+@query("e8_frequency_magnitude_from_cube", oracle("""
+SELECT t / CAST(10 AS DOUBLE) AS magnitude, count(*) AS cumulative_count,
+       round(log10(count(*)), 9) AS log10_count
+FROM range(50, 84) thresholds(t) JOIN quakes ON mag10 >= t GROUP BY t"""))
+def frequency_from_cube(spark, sf_dir):
+    return rounded(cube.frequency_magnitude(cube.build(quakes(spark, sf_dir))), log10_count=9)
+
+
 @query("a9_json_summary", oracle("""
 SELECT count(*) AS events, max(magnitude) AS peak_magnitude, round(avg(depth_km), 6) AS avg_depth_km,
        CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_alerts FROM quakes"""))

@@ -24,29 +24,33 @@ def running_energy(quakes, slices=None):
 def first_at_or_after(quakes, instants):
     """For each instant the first event at or after it; instants after the last event drop out.
 
-    Each event falls in one interval between instants, intervals are reduced to their
-    first event, and an interval without events takes the next one's. No event is paired
-    with every instant.
+    Each event falls in one interval between instants; the least time of each interval is a
+    plain hash aggregate, and an interval without events takes the next one's. Only events
+    of those few times are then looked at whole. No event is paired with every instant, and
+    what is broadcast is the caller's list.
     """
     millis = sorted({to_millis(i) for i in instants})
     spark = quakes.sparkSession
-    event = F.struct("epoch_millis", "event_id", *[
-        c for c in quakes.columns if c not in ("epoch_millis", "event_id")
-    ])
+    reachable = quakes.filter(F.col("epoch_millis") >= F.lit(millis[0]))
     firsts = (
-        with_slice(quakes, F.col("epoch_millis"), [float(m) for m in millis], "_interval")
-        .groupBy("_interval")
-        .agg(F.min_by(event, F.struct("epoch_millis", "event_id")).alias("event"))
+        with_slice(reachable, F.col("epoch_millis"), [float(m) for m in millis], "_interval")
+        .groupBy("_interval").agg(F.min("epoch_millis").alias("epoch_millis"))
     )
     later = W.orderBy(F.desc("_interval")).rowsBetween(W.unboundedPreceding, 0)
-    wanted = spark.createDataFrame(
-        [(i + 1, m) for i, m in enumerate(millis)], "_interval int, instant_millis bigint"
+    wanted = (
+        spark.createDataFrame(
+            [(i + 1, m) for i, m in enumerate(millis)], "_interval int, instant_millis bigint"
+        )
+        .join(firsts, "_interval", "left")
+        .select("instant_millis", F.last("epoch_millis", True).over(later).alias("epoch_millis"))
+        .filter(F.col("epoch_millis").isNotNull())
     )
+    event = F.struct(*[c for c in quakes.columns if c != "epoch_millis"])
     return (
-        wanted.join(firsts, "_interval", "left")
-        .withColumn("event", F.last("event", ignorenulls=True).over(later))
-        .filter(F.col("event").isNotNull())
-        .select("instant_millis", "event.*")
+        reachable.join(F.broadcast(wanted), "epoch_millis")
+        .groupBy("instant_millis", "epoch_millis")
+        .agg(F.min_by(event, "event_id").alias("event"))
+        .select("instant_millis", "epoch_millis", "event.*")
     )
 
 

@@ -1,7 +1,5 @@
 """Frequency-magnitude law, histograms, spikes, percentiles, correlation, energy share."""
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,27 +14,29 @@ HOURLY_SPIKE_SIGMAS = 2.0
 HISTOGRAM_BINS = 35
 
 
-def frequency_magnitude(quakes, low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRESHOLDS[2]):
-    """``N(>= m)`` for each threshold and its logarithm; thresholds nobody reaches drop out.
+def magnitude_step(low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRESHOLDS[2]):
+    """Number of the highest threshold an event reaches, null below the lowest.
 
-    One scan: events are counted per step, then the few dozen counts are summed from the
-    top. A small nudge makes 5.1 fall on the 5.1 step whatever its binary form.
+    A small nudge makes 5.1 reach the 5.1 step whatever its binary form.
     """
-    steps = round((high - low) / step)
     place = F.floor((F.col("magnitude") - F.lit(low)) / F.lit(step) + F.lit(1e-5))
-    counts = (
-        quakes.filter(F.col("magnitude") >= F.lit(float(low)))
-        .groupBy(F.least(place, F.lit(steps)).alias("id"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    return F.when(
+        F.col("magnitude") >= F.lit(float(low)), F.least(place, F.lit(round((high - low) / step)))
     )
-    above = W.orderBy(F.desc("id")).rowsBetween(W.unboundedPreceding, 0)
+
+
+def cumulative_counts(counts, low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRESHOLDS[2]):
+    """``N(>= m)`` and its logarithm from the counts (``n``) per ``step`` number; thresholds
+    nobody reaches drop out. It sums the few dozen counts from the top."""
+    above = W.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     return (
-        quakes.sparkSession.range(steps + 1)
-        .join(counts, "id", "left")
-        .select("id", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("cumulative_count"))
+        counts.sparkSession.range(round((high - low) / step) + 1)
+        .withColumnRenamed("id", "step")
+        .join(counts, "step", "left")
+        .select("step", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("cumulative_count"))
         .filter(F.col("cumulative_count") > 0)
         .select(
-            F.round(F.lit(low) + F.col("id") * F.lit(step), 2).alias("magnitude"),
+            F.round(F.lit(low) + F.col("step") * F.lit(step), 2).alias("magnitude"),
             "cumulative_count",
             F.log10("cumulative_count").alias("log10_count"),
         )
@@ -44,6 +44,16 @@ def frequency_magnitude(quakes, low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRE
     )
 
 
+def frequency_magnitude(quakes, low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRESHOLDS[2]):
+    """The cumulative frequency-magnitude table in one scan: events are counted per step."""
+    counts = (
+        quakes.filter(F.col("magnitude") >= F.lit(float(low)))
+        .groupBy(magnitude_step(low, high, step).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return cumulative_counts(counts, low, high, step)
+
+
 def _fit(frequencies, low, high):
     x, y = F.col("magnitude"), F.col("log10_count")
     # Half a hundredth keeps both end thresholds inside.

@@ -1,36 +1,31 @@
 """The batch run from landed features to the processed table, rollups and serving table."""
 
-from ..operators import rollups, serving
+from pyspark.sql import functions as F
+
+from ..operators import serving
 from ..operators.cleansing import process
-from ..operators.statistics import frequency_magnitude
 from ..schemas import QUAKES
 from ..sources.writers import export_rollup, write_quakes
+from . import cube
+
 
-# Rollup name -> builder and the columns its file is ordered by.
-ROLLUPS = {
-    "hourly_activity": (lambda q: rollups.activity(q, "hour"), ["hour_window"]),
-    "daily_activity": (lambda q: rollups.activity(q, "day"), ["day_window"]),
-    "monthly_activity": (lambda q: rollups.activity(q, "month"), ["month_window"]),
-    "regional_summary": (rollups.regional_scorecard, ["region"]),
-    "depth_summary": (rollups.depth_strata, ["depth_category"]),
-    "diurnal_hourly_weekly": (rollups.diurnal, ["day_idx", "hour_of_day"]),
-    "frequency_magnitude": (frequency_magnitude, ["magnitude"]),
-    "pager_tsunami_summary": (rollups.pager, ["alert_level", "tsunami_flag"]),
-}
+def write_rollups(quakes, cube_path, rollup_path):
+    """One scan of the table into the cube, then eight small exports from it."""
+    cube.build(quakes).write.mode("overwrite").parquet(cube_path)
+    written = quakes.sparkSession.read.parquet(cube_path)
+    for name, (build, order) in cube.ROLLUPS.items():
+        export_rollup(build(written), f"{rollup_path}/{name}", order)
+    return written
 
 
-def run_batch(spark, features, processed_path, rollup_path, serving_path):
+def run_batch(spark, features, processed_path, cube_path, rollup_path, serving_path):
     """Process, write, and derive everything else from the written table.
 
-    Reading back cuts the lineage: nothing downstream repeats the JSON parsing or dedup,
-    and each rollup reads only its columns.
+    Reading back cuts the lineage: nothing downstream repeats the JSON parsing or dedup.
     """
     write_quakes(process(features), processed_path)
     quakes = spark.read.schema(QUAKES).parquet(processed_path)
-    for name, (build, order) in ROLLUPS.items():
-        export_rollup(build(quakes), f"{rollup_path}/{name}", order)
-    serving.write_serving(
-        serving.upsert(serving.serving_rows(quakes).limit(0), serving.serving_rows(quakes)),
-        serving_path,
-    )
+    write_rollups(quakes, cube_path, rollup_path)
+    rows = serving.serving_rows(quakes).withColumn(serving.LOAD, F.lit(0))
+    serving.write_serving(serving.last_write_wins(rows), serving_path)
     return quakes

@@ -101,9 +101,13 @@ def write_tsv(rows, path, sep="\t"):
 
 
 def export_rollup(rollup, path, order_by=None, fmt="csv"):
-    """One file per rollup. A rollup has a row per bucket, region or class: it is small,
+    """One file per rollup, in the order of the named columns ("-name" is descending). A rollup has a row per bucket, region or class: it is small,
     and the single partition starts after its aggregation, not before."""
-    one = rollup.repartition(1).sortWithinPartitions(*(order_by or rollup.columns[:1]))
+    order = [
+        F.desc(name[1:]) if name.startswith("-") else F.col(name)
+        for name in order_by or rollup.columns[:1]
+    ]
+    one = rollup.repartition(1).sortWithinPartitions(*order)
     one.write.mode("overwrite").option("header", "true").format(fmt).save(path)
 
 
