@@ -7,7 +7,7 @@ from ..plans import warehouse
 from ..sources.events_view import quakes
 from .registry import as_text, oracle, query, rounded, terajoules
 
-_MEAN = "round(avg(magnitude), 6) AS avg_magnitude"
+_MEAN = "round(avg(magnitude), 9) AS avg_magnitude"
 _MAX = "max(magnitude) AS max_magnitude"
 _TJ = "round(sum(energy) / 1e12, 3) AS total_energy_tj"
 
@@ -29,7 +29,7 @@ def _activity(name, unit):
     def run(spark, sf_dir):
         rows = rollups.activity(quakes(spark, sf_dir), unit)
         rows = terajoules(rows, "total_energy_joules", "total_energy_tj")
-        return as_text(rounded(rows, avg_magnitude=6), f"{unit}_window")
+        return as_text(rounded(rows, avg_magnitude=9), f"{unit}_window")
 
 
 _activity("e1a_hourly_activity", "hour")
@@ -55,7 +55,7 @@ def weekly(spark, sf_dir):
 
 
 @query("e5a_regional_scorecard", oracle(f"""
-SELECT region, count(*) AS event_count, {_MEAN}, {_MAX}, round(avg(depth_km), 6) AS avg_depth_km,
+SELECT region, count(*) AS event_count, {_MEAN}, {_MAX}, round(avg(depth_km), 9) AS avg_depth_km,
        CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_warnings,
        CAST(sum(felt_reports) AS BIGINT) AS total_felt_reports,
        round(sum(energy) / 1e12, 3) AS cumulative_energy_tj
@@ -63,7 +63,7 @@ FROM quakes GROUP BY region"""))
 def scorecard(spark, sf_dir):
     rows = rollups.regional_scorecard(quakes(spark, sf_dir))
     rows = terajoules(rows, "cumulative_energy_joules", "cumulative_energy_tj")
-    return rounded(rows, avg_magnitude=6, avg_depth_km=6)
+    return rounded(rows, avg_magnitude=9, avg_depth_km=9)
 
 
 @query("e5b_regional_scorecard_warehouse", oracle(f"""
@@ -86,7 +86,7 @@ SELECT CASE WHEN depth_km < 35 THEN 'Shallow (0-35 km)' WHEN depth_km <= 150
        count(*) AS event_count, {_MEAN}, {_MAX}
 FROM quakes GROUP BY 1"""))
 def depth(spark, sf_dir):
-    return rounded(rollups.depth_strata(quakes(spark, sf_dir)), avg_magnitude=6)
+    return rounded(rollups.depth_strata(quakes(spark, sf_dir)), avg_magnitude=9)
 
 
 @query("e6b_depth_strata_warehouse", oracle(f"""
@@ -107,7 +107,7 @@ SELECT CAST(isodow(event_time) - 1 AS INTEGER) AS day_idx, dayname(event_time) A
 FROM quakes GROUP BY 1, 2, 3"""))
 def diurnal(spark, sf_dir):
     rows = rollups.diurnal(quakes(spark, sf_dir))
-    return rounded(terajoules(rows, "total_energy_joules", "total_energy_tj"), avg_magnitude=6)
+    return rounded(terajoules(rows, "total_energy_joules", "total_energy_tj"), avg_magnitude=9)
 
 
 @query("e10_pager", oracle(f"""
@@ -115,25 +115,25 @@ SELECT alert_level, tsunami_flag, count(*) AS event_count, {_MEAN}, {_MAX},
        CAST(sum(felt_reports) AS BIGINT) AS total_felt
 FROM quakes GROUP BY 1, 2"""))
 def pager(spark, sf_dir):
-    return rounded(rollups.pager(quakes(spark, sf_dir)), avg_magnitude=6)
+    return rounded(rollups.pager(quakes(spark, sf_dir)), avg_magnitude=9)
 
 
 _SLICE = "mag10 >= 25 AND depth_km BETWEEN 0 AND 300 AND region = 'JAPAN'"
 _KPI = """count(*) AS events, coalesce(max(magnitude), 0) AS peak_magnitude,
-       coalesce(round(avg(depth_km), 6), 0) AS avg_depth_km,
+       coalesce(round(avg(depth_km), 9), 0) AS avg_depth_km,
        CAST(coalesce(sum(tsunami_flag), 0) AS BIGINT) AS tsunami_alerts"""
 
 
 @query("e11_kpis", oracle(f"SELECT {_KPI} FROM quakes WHERE {_SLICE}"))
 def kpis(spark, sf_dir):
     rows = filters.slice_quakes(quakes(spark, sf_dir), 2.5, (0, 300), "JAPAN")
-    return rounded(rollups.kpis(rows), avg_depth_km=6)
+    return rounded(rollups.kpis(rows), avg_depth_km=9)
 
 
 @query("e11_kpis_empty", oracle(f"SELECT {_KPI} FROM quakes WHERE region = 'NOWHERE'"))
 def kpis_empty(spark, sf_dir):
     rows = filters.slice_quakes(quakes(spark, sf_dir), 0, (0, 700), "NOWHERE")
-    return rounded(rollups.kpis(rows), avg_depth_km=6)
+    return rounded(rollups.kpis(rows), avg_depth_km=9)
 
 
 @query("e12_hourly_counts", oracle(
@@ -209,7 +209,7 @@ SELECT region, {_window_sql('hour')} AS hour_window, count(*) AS event_count, {_
 FROM quakes GROUP BY 1, 2"""))
 def region_hourly(spark, sf_dir):
     rows = rollups.region_hourly(quakes(spark, sf_dir))
-    return as_text(rounded(rows, avg_magnitude=6), "hour_window")
+    return as_text(rounded(rows, avg_magnitude=9), "hour_window")
 
 
 @query("e24_region_alerts", oracle(f"""

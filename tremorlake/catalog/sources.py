@@ -63,7 +63,7 @@ def landing(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-_DAYS = """SELECT dt, count(*) AS events, round(avg(magnitude), 6) AS avg_magnitude,
+_DAYS = """SELECT dt, count(*) AS events, round(avg(magnitude), 9) AS avg_magnitude,
        CAST(sum(felt_reports) AS BIGINT) AS felt, round(sum(energy) / 1e12, 3) AS energy_tj
 FROM quakes GROUP BY dt"""
 
@@ -73,7 +73,7 @@ def _days(rows):
         F.count(F.lit(1)).alias("events"), F.avg("magnitude").alias("avg_magnitude"),
         F.sum("felt_reports").alias("felt"), F.sum("seismic_energy_joules").alias("energy"),
     )
-    return rounded(terajoules(out, "energy", "energy_tj"), avg_magnitude=6)
+    return rounded(terajoules(out, "energy", "energy_tj"), avg_magnitude=9)
 
 
 @query("a4_parquet", oracle(_DAYS))
@@ -155,8 +155,8 @@ def exports(spark, sf_dir):
 
 
 @query("e5a_regional_scorecard_from_cube", oracle("""
-SELECT region, count(*) AS event_count, round(avg(magnitude), 6) AS avg_magnitude,
-       max(magnitude) AS max_magnitude, round(avg(depth_km), 6) AS avg_depth_km,
+SELECT region, count(*) AS event_count, round(avg(magnitude), 9) AS avg_magnitude,
+       max(magnitude) AS max_magnitude, round(avg(depth_km), 9) AS avg_depth_km,
        CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_warnings,
        CAST(sum(felt_reports) AS BIGINT) AS total_felt_reports,
        round(sum(energy) / 1e12, 3) AS cumulative_energy_tj
@@ -164,7 +164,7 @@ FROM quakes GROUP BY region"""))
 def scorecard_from_cube(spark, sf_dir):
     rows = cube.regional_scorecard(cube.build(quakes(spark, sf_dir)))
     rows = terajoules(rows, "cumulative_energy_joules", "cumulative_energy_tj")
-    return rounded(rows, avg_magnitude=6, avg_depth_km=6)
+    return rounded(rows, avg_magnitude=9, avg_depth_km=9)
 
 
 @query("e8_frequency_magnitude_from_cube", oracle("""
@@ -176,7 +176,7 @@ def frequency_from_cube(spark, sf_dir):
 
 
 @query("a9_json_summary", oracle("""
-SELECT count(*) AS events, max(magnitude) AS peak_magnitude, round(avg(depth_km), 6) AS avg_depth_km,
+SELECT count(*) AS events, max(magnitude) AS peak_magnitude, round(avg(depth_km), 9) AS avg_depth_km,
        CAST(sum(tsunami_flag) AS BIGINT) AS tsunami_alerts FROM quakes"""))
 def summary(spark, sf_dir):
     path = workspace(spark, "a9")
@@ -184,7 +184,7 @@ def summary(spark, sf_dir):
     layout = schemas.table(
         "events bigint, peak_magnitude double, avg_depth_km double, tsunami_alerts bigint"
     )
-    return rounded(spark.read.schema(layout).json(path), avg_depth_km=6)
+    return rounded(spark.read.schema(layout).json(path), avg_depth_km=9)
 
 
 @query("a10_read_processed", oracle("""
@@ -199,14 +199,14 @@ def processed(spark, sf_dir):
 
 
 @query("a11_read_rollup", oracle("""
-SELECT region, count(*) AS event_count, round(avg(magnitude), 6) AS avg_magnitude,
+SELECT region, count(*) AS event_count, round(avg(magnitude), 9) AS avg_magnitude,
        CAST(sum(felt_reports) AS BIGINT) AS total_felt_reports FROM quakes GROUP BY region"""))
 def rollup(spark, sf_dir):
     path = workspace(spark, "a11")
     writers.export_rollup(rollups.regional_scorecard(quakes(spark, sf_dir)), path, ["region"])
     rows = readers.read_rollup(spark, path, schemas.REGIONAL)
     return rounded(
-        rows.select("region", "event_count", "avg_magnitude", "total_felt_reports"), avg_magnitude=6
+        rows.select("region", "event_count", "avg_magnitude", "total_felt_reports"), avg_magnitude=9
     )
 
 

@@ -70,14 +70,14 @@ def totals(spark, sf_dir):
 
 @query("g4_stream_activity", oracle("""
 SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour_window,
-       count(*) AS total_events, round(avg(magnitude), 6) AS avg_magnitude,
+       count(*) AS total_events, round(avg(magnitude), 9) AS avg_magnitude,
        max(magnitude) AS max_magnitude, round(sum(energy) / 1e12, 3) AS total_energy_tj
 FROM quakes GROUP BY 1"""))
 def activity(spark, sf_dir):
     out, checkpoint = _folders(spark, "g4")
     ingest.run(ingest.stream_activity(_feed(spark, sf_dir), out, checkpoint))
     rows = terajoules(ingest.current_activity(spark, out), "total_energy_joules", "total_energy_tj")
-    return as_text(rounded(rows, avg_magnitude=6), "hour_window")
+    return as_text(rounded(rows, avg_magnitude=9), "hour_window")
 
 
 @query("g4_stream_activity_sliding", oracle("""
