@@ -84,7 +84,9 @@ def test_continuous_run_stops(spark, polled, tmp_path):
 
 
 def test_copies_are_combined_before_the_state(spark, features):
-    many = features.crossJoin(spark.range(30)).drop("id").withColumn("id", F.lit("hot"))
+    many = features.select(
+        F.lit("hot").alias("id"), "properties", "geometry", F.explode(F.sequence(F.lit(1), F.lit(30)))
+    )
     combined = ingest._one_per_batch(many.select("id", "properties", "geometry").coalesce(1))
     assert combined.count() <= -(-features.count() * 30 // 10_000)
     assert flatten(combined).first().event_id == "hot"

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.regions import WAREHOUSE12
 from ..operators import cleansing
 from ..plans import warehouse
 from ..session import workspace
 from ..sources import readers
 from ..sources.events_view import features, quakes
 from .registry import oracle, query
-from .expressions import WAREHOUSE_SQL
+from .expressions import region_sql
 
 
 def set_property(rows, **columns):
@@ -128,14 +129,14 @@ def flatten(spark, sf_dir):
 
 
 @query("b6b_flatten_sql", oracle(
-    f"SELECT {_ROW} FROM (SELECT * EXCLUDE (region) FROM quakes) JOIN ({WAREHOUSE_SQL}) USING (event_id)"))
+    f"SELECT {_ROW} FROM (SELECT * EXCLUDE (region) FROM quakes) JOIN ({region_sql(WAREHOUSE12)}) USING (event_id)"))
 def flatten_sql(spark, sf_dir):
     warehouse.register(quakes(spark, sf_dir), features(spark, sf_dir))
     return _comparable(spark.sql(warehouse.ETL))
 
 
 @query("b6b_flatten_warehouse", oracle(
-    f"SELECT {_ROW} FROM (SELECT * EXCLUDE (region) FROM quakes) JOIN ({WAREHOUSE_SQL}) USING (event_id)"))
+    f"SELECT {_ROW} FROM (SELECT * EXCLUDE (region) FROM quakes) JOIN ({region_sql(WAREHOUSE12)}) USING (event_id)"))
 def flatten_warehouse(spark, sf_dir):
     return _comparable(cleansing.flatten(features(spark, sf_dir), "warehouse"))
 

@@ -8,61 +8,34 @@ from ..functions.sql_functions import register_sql_functions
 from ..sources.events_view import quakes
 from .registry import oracle, query
 
-_LIKE12 = """
-CASE WHEN p LIKE '%CALIFORNIA%' THEN 'CALIFORNIA' WHEN p LIKE '%ALASKA%' THEN 'ALASKA'
-     WHEN p LIKE '%HAWAII%' THEN 'HAWAII' WHEN p LIKE '%JAPAN%' THEN 'JAPAN'
-     WHEN p LIKE '%INDONESIA%' THEN 'INDONESIA' WHEN p LIKE '%CHILE%' THEN 'CHILE'
-     WHEN p LIKE '%PHILIPPINES%' THEN 'PHILIPPINES' WHEN p LIKE '%MEXICO%' THEN 'MEXICO'
-     WHEN p LIKE '%NEW ZEALAND%' THEN 'NEW_ZEALAND' WHEN p LIKE '%PUERTO RICO%' THEN 'PUERTO_RICO'
-     WHEN p LIKE '%TURKEY%' OR p LIKE '%TÜRKIYE%' THEN 'TURKEY'
-     WHEN p LIKE '%FIJI%' OR p LIKE '%TONGA%' THEN 'SOUTH_PACIFIC' ELSE 'GLOBAL_OTHER' END
-"""
-WAREHOUSE_SQL = f"SELECT event_id, {_LIKE12} AS region FROM (SELECT event_id, upper(place) AS p FROM quakes)"
-
-# The regular expression form of all seventeen rules, independent of the column builder.
-_FULL_SQL = r"""
-SELECT event_id, CASE
-  WHEN p IS NULL THEN 'GLOBAL_OTHER'
-  WHEN regexp_matches(p, 'CALIFORNIA|\bCA\b') THEN 'CALIFORNIA'
-  WHEN regexp_matches(p, 'ALASKA|\bAK\b') THEN 'ALASKA'
-  WHEN regexp_matches(p, 'HAWAII|\bHI\b') THEN 'HAWAII'
-  WHEN regexp_matches(p, 'JAPAN') THEN 'JAPAN'
-  WHEN regexp_matches(p, 'INDONESIA') THEN 'INDONESIA'
-  WHEN regexp_matches(p, 'CHILE') THEN 'CHILE'
-  WHEN regexp_matches(p, 'PHILIPPINES') THEN 'PHILIPPINES'
-  WHEN regexp_matches(p, 'MEXICO') THEN 'MEXICO'
-  WHEN regexp_matches(p, 'NEW ZEALAND|KERMADEC') THEN 'NEW_ZEALAND'
-  WHEN regexp_matches(p, 'PUERTO RICO|\bPR\b') THEN 'PUERTO_RICO'
-  WHEN regexp_matches(p, 'TURKEY|TÜRKIYE|KAHRAMANMARAS|PAZARCIK') THEN 'TURKEY'
-  WHEN regexp_matches(p, 'FIJI|TONGA|VANUATU|LOYALTY|PAPUA|SOLOMON') THEN 'SOUTH_PACIFIC'
-  WHEN regexp_matches(p, 'TAIWAN') THEN 'TAIWAN'
-  WHEN regexp_matches(p, 'ICELAND') THEN 'ICELAND'
-  WHEN regexp_matches(p, 'GREECE|ITALY') THEN 'MEDITERRANEAN'
-  WHEN regexp_matches(p, 'SANDWICH') THEN 'SOUTH_ATLANTIC'
-  WHEN regexp_matches(p, 'JAMAICA|CARIBBEAN|HAITI') THEN 'CARIBBEAN'
-  ELSE 'GLOBAL_OTHER' END AS region
-FROM (SELECT event_id, upper(place) AS p FROM quakes)
-"""
-
-
-@query("c1a_classify_region", oracle(_FULL_SQL))
+
+def region_sql(rules):
+    """The rules as a table of (rank, pattern, region); the first matching one decides."""
+    rows = []
+    for rule in rules.rules:
+        patterns = [*rule.words, *([rf"\b{rule.token}\b"] if rule.token else [])]
+        rows += [f"({len(rows) + i}, '{p}', '{rule.region}')" for i, p in enumerate(patterns)]
+    text = "upper(place)" if rules.ignore_case else "place"
+    return f"""
+SELECT event_id, coalesce(arg_min(rule.region, rank), 'GLOBAL_OTHER') AS region
+FROM quakes LEFT JOIN (VALUES {", ".join(rows)}) rule(rank, pattern, region)
+  ON regexp_matches({text}, pattern)
+GROUP BY event_id"""
+
+
+@query("c1a_classify_region", oracle(region_sql(fn.FULL17)))
 def regions_full(spark, sf_dir):
     return quakes(spark, sf_dir).select("event_id", fn.classify_region("place").alias("region"))
 
 
-@query("c1b_classify_region_warehouse", oracle(WAREHOUSE_SQL))
+@query("c1b_classify_region_warehouse", oracle(region_sql(fn.WAREHOUSE12)))
 def regions_warehouse(spark, sf_dir):
     return quakes(spark, sf_dir).select(
         "event_id", fn.classify_region("place", fn.WAREHOUSE12).alias("region")
     )
 
 
-@query("c1c_classify_region_document", oracle("""
-SELECT event_id, coalesce(list_filter(
-  [CASE WHEN contains(place, w) THEN upper(w) END
-   FOR w IN ['Hawaii', 'California', 'Alaska', 'Japan', 'Indonesia', 'Chile']],
-  lambda r: r IS NOT NULL)[1], 'GLOBAL_OTHER') AS region
-FROM quakes"""))
+@query("c1c_classify_region_document", oracle(region_sql(fn.DOCUMENT6)))
 def regions_document(spark, sf_dir):
     return quakes(spark, sf_dir).select(
         "event_id", fn.classify_region("place", fn.DOCUMENT6).alias("region")
@@ -93,18 +66,22 @@ def depth_classes(spark, sf_dir):
     )
 
 
-@query("c4_time_buckets", oracle("""
-SELECT event_id,
-  strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour_window,
-  strftime(date_trunc('day', event_time), '%Y-%m-%d %H:%M:%S') AS day_window,
-  strftime(CAST(date_trunc('week', event_time) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS week_window,
-  strftime(CAST(date_trunc('month', event_time) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS month_window
-FROM quakes"""))
-def time_buckets(spark, sf_dir):
-    return quakes(spark, sf_dir).select("event_id", *[
-        F.date_format(fn.bucket("event_time", unit), "yyyy-MM-dd HH:mm:ss").alias(f"{unit}_window")
-        for unit in ("hour", "day", "week", "month")
-    ])
+def _buckets(name, *units):
+    columns = ", ".join(
+        f"strftime(CAST(date_trunc('{u}', event_time) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {u}_window"
+        for u in units
+    )
+
+    @query(name, oracle(f"SELECT event_id, {columns} FROM quakes"))
+    def run(spark, sf_dir):
+        return quakes(spark, sf_dir).select("event_id", *[
+            F.date_format(fn.bucket("event_time", unit), "yyyy-MM-dd HH:mm:ss").alias(f"{unit}_window")
+            for unit in units
+        ])
+
+
+_buckets("c4_time_buckets", "hour", "day", "month")
+_buckets("c5_week_bucket", "week")
 
 
 @query("c6_calendar_parts", oracle("""
@@ -185,18 +162,14 @@ def units(spark, sf_dir):
     )
 
 
-@query("i_sql_functions", oracle(f"""
-SELECT event_id, region, warehouse_region,
-  CASE WHEN place LIKE '%Hawaii%' THEN 'HAWAII' WHEN place LIKE '%California%' THEN 'CALIFORNIA'
-       WHEN place LIKE '%Alaska%' THEN 'ALASKA' WHEN place LIKE '%Japan%' THEN 'JAPAN'
-       WHEN place LIKE '%Indonesia%' THEN 'INDONESIA' WHEN place LIKE '%Chile%' THEN 'CHILE'
-       ELSE 'GLOBAL_OTHER' END AS document_region,
-  round(log10(energy), 9) AS log10_joules,
+@query("i_sql_functions", oracle("""
+SELECT event_id, quakes.region, warehouse.region AS warehouse_region,
+  document.region AS document_region, round(log10(energy), 9) AS log10_joules,
   CASE WHEN depth_km < 35 THEN 'Shallow (0-35 km)' WHEN depth_km <= 150
        THEN 'Intermediate (35-150 km)' ELSE 'Deep (150-700 km)' END AS depth,
-  region || '#' || (9223372036854775807 - epoch_millis) AS row_key
-FROM quakes JOIN (SELECT event_id, region AS warehouse_region FROM ({WAREHOUSE_SQL})) USING (event_id)
-"""))
+  quakes.region || '#' || (9223372036854775807 - epoch_millis) AS row_key
+FROM quakes JOIN warehouse USING (event_id) JOIN document USING (event_id)""",
+    f"warehouse AS ({region_sql(fn.WAREHOUSE12)})", f"document AS ({region_sql(fn.DOCUMENT6)})"))
 def sql_functions(spark, sf_dir):
     q = quakes(spark, sf_dir)
     register_sql_functions(spark)

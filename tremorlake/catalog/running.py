@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, ranking, running
 from ..sources.events_view import quakes
+from ..sources.readers import past
 from .registry import oracle, query, rounded
 
 
@@ -29,6 +30,14 @@ def running_slice(spark, sf_dir):
     return _staircase(filters.slice_quakes(quakes(spark, sf_dir), 2.0))
 
 
+@query("f2_event_number", oracle("""
+SELECT event_id, row_number() OVER (ORDER BY epoch_millis, event_id) AS cum_events
+FROM quakes WHERE mag10 >= 50"""))
+def event_number(spark, sf_dir):
+    rows = filters.major_in_window(quakes(spark, sf_dir)).select("event_id", "epoch_millis")
+    return running.event_number(rows).select("event_id", "cum_events")
+
+
 INSTANTS = ("2024-01-05", "2024-01-10 12:00:00", "2024-01-20", "2024-01-29 23:00:00")
 
 
@@ -62,10 +71,10 @@ def top_places(spark, sf_dir):
     return ranking.top_places(filters.major_or_all(quakes(spark, sf_dir)))
 
 
-def _top_regions_sql(k):
+def _top_regions_sql(k, window="true"):
     return oracle(f"""
 SELECT region, count(*) AS event_count, max(magnitude) AS max_magnitude FROM quakes
-WHERE region <> 'GLOBAL_OTHER' GROUP BY 1 ORDER BY event_count DESC, region LIMIT {k}""")
+WHERE region <> 'GLOBAL_OTHER' AND {window} GROUP BY 1 ORDER BY event_count DESC, region LIMIT {k}""")
 
 
 @query("h4_top_regions", _top_regions_sql(8))
@@ -75,9 +84,11 @@ def top_regions(spark, sf_dir):
     )
 
 
-@query("h4_top_five_regions", _top_regions_sql(5))
+@query("h4_top_five_of_the_week", _top_regions_sql(
+    5, "event_time BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-20'"))
 def top_five(spark, sf_dir):
-    return ranking.top_regions(quakes(spark, sf_dir), 5).select(
+    recent = past(quakes(spark, sf_dir), "2024-01-20", "week")
+    return ranking.top_regions(recent, 5).select(
         "region", "event_count", "max_magnitude"
     )
 

@@ -46,11 +46,24 @@ def polled(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("deliveries"))
 
 
-@query("g2_stream_dedup_land", oracle("""
+@query("g2_stream_dedup", oracle("SELECT id, mag, time FROM raw"))
+def dedup(spark, sf_dir):
+    out, checkpoint = _folders(spark, "g2")
+    new = ingest.stream_dedup(_feed(spark, sf_dir)).drop("event_time")
+    ingest.run(
+        new.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        .trigger(**ingest.AVAILABLE_NOW).start(out)
+    )
+    return spark.read.schema(schemas.FEATURE).parquet(out).select(
+        "id", F.col("properties.mag").alias("mag"), F.col("properties.time").alias("time")
+    )
+
+
+@query("g3_stream_land", oracle("""
 SELECT id, mag, place, time, '2024' AS "YYYY", '02' AS "MM", '01' AS "DD", '07' AS "HH" FROM raw"""))
 def land(spark, sf_dir):
     """Two bounded runs on one checkpoint: the second finds nothing new."""
-    out, checkpoint = _folders(spark, "g2")
+    out, checkpoint = _folders(spark, "g3")
     stream = _feed(spark, sf_dir)
     for _ in range(2):
         ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 07:00:00"))
@@ -60,6 +73,21 @@ def land(spark, sf_dir):
     )
 
 
+@query("g8_bounded_then_continuous", oracle(
+    "SELECT count(*) AS landed, count(DISTINCT id) AS ids FROM raw"))
+def triggers(spark, sf_dir):
+    """A bounded run to the end of the input, then a continuous one on the same checkpoint."""
+    out, checkpoint = _folders(spark, "g8")
+    stream = _feed(spark, sf_dir)
+    ingest.run(ingest.stream_land(stream, out, checkpoint))
+    ingest.run(
+        ingest.stream_land(stream, out, checkpoint, trigger={"processingTime": "1 second"}), 2
+    )
+    return readers.read_landed(spark, out).agg(
+        F.count(F.lit(1)).alias("landed"), F.countDistinct("id").alias("ids")
+    )
+
+
 @query("g9_cycle_totals", oracle(
     "SELECT 1::BIGINT AS cycles, 2 * count(*) AS polled, count(*) AS landed FROM raw"))
 def totals(spark, sf_dir):

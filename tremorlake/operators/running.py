@@ -21,6 +21,11 @@ def running_energy(quakes, slices=None):
     return out.drop("_pj")
 
 
+def event_number(quakes, slices=None):
+    """Each event with its running number in time order."""
+    return running(quakes, F.col("epoch_millis"), "event_id", {}, "cum_events", slices)
+
+
 def first_at_or_after(quakes, instants):
     """For each instant the first event at or after it; instants after the last event drop out.
 
