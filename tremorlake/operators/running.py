@@ -72,7 +72,6 @@ def rolling_counts(quakes, hours=(1, 6, 24), by="region"):
     instants = quakes.groupBy(by, "epoch_millis").agg(F.count(F.lit(1)).alias("events"))
     timed = instants.select(
         by,
-        "epoch_millis",
         "events",
         F.floor(F.col("epoch_millis") / HOUR_MS).alias("hour"),
         F.pmod("epoch_millis", F.lit(HOUR_MS)).alias("offset"),
@@ -94,11 +93,11 @@ def rolling_counts(quakes, hours=(1, 6, 24), by="region"):
     cells = timed.select("*", F.explode(lags).alias("lag")).withColumn(
         "hour", F.col("hour") + F.col("lag")
     )
-    in_cell = W.partitionBy(by, "hour").orderBy("offset")
+    in_cell = W.partitionBy("hour", by).orderBy("offset")  # the number first sorts faster
     upto = in_cell.rangeBetween(W.unboundedPreceding, 0)
     below = in_cell.rangeBetween(W.unboundedPreceding, -1)
     counted = cells.select(
-        by, "hour", "epoch_millis", "events", "lag",
+        by, "hour", "offset", "events", "lag",
         F.sum(F.when(F.col("lag") == 0, F.col("events"))).over(upto).alias("_own"),
         *[
             # Events of the hour w before that are too old.
@@ -108,9 +107,9 @@ def rolling_counts(quakes, hours=(1, 6, 24), by="region"):
             for w in hours
         ],
     ).filter(F.col("lag") == 0)
-    return counted.join(whole, [by, "hour"]).select(
+    return counted.join(whole, ["hour", by]).select(
         by,
-        "epoch_millis",
+        (F.col("hour") * HOUR_MS + F.col("offset")).alias("epoch_millis"),
         "events",
         *[
             (F.col("_own") + F.col(f"_full_{w}") - F.col(f"_old_{w}")).alias(f"last_{w}h")

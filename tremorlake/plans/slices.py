@@ -54,15 +54,17 @@ def with_slice(df, key, cuts, name=SLICE):
         splits=[-inf, *cuts, inf], inputCol="_key", outputCol="_bucket", handleInvalid="keep"
     )
     keyed = assign.transform(df.withColumn("_key", key.cast("double")))
-    return keyed.withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
+    # Never null, so a join on it needs no second evaluation to filter nulls.
+    number = F.coalesce(F.col("_bucket").cast("int"), F.lit(0))
+    return keyed.withColumn(name, number).drop("_key", "_bucket")
 
 
 def sliced(df, millis, tie, slices=None):
     """Slice by (``millis``, hash of ``tie``). Returns the frame and its order columns."""
     slices = slices or default_slices(df.sparkSession)
-    keyed = df.withColumn("_ms", millis).withColumn("_tie", tie_cell(tie))
-    key = (F.col("_ms") * TIE_CELLS + F.col("_tie")).cast("double")
-    return with_slice(keyed, key, cut_points(keyed, key, slices)), ["_ms", "_tie", tie]
+    keyed = df.withColumn("_order", millis * TIE_CELLS + tie_cell(tie))
+    key = F.col("_order").cast("double")  # rounding keeps the order, so slices stay in it
+    return with_slice(keyed, key, cut_points(keyed, key, slices)), ["_order", tie]
 
 
 def running(df, millis, tie, sums, number=None, slices=None):
