@@ -1,5 +1,6 @@
 """From raw features to the processed table: cleansing, dedup, flattening, audit."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.measures import energy_sql
@@ -178,14 +179,18 @@ def process(features):
 
 
 def batch_audit(features, batch="source_file"):
-    """Per batch: features polled, distinct ids, and ids no earlier batch had."""
+    """Per batch: features polled, distinct ids, and ids no earlier batch had.
+
+    Copies are merged per id and batch first, so the window sees an id once per batch.
+    """
     per_id = features.filter(has_id()).groupBy("id", batch).agg(F.count(F.lit(1)).alias("copies"))
-    first = per_id.groupBy("id").agg(F.min(batch).alias(batch))
-    new = first.groupBy(batch).agg(F.count(F.lit(1)).alias("new"))
-    polled = per_id.groupBy(batch).agg(
-        F.sum("copies").alias("polled"), F.count(F.lit(1)).alias("distinct_ids")
+    first = F.min(batch).over(W.partitionBy("id"))
+    return (
+        per_id.withColumn("first", first)
+        .groupBy(batch)
+        .agg(
+            F.sum("copies").alias("polled"),
+            F.count(F.lit(1)).alias("distinct_ids"),
+            F.count_if(F.col(batch) == F.col("first")).alias("new"),
+        )
     )
-    return polled.join(new, batch, "left").select(
-        batch, "polled", "distinct_ids", F.coalesce("new", F.lit(0)).alias("new")
-    )
-
