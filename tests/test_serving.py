@@ -68,6 +68,24 @@ def test_loads_replace_themselves(spark, quakes, tmp_path):
         rows.filter("region = 'JAPAN'").count()
 
 
+def test_seek_and_compact_loads(spark, quakes, tmp_path):
+    path, target = str(tmp_path / "loads"), str(tmp_path / "table")
+    rows = serving.serving_rows(quakes)
+    serving.append_load(rows, path, 1)
+    changed = rows.withColumn("meta", F.col("meta").withField("alert", F.lit("new")))
+    serving.append_load(changed, path, 2)
+    found = serving.seek_loads(serving.read_loads(spark, path), "ALASKA", 4)
+    assert "GreaterThanOrEqual(row_key,ALASKA#), LessThan(row_key,ALASKA$)" in plan(found)
+    expected = serving.latest(quakes, "ALASKA", 4).collect()
+    assert [(r.event.event_id, r.meta.alert) for r in found.collect()] == [
+        (r.event_id, "new") for r in expected]
+    serving.compact_loads(spark, path, target)
+    table = serving.read_serving(spark, target)
+    assert table.count() == rows.count()
+    assert serving.seek(table, "ALASKA", 4).select("row_key").collect() == \
+        found.select("row_key").collect()
+
+
 def test_retention(quakes):
     rows = serving.expire_event_family(serving.serving_rows(quakes), "2024-02-10")
     cut = 1707523200000 - 30 * 86_400_000

@@ -150,6 +150,37 @@ def test_footprint(spark, quakes, features, tmp_path):
     assert all(0 < got[f].bytes < got["json"].bytes for f in ("parquet", "orc", "csv"))
 
 
+def test_a_busy_day_is_split(spark, quakes, tmp_path):
+    """Most rows are of one day: it is written by several tasks, quiet days are not."""
+    skewed = quakes.select(
+        "*", F.explode(F.sequence(F.lit(1), F.when(F.col("dt") == "2024-01-05", 900).otherwise(1)))
+    ).drop("col").withColumn("place", F.concat_ws("-", "place", F.uuid()))
+    skewed.repartition(8).write.parquet(str(tmp_path / "in"))
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "512k")
+    try:
+        writers.write_quakes(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "q"))
+    finally:
+        spark.conf.set(setting, before)
+    assert len(glob.glob(f"{tmp_path}/q/dt=2024-01-05/*.parquet")) > 1
+    assert len(glob.glob(f"{tmp_path}/q/dt=2024-01-06/*.parquet")) == 1
+
+
+class _Session:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+
+
+def test_no_machine_folder_on_a_cluster():
+    assert workspace(_Session("local[2]"), "x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace(_Session("yarn"), "x")
+
+
 def test_workspace_is_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

@@ -82,11 +82,15 @@ def write_serving(rows, path):
 
 
 def append_load(rows, path, load):
-    """Add one load in its own partition; writing it again replaces it."""
+    """Add one load in its own partition; writing it again replaces it.
+
+    Rebalanced rather than range-partitioned: that needs no sampling pass, so a stream's
+    batch is evaluated once.
+    """
     (
         last_write_wins(rows.withColumn(LOAD, F.lit(load)))
         .withColumn(LOAD, F.lit(load))
-        .repartitionByRange("region", "row_key")
+        .hint("rebalance", F.col("region"))
         .sortWithinPartitions("region", "row_key")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(LOAD, "region").parquet(path)
@@ -102,6 +106,11 @@ def read_loads(spark, path):
     return spark.read.schema(SERVING_LOADS).parquet(path)
 
 
+def compact_loads(spark, path, target):
+    """Resolve all loads into one serving table; seeks then need no aggregate."""
+    write_serving(last_write_wins(read_loads(spark, path)), target)
+
+
 def in_key_range(serving, region):
     """Rows of one region: its folder, and its key range pushed to the files."""
     first, stop = key_range(region)
@@ -119,6 +128,12 @@ def seek(serving, region, n=LATEST, columns=None, min_magnitude=None):
     return rows.select(*columns) if columns else rows
 
 
+def seek_loads(loads, region, n=LATEST, columns=None, min_magnitude=None):
+    """A seek on a table of loads: the key range is cut first, then its last writes taken."""
+    resolved = last_write_wins(in_key_range(loads, region))
+    return seek(resolved, region, n, columns, min_magnitude)
+
+
 def seek_table(serving, region, n=5):
     """The console listing of a seek."""
     return seek(serving, region, n, [

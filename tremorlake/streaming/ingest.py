@@ -87,10 +87,11 @@ def stream_land(features, path, checkpoint, ingested_at=None, trigger=AVAILABLE_
 
 
 def _append_batch(path, column):
-    """foreachBatch writer: the batch's own folder is replaced, so a replay changes nothing."""
+    """foreachBatch writer of a batch's windows: the batch's own folder is replaced, so a
+    replay changes nothing. The calendar bounds the rows, so they go to one file."""
     def write(batch, number):
         (
-            batch.withColumn(column, F.lit(number))
+            batch.withColumn(column, F.lit(number)).repartition(1)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(column).parquet(path)
         )
