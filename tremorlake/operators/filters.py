@@ -27,11 +27,11 @@ def slice_quakes(quakes, min_magnitude=2.5, depth=(0, 700), region=ALL_REGIONS):
 def _or_all(rows, condition):
     """Rows meeting ``condition``, or all rows if none does.
 
-    The test is a one-row scalar subquery inside the same plan: no action on the driver.
+    The test is a one-row scalar subquery inside the same plan: no action on the driver. It
+    has the condition pushed to its scan, and each of its tasks stops at the first hit.
     """
-    met = F.coalesce(condition, F.lit(False))
-    any_met = F.coalesce(rows.agg(F.max(met)).scalar(), F.lit(False))
-    return rows.filter(met | ~any_met)
+    any_met = rows.filter(condition).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    return rows.filter(F.coalesce(condition, F.lit(False)) | ~any_met)
 
 
 def major_in_window(quakes, start=WINDOW_START, end=WINDOW_END, min_magnitude=MAJOR):
