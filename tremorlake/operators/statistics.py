@@ -19,7 +19,7 @@ def magnitude_step(low=THRESHOLDS[0], high=THRESHOLDS[1], step=THRESHOLDS[2]):
 
     A small nudge makes 5.1 reach the 5.1 step whatever its binary form.
     """
-    place = F.floor((F.col("magnitude") - F.lit(low)) / F.lit(step) + F.lit(1e-5))
+    place = F.floor((F.col("magnitude") - F.lit(low)) / F.lit(step) + F.lit(1e-6))
     return F.when(
         F.col("magnitude") >= F.lit(float(low)), F.least(place, F.lit(round((high - low) / step)))
     )

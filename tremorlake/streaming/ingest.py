@@ -192,7 +192,8 @@ def run(query, timeout=None):
 
 
 def progress(spark, query):
-    """Per micro-batch: rows polled and rows landed, from the query's own metrics."""
+    """Per micro-batch: rows polled and rows landed, from the query's own metrics, which the
+    session keeps for the last ``numRecentProgressUpdates`` batches."""
     rows = []
     for report in query.recentProgress:
         observed = report["observedMetrics"]
