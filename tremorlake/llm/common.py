@@ -1,5 +1,9 @@
 """Reading, storing and appending columns; shared by the operators of this package."""
 
+import os
+import tempfile
+import zipfile
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -9,10 +13,33 @@ from ..session import settle, workspace
 BATCH_ROWS = 256  # rows of an Arrow batch: texts may be long
 
 
-def table(spark, sf_dir, name):
-    """One of the given tables, with the session set for bounded Arrow batches."""
+_ready = set()
+
+
+def ready(spark):
+    """Settle the session, bound its Arrow batches, and send the package to the executors, once an
+    application, so tasks find it wherever the driver was started."""
     settle(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId in _ready:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(top)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(top):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    out.write(full, os.path.join(name, os.path.relpath(full, top)))
+    context.addPyFile(path)  # the driver hands it out; executors need no access to this folder
+    _ready.add(context.applicationId)
+
+
+def table(spark, sf_dir, name):
+    """One of the given tables."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,10 +70,12 @@ def appended(df, reads, fields, function):
     """
     from pyspark.sql.types import StructType
 
+    ready(df.sparkSession)
     new = StructType.fromDDL(fields)
     schema = StructType(df.schema.fields + new.fields)
     kinds = list(to_arrow_schema(new))
     places = [df.columns.index(c) for c in reads]
+    names = schema.fieldNames()
 
     def run(batches):
         compute = function()
@@ -54,7 +83,7 @@ def appended(df, reads, fields, function):
             made = compute(*[batch.column(i).to_pylist() for i in places])
             columns = [pa.array(v, k.type) for v, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns], names=[*df.columns, *new.fieldNames()])
+                [*batch.columns, *columns], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -64,6 +93,7 @@ def mapped(df, fields, function):
     of columns of the DDL ``fields``."""
     from pyspark.sql.types import StructType
 
+    ready(df.sparkSession)
     schema = StructType.fromDDL(fields)
     kinds = list(to_arrow_schema(schema))
 
