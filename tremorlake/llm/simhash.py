@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, table
+from .common import fresh, mapped, stored, table
 from .components import components
 
 WORDS, BITS, SEED = 3, 2, 42
@@ -225,3 +225,15 @@ def op5_simhash_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+def one_of_each(docs, words=WORDS, bits=BITS):
+    """``docs`` without all but one document of each class: the smallest doc_id, then the first row
+    (null ids last)."""
+    (row,) = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(numbered.select("doc_id", "text", row), words, bits, (row,))
+    # Per class the least (id, row): a partial aggregate, however many copies a class has.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    kept = found.groupBy("class").agg(first).select(F.col(f"first.{row}").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

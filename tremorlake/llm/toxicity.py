@@ -193,7 +193,8 @@ class Chain:
 
 
 def _cut(odds, y):
-    """The log-odds from which out-of-fold predictions have the best F1; infinite without both."""
+    """The log-odds from which out-of-fold predictions have the best F1, at least even odds;
+    infinite without both kinds."""
     if not 0 < y.sum() < len(y):
         return math.inf
     order = np.argsort(-odds, kind="stable")
@@ -201,7 +202,7 @@ def _cut(odds, y):
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     best = int(f1.argmax())
     after = odds[order[best + 1]] if best + 1 < len(y) else odds[order[best]] - 1
-    return float((odds[order[best]] + after) / 2)
+    return max(0.0, float((odds[order[best]] + after) / 2))
 
 
 def train(docs, labels, chain=CHAIN):
