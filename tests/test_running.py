@@ -118,3 +118,29 @@ def test_mean_ratio(spark):
     summary = statistics.latency_summary(frame, "e", "ms")
     assert statistics.mean_ratio(summary, "e", "a", "b").first().ratio == 4.0
     assert statistics.mean_ratio(summary, "e", "a", "z").first().ratio == 1.0
+
+
+@pytest.mark.parametrize("slices", [1, 3, 16])
+def test_ties_are_in_id_order(spark, slices):
+    rows = _events(400)
+    frame = quake_frame(spark, rows).select("event_id", "epoch_millis")
+    out = running.event_number(frame, slices).orderBy("cum_events").collect()
+    assert [r.event_id for r in out] == [
+        r["event_id"] for r in sorted(rows, key=lambda r: (r["epoch_millis"], r["event_id"]))]
+
+
+def test_no_instants_no_rows(spark):
+    frame = quake_frame(spark, _events(10))
+    out = running.first_at_or_after(frame, [])
+    assert out.count() == 0 and "instant_millis" in out.columns
+
+
+@pytest.mark.parametrize("values", [
+    [4.5 + k / 10 for k in range(40) for _ in range(k % 7 + 1)],
+    [5.0, 5.1, 5.2, 8.5], [6.0, 6.0], [0.1 * k for k in range(100)],
+])
+def test_histogram_is_decided_by_its_edges(spark, values):
+    frame = quake_frame(spark, [{"event_id": str(k), "magnitude": float(v)}
+                                for k, v in enumerate(values)])
+    out = statistics.histogram(frame, "magnitude").orderBy("bin").collect()
+    assert [r.event_count for r in out] == np.histogram(values, bins=35)[0].tolist()

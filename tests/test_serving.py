@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from helpers import plan
+from helpers import plan, quake_frame
 from tremorlake.operators import serving
 
 
@@ -92,3 +92,11 @@ def test_retention(quakes):
     assert rows.filter((F.col("epoch_millis") < cut) & F.col("event").isNotNull()).isEmpty()
     assert rows.filter((F.col("epoch_millis") >= cut) & F.col("event").isNull()).isEmpty()
     assert rows.filter("meta is null").isEmpty()
+
+
+def test_a_load_keeps_one_row_per_key(spark, tmp_path):
+    rows = [{"event_id": e, "epoch_millis": 7, "region": "JAPAN", "magnitude": 5.0}
+            for e in ("a", "c", "b")]
+    serving.write_serving(serving.serving_rows(quake_frame(spark, rows)), str(tmp_path / "s"))
+    found = serving.read_serving(spark, str(tmp_path / "s")).collect()
+    assert [r.event.event_id for r in found] == ["c"]

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.regions import WAREHOUSE12
 from ..operators import cleansing
 from ..plans import warehouse
+from ..plans.batch import run_batch
 from ..session import workspace
-from ..sources import readers
+from ..sources import readers, writers
 from ..sources.events_view import features, quakes
 from .registry import oracle, query
 from .expressions import region_sql
@@ -219,3 +220,48 @@ SELECT CAST(poll AS INTEGER) AS poll, count(*) AS polled, count(DISTINCT id) AS
 FROM polled GROUP BY poll""", _POLLS))
 def audit(spark, sf_dir):
     return cleansing.batch_audit(polls(features(spark, sf_dir)), "poll")
+
+
+@query("b9_batch_audit_by_ingestion", oracle("""
+SELECT ingested_at, features AS polled, features AS distinct_ids, new, features AS batch_count
+FROM (SELECT '2024-02-01T05:06:07.000Z' AS ingested_at, count(*) AS features, count(*) AS new FROM raw
+      UNION ALL SELECT '2024-02-01T06:00:00.000Z', count(*), 0 FROM raw WHERE time % 2 = 0)"""))
+def audit_by_ingestion(spark, sf_dir):
+    """Two landed deliveries of several documents each: one row per ingestion."""
+    path = workspace(spark, "b9")
+    rows = features(spark, sf_dir)
+    writers.land_features(rows, path, "2024-02-01 05:06:07")
+    writers.land_features(
+        rows.filter(F.col("properties.time") % 2 == 0), path, "2024-02-01 06:00:00")
+    counts = readers.read_landed(spark, path, "documents").groupBy("ingested_at").agg(
+        F.max("batch_count").cast("bigint").alias("batch_count"))
+    return cleansing.batch_audit(readers.read_feature_collections(spark, path)).join(
+        counts, "ingested_at")
+
+
+@query("b8_batch_quarantine", oracle("""
+SELECT 'no time' AS reason, count(*) AS features FROM raw WHERE time % 5 = 1
+UNION ALL SELECT 'no geometry', count(*) FROM raw WHERE time % 5 = 2
+UNION ALL SELECT 'processed', count(*) FROM raw WHERE time % 5 NOT IN (1, 2)
+UNION ALL SELECT 'broken document', 1"""))
+def batch_quarantine(spark, sf_dir):
+    """The whole batch run over landed documents: what it leaves out is written with a reason."""
+    root = workspace(spark, "b8-batch")
+    kind = F.col("properties.time") % 5
+    rows = features(spark, sf_dir).withColumn("kind", kind)
+    rows = set_property(rows, time=F.when(F.col("kind") != 1, F.col("properties.time")))
+    rows = rows.withColumn("geometry", F.when(F.col("kind") != 2, F.col("geometry")))
+    writers.land_features(rows.drop("kind"), f"{root}/landed", "2024-02-01 05:06:07")
+    spark.createDataFrame([('{"features": [{"id": "cut',)], "value string").coalesce(1) \
+        .write.text(f"{root}/landed/broken")
+    path = f"{root}/landed"
+    quakes_ = run_batch(
+        spark, readers.read_feature_collections(spark, path, "*"), f"{root}/processed",
+        f"{root}/cube", f"{root}/rollups", f"{root}/serving", f"{root}/quarantine",
+        f"{root}/audit", readers.broken_documents(spark, path, "*"))
+    left = spark.read.schema("reason string").json(f"{root}/quarantine/features")
+    broken = spark.read.schema("document string").json(f"{root}/quarantine/documents")
+    count = F.count(F.lit(1)).alias("features")
+    return left.groupBy("reason").agg(count).unionByName(
+        quakes_.agg(F.lit("processed").alias("reason"), count)
+    ).unionByName(broken.agg(F.lit("broken document").alias("reason"), count))

@@ -24,17 +24,50 @@ def _written(spark, sf_dir):
     return serving.read_serving(spark, path)
 
 
+# One row per key: the largest event id.
+_UPSERTED = """upserted AS (SELECT * FROM keyed
+  QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY event_id DESC) = 1)"""
+
 _FAMILIES = """row_key, region, epoch_millis, event_id, magnitude AS mag, place, depth_km, latitude,
        longitude, iso AS event_time, alert_level AS alert, tsunami_flag AS tsunami,
        felt_reports AS felt, significance AS sig, magnitude_type AS magType"""
 
 
-@query("a12_serving_load", oracle(f"SELECT {_FAMILIES} FROM keyed", _KEYED))
+@query("a12_serving_load", oracle(f"SELECT {_FAMILIES} FROM upserted", _KEYED, _UPSERTED))
 def load(spark, sf_dir):
     rows = serving.read_serving(spark, _write(spark, sf_dir))
     return rows.select("row_key", "region", "epoch_millis", "event.*", "meta.*")
 
 
+_HOUR = 3_600_000
+_HOUR_KEYED = f"""keyed AS (SELECT *, {_KEY}, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso
+  FROM (SELECT * REPLACE (epoch_millis // {_HOUR} * {_HOUR} AS epoch_millis) FROM quakes))"""
+
+
+def _collided(spark, sf_dir):
+    """All events of a region and hour share their key."""
+    rows = quakes(spark, sf_dir)
+    hour = F.col("epoch_millis") - F.pmod("epoch_millis", F.lit(_HOUR))
+    path = workspace(spark, "serving-collided")
+    serving.write_serving(serving.serving_rows(rows.withColumn("epoch_millis", hour)), path)
+    return serving.read_serving(spark, path)
+
+
+@query("a12_serving_load_collisions",
+       oracle(f"SELECT {_FAMILIES} FROM upserted", _HOUR_KEYED, _UPSERTED))
+def load_collisions(spark, sf_dir):
+    return _collided(spark, sf_dir).select(
+        "row_key", "region", "epoch_millis", "event.*", "meta.*")
+
+
+@query("h1b_seek_collisions", oracle(
+    f"SELECT {_FAMILIES} FROM upserted WHERE region = 'CALIFORNIA' ORDER BY row_key LIMIT 10",
+    _HOUR_KEYED, _UPSERTED))
+def seek_collisions(spark, sf_dir):
+    rows = serving.seek(_collided(spark, sf_dir), "CALIFORNIA", 10)
+    return rows.select("row_key", "region", "epoch_millis", "event.*", "meta.*")
+
+
 def _two_loads(spark, sf_dir):
     """All events, then all of them again as restated: one unit more of significance."""
     rows = serving.serving_rows(quakes(spark, sf_dir))
@@ -81,7 +114,7 @@ def latest_sql(spark, sf_dir):
 
 
 @query("h1b_seek", oracle(
-    f"SELECT {_FAMILIES} FROM keyed WHERE region = 'CALIFORNIA' ORDER BY row_key LIMIT 10", _KEYED))
+    f"SELECT {_FAMILIES} FROM upserted WHERE region = 'CALIFORNIA' ORDER BY row_key LIMIT 10", _KEYED, _UPSERTED))
 def seek(spark, sf_dir):
     rows = serving.seek(_written(spark, sf_dir), "CALIFORNIA", 10)
     return rows.select("row_key", "region", "epoch_millis", "event.*", "meta.*")
@@ -89,8 +122,8 @@ def seek(spark, sf_dir):
 
 @query("h1b_seek_listing", oracle(
     "SELECT row_key, 'M ' || printf('%.1f', magnitude) AS magnitude, place, depth_km, "
-    "iso AS event_time, alert_level AS alert FROM keyed WHERE region = 'ALASKA' "
-    "ORDER BY row_key LIMIT 5", _KEYED))
+    "iso AS event_time, alert_level AS alert FROM upserted WHERE region = 'ALASKA' "
+    "ORDER BY row_key LIMIT 5", _KEYED, _UPSERTED))
 def seek_listing(spark, sf_dir):
     return serving.seek_table(_written(spark, sf_dir), "ALASKA", 5)
 
@@ -105,15 +138,15 @@ def latest_all(spark, sf_dir):
 
 
 @query("h2_seek_one", oracle(
-    "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM keyed "
-    "WHERE region = 'ALASKA' ORDER BY row_key LIMIT 1", _KEYED))
+    "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM upserted "
+    "WHERE region = 'ALASKA' ORDER BY row_key LIMIT 1", _KEYED, _UPSERTED))
 def seek_one(spark, sf_dir):
     return serving.seek_one(_written(spark, sf_dir), "ALASKA")
 
 
 @query("h2_seek_one_major", oracle(
-    "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM keyed "
-    "WHERE region = 'ALASKA' AND mag10 >= 50 ORDER BY row_key LIMIT 1", _KEYED))
+    "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM upserted "
+    "WHERE region = 'ALASKA' AND mag10 >= 50 ORDER BY row_key LIMIT 1", _KEYED, _UPSERTED))
 def seek_one_major(spark, sf_dir):
     return serving.seek_one(_written(spark, sf_dir), "ALASKA", 5.0)
 

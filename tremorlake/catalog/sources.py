@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import cleansing, rollups
-from ..plans import cube
+from ..plans import cube, warehouse
 from ..plans.batch import write_rollups
 from ..session import workspace
 from ..sources import footprint, readers, writers
@@ -110,6 +110,25 @@ def orc(spark, sf_dir):
     )
 
 
+@query("a6_sql_insert_overwrite", oracle("""
+SELECT dt, count(*) AS events, CAST(sum(CASE WHEN dt >= '2024-01-15' THEN felt_reports ELSE -1 END)
+       AS BIGINT) AS felt FROM quakes GROUP BY dt"""))
+def insert_overwrite(spark, sf_dir):
+    """As the query above, by SQL into a partitioned table."""
+    path = workspace(spark, "a6-table")
+    name = "processed_" + path.rpartition("-")[2]
+    warehouse.register(quakes(spark, sf_dir))
+    columns = ", ".join(c for c in schemas.QUAKES.fieldNames() if c != "dt")
+    warehouse.create_table(spark, name, path)
+    early = columns.replace("felt_reports", "-1 AS felt_reports")
+    warehouse.overwrite_days(spark, name, f"SELECT {early}, dt FROM {warehouse.VIEW}")
+    warehouse.overwrite_days(
+        spark, name, f"SELECT {columns}, dt FROM {warehouse.VIEW} WHERE dt >= '2024-01-15'")
+    return spark.table(name).groupBy("dt").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("felt_reports").alias("felt")
+    )
+
+
 @query("a7_tsv", oracle("""
 SELECT id AS event_id, mag AS magnitude, place, time AS epoch_millis, longitude, latitude, depth_km,
        felt AS felt_reports, alert AS alert_level, tsunami AS tsunami_flag

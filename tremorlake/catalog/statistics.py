@@ -38,12 +38,14 @@ def fitted_line(spark, sf_dir):
 
 def _histogram(name, column):
     sql = oracle(f"""
-SELECT CAST(b AS INTEGER) AS bin, round(lo + b * ((hi - lo) / 35), 6) AS lower,
-       round(lo + (b + 1) * ((hi - lo) / 35), 6) AS upper, count(bin) AS event_count
-FROM range(35) bins(b) CROSS JOIN span LEFT JOIN binned ON bin = b GROUP BY b, lo, hi""",
+SELECT CAST(b AS INTEGER) AS bin, round(lower, 6) AS lower, round(upper, 6) AS upper,
+       count(v) AS event_count
+FROM edges LEFT JOIN (SELECT {column} AS v FROM quakes WHERE mag10 >= 50)
+  ON v >= lower AND (v < upper OR b = 34)
+GROUP BY b, lower, upper""",
         f"""span AS (SELECT min({column}) AS lo, max({column}) AS hi FROM quakes WHERE mag10 >= 50)""",
-        f"""binned AS (SELECT least(CAST(floor(({column} - lo) * 35 / (hi - lo)) AS BIGINT), 34) AS bin
-                       FROM quakes, span WHERE mag10 >= 50)""")
+        """edges AS (SELECT b, lo + b * ((hi - lo) / 35) AS lower, lo + (b + 1) * ((hi - lo) / 35) AS upper
+                    FROM range(35) bins(b), span)""")
 
     @query(name, sql)
     def run(spark, sf_dir):

@@ -76,24 +76,74 @@ def land(spark, sf_dir):
 @query("g8_bounded_then_continuous", oracle(
     "SELECT count(*) AS landed, count(DISTINCT id) AS ids FROM raw"))
 def triggers(spark, sf_dir):
-    """A bounded run to the end of the input, then a continuous one on the same checkpoint."""
-    out, checkpoint = _folders(spark, "g8")
-    stream = _feed(spark, sf_dir)
-    ingest.run(ingest.stream_land(stream, out, checkpoint))
-    ingest.run(
-        ingest.stream_land(stream, out, checkpoint, trigger={"processingTime": "1 second"}), 2
-    )
+    """A bounded run over the first delivery, then a continuous one on the same checkpoint, which
+    finds the second delivery and lands nothing twice."""
+    path, out, checkpoint = workspace(spark, "g8-feed"), *_folders(spark, "g8")
+    rows = features(spark, sf_dir)
+    early = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    writers.land_features(rows.filter(early), path, LANDED_AT, "lines")
+    stream = ingest.stream_features(spark, path, form="lines")
+    # A horizon that holds the whole month: nothing is late.
+    ingest.run(ingest.stream_land(stream, out, checkpoint, horizon="60 days"))
+    writers.land_features(rows, path, "2024-02-01 06:00:00", "lines")
+    following = ingest.stream_land(
+        stream, out, checkpoint, trigger={"processingTime": "1 second"}, horizon="60 days")
+    try:
+        following.processAllAvailable()
+    finally:
+        following.stop()
     return readers.read_landed(spark, out).agg(
         F.count(F.lit(1)).alias("landed"), F.countDistinct("id").alias("ids")
     )
 
 
+def _in_weeks(spark, sf_dir, path):
+    """Deliveries of one file each, newest week first."""
+    rows = features(spark, sf_dir)
+    week = F.floor((F.dayofmonth(F.timestamp_millis("properties.time")) - 1) / 8)
+    for k in (3, 2, 1, 0):
+        part = rows.filter(week == k).coalesce(1)
+        writers.land_features(part, path, f"2024-02-01 0{9 - k}:00:00", "lines")
+
+
+@query("g2_stream_late", oracle(
+    "SELECT id, 1::BIGINT AS routes FROM raw"))
+def late(spark, sf_dir):
+    """Polls out of time order over four weeks, one file a batch: what is older than the horizon
+    does not land, and the late route has every event of it."""
+    path, out, checkpoint = workspace(spark, "late-feed"), *_folders(spark, "late")
+    _in_weeks(spark, sf_dir, path)
+    stream = ingest.stream_features(spark, path, max_files=1, form="lines")
+    ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 10:00:00"))
+    landed = readers.read_landed(spark, out).select("id")
+    missed = ingest.late_features(readers.read_features_ndjson(spark, path), landed)
+    return landed.unionByName(missed.select("id")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("routes"))
+
+
 @query("g9_cycle_totals", oracle(
-    "SELECT 1::BIGINT AS cycles, 2 * count(*) AS polled, count(*) AS landed FROM raw"))
+    "SELECT 4::BIGINT AS cycles, 2 * count(*) AS polled, count(*) AS landed, 0::BIGINT AS late "
+    "FROM raw"))
 def totals(spark, sf_dir):
-    out, checkpoint = _folders(spark, "g9")
-    done = ingest.run(ingest.stream_land(_feed(spark, sf_dir, "lines"), out, checkpoint))
-    return ingest.cycle_totals(spark, done)
+    """Four deliveries, one file a batch; the session keeps two reports, the log every batch."""
+    path, out, checkpoint = workspace(spark, "g9-feed"), *_folders(spark, "g9")
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    for k in range(4):
+        part = features(spark, sf_dir).filter(half == k % 2).coalesce(1)
+        writers.land_features(part, path, f"2024-02-01 0{k}:00:00", "lines")
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    log = ingest.CycleLog(spark, workspace(spark, "g9-log"))
+    spark.streams.addListener(log)
+    try:
+        # A horizon that holds the whole month: nothing is late.
+        stream = ingest.stream_features(spark, path, max_files=1, form="lines")
+        ingest.run(ingest.stream_land(stream, out, checkpoint, horizon="60 days"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(log)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    return ingest.cycle_totals(ingest.cycles(spark, log.path))
 
 
 @query("g4_stream_activity", oracle("""

@@ -63,20 +63,23 @@ def dedup_incremental(features, seen, batch_time):
 
     ``seen`` has one row per id: ``id``, ``last_seen``. ``batch_time`` is a column.
     """
-    new = dedup(features).join(seen.select("id"), "id", "left_anti")
+    known = seen.select("id", F.lit(True).alias("known"))
+    # One dedup and one join serve the new features and the audit.
+    marked = dedup(features).join(known, "id", "left")
+    new = marked.filter(F.col("known").isNull()).drop("known")
     grown = seen.select("id", "last_seen").unionByName(
         new.select("id", batch_time.cast("timestamp").alias("last_seen"))
     )
-    audit = (
-        features.agg(F.count(F.lit(1)).alias("polled"))
-        .withColumn("new", new.agg(F.count(F.lit(1))).scalar())
-        .withColumn("seen", grown.agg(F.count(F.lit(1))).scalar())
+    added = marked.agg(F.count_if(F.col("known").isNull())).scalar()
+    before = seen.agg(F.count(F.lit(1))).scalar()
+    audit = features.agg(
+        F.count(F.lit(1)).alias("polled"), added.alias("new"), (before + added).alias("seen")
     )
     return new, grown, audit
 
 
 def trim_seen(seen, n=SEEN_LIMIT, slices=None):
-    """The ``n`` most recently seen ids (ties by id hash).
+    """The ``n`` most recently seen ids (of one instant the largest ids).
 
     A plain ordered limit would let every task send ``n`` rows to one task. The table is
     first cut into ordered slices and only the newest ones that cover ``n`` rows are sorted.
@@ -173,13 +176,27 @@ def flatten_maps(features):
 
 
 def process(features):
-    """The whole batch step: quarantine aside, incomplete dropped, one copy, flat."""
+    """The whole batch step: quarantine aside, incomplete dropped, one copy, flat.
+
+    What is quarantined is in ``rejected``.
+    """
     good, _ = split_corrupt(features)
     return flatten(dedup(drop_incomplete(good)))
 
 
-def batch_audit(features, batch="source_file"):
-    """Per batch: features polled, distinct ids, and ids no earlier batch had.
+def rejected(features):
+    """What ``process`` leaves out as unusable: the reason, where it was found, the feature as
+    text (a broken line as it stands)."""
+    _, bad = split_corrupt(features)
+    found = [c for c in ("source_file", "position", "ingested_at") if c in features.columns]
+    text = F.to_json(F.struct("id", "properties", "geometry"))
+    if CORRUPT in features.columns:
+        text = F.coalesce(F.col(CORRUPT), text)
+    return bad.select("reason", *found, text.alias("feature"))
+
+
+def batch_audit(features, batch="ingested_at"):
+    """Per batch (one ingestion): features polled, distinct ids, and ids no earlier batch had.
 
     Copies are merged per id and batch first, so the window sees an id once per batch.
     """

@@ -11,8 +11,8 @@ from ..plans.slices import running, with_slice
 def running_energy(quakes, slices=None):
     """Each event with the energy released up to it (petajoules) and its running number.
 
-    Order is time; events of one millisecond follow a hash of their id. Call it on the
-    columns you need: all of them travel through the one shuffle.
+    Order is time, then event id. Call it on the columns you need: all of them travel through
+    the one shuffle.
     """
     rows = quakes.withColumn("_pj", petajoules("seismic_energy_joules"))
     out = running(
@@ -22,7 +22,7 @@ def running_energy(quakes, slices=None):
 
 
 def event_number(quakes, slices=None):
-    """Each event with its running number in time order."""
+    """Each event with its running number in the order of time and event id."""
     return running(quakes, F.col("epoch_millis"), "event_id", {}, "cum_events", slices)
 
 
@@ -36,6 +36,11 @@ def first_at_or_after(quakes, instants):
     """
     millis = sorted({to_millis(i) for i in instants})
     spark = quakes.sparkSession
+    if not millis:
+        others = [c for c in quakes.columns if c != "epoch_millis"]
+        return quakes.limit(0).select(
+            F.col("epoch_millis").alias("instant_millis"), "epoch_millis", *others
+        )
     reachable = quakes.filter(F.col("epoch_millis") >= F.lit(millis[0]))
     firsts = (
         with_slice(reachable, F.col("epoch_millis"), [float(m) for m in millis], "_interval")

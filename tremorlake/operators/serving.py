@@ -71,11 +71,13 @@ def load_audit(rows):
 def write_serving(rows, path):
     """Write in key order below region folders.
 
-    Ranges are cut on (region, key), so a large region spans many tasks and files with
-    disjoint key ranges; a seek opens only the file whose key statistics fit.
+    A load upserts: of rows with one key the largest event id stays. Ranges are cut on (region,
+    key), so a large region spans many tasks and files with disjoint key ranges; a seek opens
+    only the file whose key statistics fit.
     """
     (
-        rows.repartitionByRange("region", "row_key")
+        last_write_wins(rows if LOAD in rows.columns else rows.withColumn(LOAD, F.lit(0)))
+        .repartitionByRange("region", "row_key")
         .sortWithinPartitions("region", "row_key")
         .write.mode("overwrite").partitionBy("region").parquet(path)
     )
@@ -108,7 +110,7 @@ def read_loads(spark, path):
 
 def compact_loads(spark, path, target):
     """Resolve all loads into one serving table; seeks then need no aggregate."""
-    write_serving(last_write_wins(read_loads(spark, path)), target)
+    write_serving(read_loads(spark, path), target)
 
 
 def in_key_range(serving, region):

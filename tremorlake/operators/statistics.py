@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import bucket, event_time
-from ..plans.slices import SLICE, cut_points, default_slices, with_slice
+from ..plans.slices import SLICE, cut_points, with_slice
 
 # Magnitude thresholds, the fitted range, spike factor, histogram bins.
 THRESHOLDS = (5.0, 8.3, 0.1)
@@ -123,17 +123,29 @@ def spikes(quakes, unit="week", sigmas=SPIKE_SIGMAS, fill_gaps=False):
 
 
 def histogram(quakes, column, bins=HISTOGRAM_BINS):
-    """Equal-width counts between the least and largest value; empty bins are 0."""
+    """Equal-width counts between the least and largest value; empty bins are 0.
+
+    The edges decide: bin ``i`` holds ``lower <= value < upper``, the last bin its upper edge
+    too. The division only guesses the bin, which is then moved to where the edges put it.
+    """
     value = F.col(column)
     known = quakes.filter(value.isNotNull()).select(value.alias("v"))
     least, most = F.min("v"), F.max("v")
     half = F.when(least == most, 0.5).otherwise(0.0)  # a single value gets a unit range
     span = known.agg(F.struct((least - half).alias("lo"), (most + half).alias("hi"))).scalar()
     step = (F.col("s.hi") - F.col("s.lo")) / F.lit(bins)
-    place = F.floor((F.col("v") - F.col("s.lo")) * F.lit(bins) / (F.col("s.hi") - F.col("s.lo")))
+
+    def edge(number):
+        return F.col("s.lo") + number * step
+
+    guess = F.least(F.floor((F.col("v") - F.col("s.lo")) / step), F.lit(bins - 1))
+    moved = F.col("guess") - (F.col("v") < edge(F.col("guess"))).cast("int") + (
+        (F.col("v") >= edge(F.col("guess") + 1)) & (F.col("guess") < bins - 1)
+    ).cast("int")
     counts = (
         known.withColumn("s", span)
-        .groupBy(F.least(place, F.lit(bins - 1)).alias("bin"))
+        .withColumn("guess", guess)
+        .groupBy(moved.alias("bin"))
         .agg(F.count(F.lit(1)).alias("event_count"))
     )
     return (
@@ -142,8 +154,8 @@ def histogram(quakes, column, bins=HISTOGRAM_BINS):
         .withColumn("s", span)
         .select(
             F.col("bin").cast("int").alias("bin"),
-            (F.col("s.lo") + F.col("bin") * step).alias("lower"),
-            (F.col("s.lo") + (F.col("bin") + 1) * step).alias("upper"),
+            edge(F.col("bin")).alias("lower"),
+            edge(F.col("bin") + 1).alias("upper"),
             F.coalesce("event_count", F.lit(0)).alias("event_count"),
         )
         .orderBy("bin")
@@ -163,7 +175,7 @@ def latency_summary(measurements, group, metric, percentiles=PERCENTILES, slices
     rows = measurements.select(
         F.col(group).alias("g"), F.col(metric).cast("double").alias("v")
     ).filter(F.col("v").isNotNull())
-    cuts = cut_points(rows, "v", slices or default_slices(measurements.sparkSession))
+    cuts = cut_points(rows, "v", slices)
     values = with_slice(
         rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), F.col("v"), cuts
     )

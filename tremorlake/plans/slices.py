@@ -6,43 +6,46 @@ how much one task gets. Slice totals (``n`` rows) give each slice its starting v
 running part is a window inside the slice.
 """
 
+from collections import Counter
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_SLICES = 10_000
 SLICE = "_slice"
-TIE_CELLS = 4096
+ROWS_PER_SLICE = 2_000_000
 SAMPLED_PER_SLICE = 200
+SAMPLED_TIES = 50
 
 
 def default_slices(spark):
     """A few slices per shuffle task, so hashing them to tasks stays even."""
-    return min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-
-
-def tie_cell(column):
-    """Rows of one millisecond are ordered by this hash cell first, so that even a single
-    millisecond can be spread over slices."""
-    return F.pmod(F.xxhash64(column), F.lit(TIE_CELLS))
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df, key, slices):
-    """Quantiles of ``key``: one aggregated row of fewer than ``slices`` numbers.
+def quantiles(df, key, slices=None):
+    """Cuts of ``key`` into slices of about equal size, with repeats where one value spans
+    several, and the number of rows.
 
-    They come from a sample of some hundred rows per slice, so that the one task that
-    merges the sketches gets a bounded input. The cuts only balance the slices: whatever
-    they are, every row falls in one and the results are exact.
+    ``slices`` defaults to a few per shuffle task, and more where that leaves over
+    ROWS_PER_SLICE rows in one. The cuts come from a sample of some hundred rows per slice;
+    they only balance the slices: whatever they are, every row falls in one and the results
+    are exact. Runs two small jobs over the key, so ``df`` should be a written table.
     """
-    slices = max(1, min(slices, MAX_SLICES))
-    rows = df.count() if slices > 1 else 0
-    if not rows:
-        return []
+    rows = df.count() if slices != 1 else 0
+    slices = slices or max(default_slices(df.sparkSession), -(-rows // ROWS_PER_SLICE))
+    if not rows or slices <= 1:
+        return [], rows
     share = SAMPLED_PER_SLICE * slices / rows
     sample = df.sample(share, seed=17) if share < 1 else df
     shares = [i / slices for i in range(1, slices)]
     row = sample.agg(F.percentile_approx(key, shares, 10 * slices).alias("cuts")).first()
-    return sorted({float(c) for c in row.cuts or ()})
+    return sorted(float(c) for c in row.cuts or ()), rows
+
+
+def cut_points(df, key, slices=None):
+    """The distinct cuts of ``quantiles``."""
+    return sorted(set(quantiles(df, key, slices)[0]))
 
 
 def with_slice(df, key, cuts, name=SLICE):
@@ -59,19 +62,57 @@ def with_slice(df, key, cuts, name=SLICE):
     return keyed.withColumn(name, number).drop("_key", "_bucket")
 
 
+def _tie_cuts(df, key, tie, cuts, rows):
+    """For each value that several cuts fell on, cuts of its ties.
+
+    Taken from a sample of some rows per slice of those values only.
+    """
+    spans = {c: n for c, n in Counter(cuts).items() if n > 1}
+    if not spans:
+        return {}
+    share = min(1.0, SAMPLED_TIES * (len(cuts) + 1) / max(rows, 1))
+    crowded = df.select(key.alias("key"), F.col(tie).alias("tie")).filter(
+        F.col("key").isin(list(spans))
+    )
+    found = {c: [] for c in spans}
+    for row in crowded.sample(share, seed=23).collect() if share < 1 else crowded.collect():
+        found[row.key].append(row.tie)
+    out = {}
+    for value, ties in found.items():
+        ties, n = sorted(t for t in ties if t is not None), spans[value] + 1
+        out[value] = sorted({ties[len(ties) * i // n] for i in range(1, n)}) if ties else []
+    return out
+
+
 def sliced(df, millis, tie, slices=None):
-    """Slice by (``millis``, hash of ``tie``). Returns the frame and its order columns."""
-    slices = slices or default_slices(df.sparkSession)
-    keyed = df.withColumn("_order", millis * TIE_CELLS + tie_cell(tie))
-    key = F.col("_order").cast("double")  # rounding keeps the order, so slices stay in it
-    return with_slice(keyed, key, cut_points(keyed, key, slices)), ["_order", tie]
+    """Slice by (``millis``, ``tie``). Returns the frame and its order columns.
+
+    Slices are cut at instants; an instant that holds more than a slice is cut again by
+    ``tie``, so even all events at one instant spread over slices.
+    """
+    keyed = df.withColumn("_order", millis)
+    key = F.col("_order").cast("double")
+    cuts, rows = quantiles(keyed, key, slices)
+    crowded = _tie_cuts(keyed, key, tie, cuts, rows)
+    frame = with_slice(keyed, key, sorted(set(cuts)))
+    if any(crowded.values()):
+        # Inside the slice that starts with the instant: its parts, then what comes after it.
+        most = max(len(t) for t in crowded.values()) + 2
+        part = F.lit(most - 1)
+        for value, ties in crowded.items():
+            number = F.size(F.filter(F.array(*map(F.lit, ties)), lambda t: t <= F.col(tie))) \
+                if ties else F.lit(0)
+            part = F.when(key == value, number).otherwise(part)
+        frame = frame.withColumn(SLICE, F.col(SLICE) * most + part)
+    return frame, ["_order", tie]
 
 
 def running(df, millis, tie, sums, number=None, slices=None):
-    """Running totals over the whole frame in (``millis``, hash, ``tie``) order.
+    """Running totals over the whole frame in (``millis``, ``tie``) order.
 
     ``sums`` maps output names to the columns summed; ``number`` names the running row
-    number. Broadcast is the slice table, at most MAX_SLICES rows.
+    number. The slice table (a row per slice) joins on the slice, by which the rows are
+    already partitioned.
     """
     frame, order = sliced(df, millis, tie, slices)
     totals = frame.groupBy(SLICE).agg(
@@ -95,7 +136,7 @@ def running(df, millis, tie, sums, number=None, slices=None):
         F.row_number().over(inside).alias("_row"),
         *[F.sum(source).over(upto).alias(f"_run_{name}") for name, source in sums.items()],
     )
-    joined = local.join(F.broadcast(carried), SLICE)
+    joined = local.join(carried, SLICE)
     return joined.select(
         *df.columns,
         *[(F.col(f"_run_{n}") + F.col(f"_sum_{n}")).alias(n) for n in sums],
@@ -104,7 +145,7 @@ def running(df, millis, tie, sums, number=None, slices=None):
 
 
 def newest(df, millis, tie, n, slices=None):
-    """The last ``n`` rows in (``millis``, hash, ``tie``) order.
+    """The last ``n`` rows in (``millis``, ``tie``) order.
 
     Slices older than the one in which the count reaches ``n`` are filtered out before
     the ordered limit, so it sees ``n`` rows plus less than one slice.

@@ -52,7 +52,8 @@ def land_features(features, path, ingested_at=None, form="documents", title=None
     """Append features below the hour in which they were ingested (UTC).
 
     ``documents`` writes one feature-collection file per bundle, ``lines`` one feature
-    per line. Each form has its own tree, so no event is counted twice.
+    per line. Each form has its own tree, so no event is counted twice. A document's
+    ``metadata.count`` is its own features, ``batch_count`` those of the whole ingestion.
     """
     instant = ingestion_instant(ingested_at)
     if form == "lines":
@@ -67,7 +68,7 @@ def land_features(features, path, ingested_at=None, form="documents", title=None
             F.col("batch_count").alias("count"),
         ).alias("metadata"),
         F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ingested_at"),
-        "batch_count",
+        features.agg(F.count(F.lit(1)).cast("int")).scalar().alias("batch_count"),
         "features",
     )
     (

@@ -8,10 +8,11 @@ or its driver goes on where it was and writes each event once.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.clock import event_time
 from ..functions.measures import seismic_energy
-from ..operators.cleansing import drop_incomplete, flatten
+from ..operators.cleansing import dedup, drop_incomplete, flatten
 from ..operators.filters import dispatch
 from ..operators.serving import append_load, serving_rows
 from ..operators.statistics import HOURLY_SPIKE_SIGMAS, spikes_of
@@ -63,8 +64,9 @@ def _one_per_batch(features):
 def stream_dedup(features, horizon=HORIZON):
     """New features only: an id seen within ``horizon`` of event time is dropped.
 
-    State holds one key per id of the horizon, not of all time. Older backfills belong to
-    ``dedup_incremental``.
+    State holds one key per id of the horizon, not of all time. Features that come later than
+    that are dropped here and counted (``late`` in ``progress``); ``late_features`` finds them
+    for ``dedup_incremental``.
     """
     usable = drop_incomplete(features).filter(F.col("properties.time").isNotNull())
     timed = _one_per_batch(usable).withColumn("event_time", event_time("properties.time"))
@@ -75,10 +77,11 @@ def _start(writer, checkpoint, trigger):
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger)
 
 
-def stream_land(features, path, checkpoint, ingested_at=None, trigger=AVAILABLE_NOW):
+def stream_land(features, path, checkpoint, ingested_at=None, trigger=AVAILABLE_NOW,
+                horizon=HORIZON):
     """New features into their ingestion hour, one line each; polled and landed are counted."""
     polled = features.observe("polled", F.count(F.lit(1)).alias("rows"))
-    new = stream_dedup(polled).observe("landed", F.count(F.lit(1)).alias("rows"))
+    new = stream_dedup(polled, horizon).observe("landed", F.count(F.lit(1)).alias("rows"))
     rows = with_landing_keys(
         new.select(*FEATURE.fieldNames()), ingestion_instant(ingested_at)
     )
@@ -191,21 +194,66 @@ def run(query, timeout=None):
     return query
 
 
+def late_features(features, landed):
+    """Usable features of the feed, one per id, that a stream did not land (``landed`` has their
+    ids): what came after the horizon. They are the input of ``dedup_incremental``."""
+    return dedup(drop_incomplete(features)).join(landed.select("id"), "id", "left_anti")
+
+
+PROGRESS = "batch bigint, polled bigint, landed bigint, late bigint"
+
+
+def _progress_row(report):
+    """Batch, rows polled and landed, rows dropped as late; None for a report without input."""
+    observed = report.observedMetrics
+    polled, landed = (observed[k]["rows"] if k in observed else 0 for k in ("polled", "landed"))
+    late = sum(s.numRowsDroppedByWatermark for s in report.stateOperators)
+    return (report.batchId, polled, landed, late) if report.numInputRows else None
+
+
+class CycleLog(StreamingQueryListener):
+    """Writes a row per micro-batch with input below ``path``: the totals of a run however long.
+
+    Register it with ``spark.streams.addListener`` before the stream starts. A batch that is
+    reported again after a restart is written again; readers take one row per batch.
+    """
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        row = _progress_row(event.progress)
+        if row:
+            rows = self.spark.createDataFrame([row], PROGRESS)
+            rows.coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def cycles(spark, path):
+    """One row per micro-batch of a ``CycleLog``."""
+    return spark.read.schema(PROGRESS).parquet(path).dropDuplicates(["batch"])
+
+
 def progress(spark, query):
-    """Per micro-batch: rows polled and rows landed, from the query's own metrics, which the
-    session keeps for the last ``numRecentProgressUpdates`` batches."""
-    rows = []
-    for report in query.recentProgress:
-        observed = report["observedMetrics"]
-        count = {k: (observed[k]["rows"] if k in observed else 0) for k in ("polled", "landed")}
-        rows.append((report["batchId"], count["polled"], count["landed"]))
-    return spark.createDataFrame(rows, "batch bigint, polled bigint, landed bigint")
-
-
-def cycle_totals(spark, query):
-    """Cycles that brought data, events polled and events landed over the whole run."""
-    return progress(spark, query).agg(
+    """Per micro-batch of the reports the session still keeps: rows polled, landed and late."""
+    rows = [_progress_row(report) for report in query.recentProgress]
+    return spark.createDataFrame([r for r in rows if r], PROGRESS)
+
+
+def cycle_totals(rows):
+    """Cycles that brought data, events polled and landed, and events dropped as late.
+
+    ``rows``: of ``cycles`` for a whole run, of ``progress`` for its last reports.
+    """
+    return rows.agg(
         F.count_if(F.col("polled") > 0).alias("cycles"),
-        F.coalesce(F.sum("polled"), F.lit(0)).alias("polled"),
-        F.coalesce(F.sum("landed"), F.lit(0)).alias("landed"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("polled", "landed", "late")],
     )
