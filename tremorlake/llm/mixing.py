@@ -8,8 +8,8 @@ and one vector per round only, so each round is one aggregate of as many numbers
 document's rate follows from its posteriors and the rounds' vectors: no state is kept anywhere.
 
 Tokens are words (runs of non-space). Null or empty text has none: its rate follows from the base
-posteriors and moves no total. Without labels every document belongs to all domains alike. Repeated
-rows have equal rates. An empty table gives no rows. A domain without tokens cannot meet its target.
+posteriors and moves no total. Without labels every document belongs to all domains alike and every
+rate is 1. Repeated rows have equal rates. An empty table gives no rows. A domain without tokens cannot meet its target.
 """
 
 import numpy as np
@@ -35,6 +35,7 @@ class Softmax:
         self.features = features
         self.w = np.zeros((2, len(features), domains))
         self.b = np.zeros(domains)
+        self.fitted = False
 
     def posteriors(self, row, at, rate, n):
         z = np.empty((n, len(self.b)))
@@ -58,6 +59,7 @@ class Softmax:
             self.w -= 0.3 * grad / np.sqrt(seen)
             seen_b += g.mean(0) ** 2
             self.b -= 0.3 * g.mean(0) / np.sqrt(seen_b)
+        self.fitted = True
         return self
 
     def __call__(self, texts, reader):
@@ -209,6 +211,8 @@ def mixed(docs, labels, domains, budget=None):
     """``docs`` repeated or left out by their rates: the whole part of a rate always, the rest by a
     hash of id and text, so that a run gives the same rows again."""
     model = classifier(docs, labels, domains)
+    if not model.fitted:
+        return docs
     pulls, step, _ = fit_rates(memberships(docs, model), [w for *_, w in domains], budget)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -230,7 +234,9 @@ def op4_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier(docs, table(spark, sf_dir, "labels"))
     blocks = memberships(docs, model)
-    pulls, step, _ = fit_rates(blocks, [w for *_, w in DOMAINS])
+    pulls, step = [], 0.0
+    if model.fitted:
+        pulls, step, _ = fit_rates(blocks, [w for *_, w in DOMAINS])
     return fitted(blocks, len(DOMAINS), pulls, step).select(
         "doc_id", "tokens", *[F.col("posteriors")[k].alias(f"p_{name}")
                               for k, (name, *_) in enumerate(DOMAINS)], "rate")

@@ -123,6 +123,8 @@ def decode(data, table, first=0, last=None):
         state[:width] = x
         out[(step - begin) * lanes:(step - begin) * lanes + width] = sym
     ids = table.ids[out]
-    if first == 0 and last == n and zlib.crc32(ids.astype("<u4").tobytes()) != check:
+    # The whole block leads back to the states the coder began with.
+    if first == 0 and last == n and (
+            (state != LOW).any() or zlib.crc32(ids.astype("<u4").tobytes()) != check):
         raise ValueError("block checksum differs")
     return ids[first - begin * lanes:last - begin * lanes]
