@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import appended, fresh, mapped, table
 
 ORDER, SYMBOLS, WIDTH = 4, 64, 6
-ALPHA, SLACK = 0.001, 0.5
+ALPHA, SLACK = 0.0001, 1.0
 SHARP = 20.0  # bits per symbol to odds, for the score
 PIECE = 1 << 20  # characters handled at once; a longer text goes on in the next piece
 
