@@ -4,5 +4,8 @@ Queries round floating sums and means, because two engines add in different orde
 time buckets as text.
 """
 
-from . import cleansing, expressions, filters, rollups, running, serving, sources, statistics, streaming
+from . import (
+    cleansing, expressions, filters, rollups, running, serving, sources, spread, statistics,
+    streaming,
+)
 from .registry import ORACLES, QUERIES

@@ -153,6 +153,16 @@ def flatten_maps(spark, sf_dir):
     return cleansing.flatten_maps(untyped)
 
 
+@query("b6c_flatten_map_lines", oracle("""
+SELECT id AS event_id, mag AS magnitude, place, time AS epoch_millis, longitude, latitude, depth_km,
+       felt AS felt_reports, alert AS alert_level, tsunami AS tsunami_flag FROM raw"""))
+def flatten_map_lines(spark, sf_dir):
+    """Landed lines, read untyped."""
+    path = workspace(spark, "b6c")
+    writers.land_features(features(spark, sf_dir), path, "2024-02-01 05:06:07", "lines")
+    return cleansing.flatten_maps(readers.read_feature_maps(spark, path))
+
+
 @query("b7_defaults", oracle("""
 SELECT id AS event_id, CASE WHEN time % 4 >= 1 THEN longitude ELSE 0 END AS longitude,
        CASE WHEN time % 4 >= 2 THEN latitude ELSE 0 END AS latitude,

@@ -41,13 +41,17 @@ def strata_sample(quakes, split=STRATUM_SPLIT, n=SAMPLE_SIZE, seed=SAMPLE_SEED):
     """All major events and ``n`` moderate ones, in time order.
 
     The sample is the first ``n`` by a hash of the id: exactly ``n``, and the same ones on
-    every run and partitioning.
+    every run and partitioning. Rows are first cut at a hash that leaves about four times
+    ``n`` of them, so the ordered limit does not get ``n`` rows from every task; if the cut
+    should leave fewer than ``n``, all are ordered.
     """
     rows = with_stratum(quakes, split)
-    moderate = (
-        rows.filter(F.col("stratum") == "moderate")
-        .orderBy(sample_rank(seed), "event_id").limit(n)
-    )
-    return rows.filter(F.col("stratum") == "major").unionByName(moderate).orderBy(
+    moderate = rows.filter(F.col("stratum") == "moderate")
+    place = F.conv(F.substring(sample_rank(seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    total = moderate.agg(F.count(F.lit(1))).scalar()
+    low = place * total <= F.lit(4.0 * n)
+    enough = moderate.filter(low).agg(F.count(F.lit(1)) >= n).scalar()
+    chosen = moderate.filter(low | ~enough).orderBy(sample_rank(seed), "event_id").limit(n)
+    return rows.filter(F.col("stratum") == "major").unionByName(chosen).orderBy(
         "epoch_millis", "event_id"
     )

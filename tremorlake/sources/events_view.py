@@ -79,8 +79,14 @@ _RAW = {
 }
 
 
-def _raw(spark, sf_dir):
-    return events(spark, sf_dir).selectExpr(*[f"{sql} AS {name}" for name, sql in _RAW.items()])
+# Whole thirty-day steps, by event id, that spread the one month of ``events`` over 2019 to 2025.
+SPREAD_STEP = 30 * 86_400_000
+SPREAD = f"(pmod(event_id * 37, 84) - 61) * {SPREAD_STEP}"
+
+
+def _raw(spark, sf_dir, spread=False):
+    columns = dict(_RAW, time=f"{_MILLIS} + {SPREAD}") if spread else _RAW
+    return events(spark, sf_dir).selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def features(spark, sf_dir):
@@ -96,9 +102,10 @@ def features(spark, sf_dir):
     )
 
 
-def quakes(spark, sf_dir):
+def quakes(spark, sf_dir, spread=False):
     """The processed table over ``events``; its ids are unique, so no dedup is needed.
 
-    Taken from the flat columns, so a query reads only the event columns it needs.
+    Taken from the flat columns, so a query reads only the event columns it needs. ``spread``
+    moves the events over seven years.
     """
-    return _raw(spark, sf_dir).selectExpr(*processed_columns("{}".format, POINT))
+    return _raw(spark, sf_dir, spread).selectExpr(*processed_columns("{}".format, POINT))

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import event_date, event_time, to_millis
-from ..schemas import COLLECTION, CORRUPT, FEATURE_LINES, LANDING_KEYS, QUAKES
+from ..schemas import (
+    COLLECTION, CORRUPT, FEATURE_LINES, FEATURE_MAPS, LANDING_KEYS, QUAKES,
+)
 
 
 def _json(reader, path, schema, glob):
@@ -46,6 +48,12 @@ def read_features_ndjson(spark, path, glob="*.json*"):
     return lines.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_feature_maps(spark, path, glob="*.json*"):
+    """Line-delimited features whose properties and geometry are string maps, for
+    ``flatten_maps``."""
+    return _json(spark.read, path, FEATURE_MAPS, glob)
+
+
 def read_quakes(spark, path, fmt="parquet"):
     """The processed table with ``dt_utc``, the instant of ``epoch_millis``."""
     reader = spark.read.schema(QUAKES)
