@@ -6,6 +6,7 @@ cache of a Python worker answers for repeats. The cache changes the speed only,
 with any other white space than single spaces and line ends go to the library whole.
 """
 
+import gc
 import os
 import re
 import zlib
@@ -13,16 +14,23 @@ from array import array
 
 import public_tokenizers
 
-CACHED = 1_000_000  # entries of each of a worker's caches
+CACHED = 1_500_000  # entries of each of a worker's caches
 CACHED_LENGTH = 32  # characters of the longest cached chunk
 
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
+# What makes a text go to the library whole: other white space, runs of it, or some at an end.
+_SPACES = [c for c in map(chr, range(0x3100)) if c.isspace() and c not in " \n"] + ["\u180e"]
+_RUNS = ["  ", " \n", "\n ", "\n\n"]
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _MARKS = r"[!-&(-/:-@\[-`{-~]+"
 # A word with marks (no apostrophe) behind it, and perhaps a second word on the next line.
 _PARTS = re.compile(rf"({_WORD})({_MARKS})?(?:(\n)({_WORD})({_MARKS})?)?")
 
 
+def _odd(text):
+    return (text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS)
+            or any(c in text for c in _SPACES))
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, each text followed by ``end_id``.
 
@@ -42,7 +50,7 @@ class Encoder:
         self.chunks, self.bare = {}, {}
 
     def _ids(self, texts):
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
     def _parts(self, chunk):
@@ -74,10 +82,17 @@ class Encoder:
 
     def encode(self, texts):
         """One bytes object per text."""
+        gc.disable()  # many small objects and no cycles: collecting would only cost time
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts):
         get, out, slow = self.chunks.get, [None] * len(texts), []
         cut, missing, total = [], set(), 0
         for k, text in enumerate(texts):
-            if not text or _ODD.search(text):
+            if not text or _odd(text):
                 slow.append(k)
                 continue
             head, *rest = text.split(" ")
