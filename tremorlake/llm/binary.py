@@ -49,8 +49,11 @@ def _raw_blocks(docs, tokenizer, end_id):
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def block():
-            nonlocal number, held, rows, total
+            nonlocal number, held, rows, total, counts
             data = b"".join(held)
+            seen = np.bincount(np.frombuffer(data, "<u4"), minlength=len(counts))
+            seen[:len(counts)] += counts
+            counts = seen
             out = [[part], [number], ["ids"], [squeeze(data)], [[r[0] for r in rows]],
                    [[r[1] for r in rows]], [[r[2] for r in rows]]]
             number, held, rows, total = number + 1, [], [], 0
@@ -59,10 +62,6 @@ def _raw_blocks(docs, tokenizer, end_id):
         for ids, texts in batches:
             for doc, data in zip(ids, encoder(tokenizer, end_id).encode(texts)):
                 own = np.frombuffer(data, "<u4")
-                seen = np.bincount(own)
-                if len(seen) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)])
-                counts[:len(seen)] += seen
                 if total and total + len(own) > rans.BLOCK:
                     yield block()
                 for at in range(0, len(own), rans.BLOCK):
