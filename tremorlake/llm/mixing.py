@@ -63,11 +63,12 @@ class Softmax:
         return self
 
     def __call__(self, texts, reader):
+        """Posteriors and words of texts."""
         got = [reader(t) for t in texts]
-        row = np.repeat(np.arange(len(texts)), [len(a) for a, _ in got])
-        at = np.concatenate([a for a, _ in got]) if got else np.zeros(0, np.int64)
-        rate = np.concatenate([r for _, r in got]) if got else np.zeros(0)
-        return self.posteriors(row, at, rate, len(texts))
+        row = np.repeat(np.arange(len(texts)), [len(a) for a, *_ in got])
+        at = np.concatenate([a for a, *_ in got]) if got else np.zeros(0, np.int64)
+        rate = np.concatenate([r for _, r, _ in got]) if got else np.zeros(0)
+        return self.posteriors(row, at, rate, len(texts)), np.array([n for *_, n in got], float)
 
 
 def classifier(docs, labels, domains=DOMAINS):
@@ -81,8 +82,8 @@ def classifier(docs, labels, domains=DOMAINS):
         for texts, *found in batches:
             got = [reader(t) for t in texts]
             yield [np.argmax(np.array(found), axis=0).tolist(),
-                   [a.astype("<i4").tobytes() for a, _ in got],
-                   [r.astype("<f4").tobytes() for _, r in got]]
+                   [a.astype("<i4").tobytes() for a, *_ in got],
+                   [r.astype("<f4").tobytes() for _, r, _ in got]]
 
     # Rows of no domain teach nothing.
     some = " or ".join(f"{y} = 1" for y in ys)
@@ -99,10 +100,6 @@ def classifier(docs, labels, domains=DOMAINS):
         np.array([r.y for r in got]))
 
 
-def words(text):
-    return len((text or "").encode().split())
-
-
 def memberships(docs, model):
     """Blocks of documents: ids, tokens and posteriors as arrays, without texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -117,7 +114,8 @@ def memberships(docs, model):
                     [np.concatenate(p).tobytes()]]
 
         for ids, texts in batches:
-            held.append((ids, np.array([words(t) for t in texts], np.float64), own(texts, reader)))
+            found, n = own(texts, reader)
+            held.append((ids, n, found))
             if sum(len(h[0]) for h in held) >= BLOCK:
                 yield block()
                 held = []
@@ -219,7 +217,7 @@ def mixed(docs, labels, domains, budget=None):
     def compute():
         own = shared.value
         reader = Reader(own.features)
-        return lambda texts: [rates(own(texts, reader), pulls, step)[0]]
+        return lambda texts: [rates(own(texts, reader)[0], pulls, step)[0]]
 
     (rate, copies) = fresh(docs, "rate", "copies")
     out = appended(docs, ["text"], f"`{rate}` double", compute)

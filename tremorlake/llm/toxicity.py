@@ -95,32 +95,39 @@ def screen(rows, chain=CHAIN, most=FEATURES):
     return sorted(chosen)
 
 
-class Reader:
-    """Places and rates of the chosen features in texts."""
+class _Places(dict):
+    """Places of a chunk's chosen features; most chunks have none."""
 
     def __init__(self, features):
         self.place = {f: k for k, f in enumerate(features)}
-        self.known = {}
-
-    def _of(self, chunk):
-        own = tuple(self.place[f] for f in features_of(chunk) if f in self.place)
-        if len(self.known) >= CACHED:
-            self.known.clear()
-        self.known[chunk] = own
+        # Every feature of a word begins as the word does.
+        self.heads = {f.rstrip("*")[:min(_BEGINNINGS)] for f in features}
+
+    def __missing__(self, chunk):
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        own = ()
+        if any(w[:min(_BEGINNINGS)] in self.heads for w in words):
+            own = tuple(self.place[f] for f in features_of(chunk) if f in self.place)
+        if len(self) >= CACHED:
+            self.clear()
+        self[chunk] = own
         return own
 
+
+class Reader:
+    """Places and rates of the chosen features in texts, and their words."""
+
+    def __init__(self, features):
+        self.known = _Places(features)
+
     def __call__(self, text):
-        chunks = Counter((text or "").lower().split())
-        found, known = Counter(), self.known
-        for chunk, n in chunks.items():
-            own = known.get(chunk)
-            if own is None:
-                own = self._of(chunk)
-            for k in own:
-                found[k] += n
+        chunks = (text or "").lower().split()
+        found = Counter()
+        for own in filter(None, map(self.known.__getitem__, chunks)):
+            found.update(own)
         at = np.fromiter(found, np.int64, len(found))
         n = np.fromiter(found.values(), np.float64, len(found))
-        return at, np.log1p(50 * n / max(1, sum(chunks.values())))
+        return at, np.log1p(50 * n / max(1, len(chunks))), len(chunks)
 
 
 class Linear:
@@ -182,9 +189,9 @@ class Chain:
 
     def predict(self, texts, read):
         got = [read(t) for t in texts]
-        row = np.repeat(np.arange(len(texts)), [len(a) for a, _ in got])
-        at = np.concatenate([a for a, _ in got]) if got else np.zeros(0, np.int64)
-        rate = np.concatenate([r for _, r in got]) if got else np.zeros(0)
+        row = np.repeat(np.arange(len(texts)), [len(a) for a, *_ in got])
+        at = np.concatenate([a for a, *_ in got]) if got else np.zeros(0, np.int64)
+        rate = np.concatenate([r for _, r, _ in got]) if got else np.zeros(0)
         dense = np.zeros((len(texts), 0))
         for model in self.models:
             odds = model.odds(row, at, rate, dense, len(texts))
@@ -215,8 +222,8 @@ def train(docs, labels, chain=CHAIN):
         reader = Reader(features)
         for texts, folds, *labels in batches:
             got = [reader(t) for t in texts]
-            yield [folds, *labels, [a.astype("<i4").tobytes() for a, _ in got],
-                   [r.astype("<f4").tobytes() for _, r in got]]
+            yield [folds, *labels, [a.astype("<i4").tobytes() for a, *_ in got],
+                   [r.astype("<f4").tobytes() for _, r, _ in got]]
 
     fields = "fold int, " + ", ".join(f"{y} int" for y in ys) + ", at binary, rate binary"
     got = mapped(rows.select("text", "fold", *ys), fields, read).collect()  # bounded by LABELLED
