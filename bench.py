@@ -24,28 +24,37 @@ HEADLINE = (
     "f1_running_energy_slice", "f3_first_at_or_after", "f4_rolling_counts",
     "b1_dedup", "b2_incremental_new", "b6a_flatten", "a4_parquet", "a12_serving_load",
     "h1a_latest_scan", "h1b_seek", "h1c_latest_all_regions", "h3_top_places", "h5_strata_sample",
-    "g3_stream_land", "g4_stream_activity",
+    "a13_compaction", "g3_stream_land", "g4_stream_activity",
 )
+# Queries over an input that is made first; its time is given apart, as "prepare".
+PREPARED = {"h1b_seek": "serving", "g3_stream_land": "streaming", "g4_stream_activity": "streaming"}
 STREAMS = ("g3_stream_land", "g4_stream_activity")  # run once warm: they are whole jobs
 
 
-def run(query, spark):
+def run(query, spark, *prepared):
     start = time.perf_counter()
-    query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    query(spark, SF_DIR, *prepared).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
 def main():
+    from tremorlake import catalog
     from tremorlake.catalog import QUERIES
     from tremorlake.operators.statistics import latency_summary
     from tremorlake.session import local_session
 
     spark = local_session(CPUS, shuffle_partitions=CPUS if CPUS.isdigit() else 8)
     names = sys.argv[1:] or HEADLINE
-    cold, warm, samples = {}, {}, []
+    cold, warm, samples, made, prepare = {}, {}, [], {}, {}
     for name in names:
-        cold[name] = round(run(QUERIES[name], spark), 3)
-        times = [run(QUERIES[name], spark) for _ in range(1 if name in STREAMS else RUNS)]
+        source = PREPARED.get(name)
+        if source and source not in made:
+            start = time.perf_counter()
+            made[source] = getattr(catalog, source).prepare(spark, SF_DIR)
+            prepare[source] = round(time.perf_counter() - start, 3)
+        given = [made[source]] if source else []
+        cold[name] = round(run(QUERIES[name], spark, *given), 3)
+        times = [run(QUERIES[name], spark, *given) for _ in range(1 if name in STREAMS else RUNS)]
         warm[name] = round(statistics.median(times), 3)
         samples += [("warm", t * 1000) for t in times] + [("cold", cold[name] * 1000)]
         print(f"{name:34s} cold {cold[name]:7.3f} warm {warm[name]:7.3f}", file=sys.stderr, flush=True)
@@ -57,7 +66,7 @@ def main():
     print(json.dumps({
         "metric": "sum of warm medians", "value": round(sum(warm.values()), 3), "unit": "sec",
         "queries": warm, "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": CPUS,
-        "cold": cold, "latency_ms": summary,
+        "cold": cold, "prepare": prepare, "latency_ms": summary,
     }))
 
 

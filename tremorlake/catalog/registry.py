@@ -73,17 +73,6 @@ def query(name, sql=None):
     return add
 
 
-_made = {}
-
-
-def once(spark, key, make):
-    """A folder that several queries read, made by the first of them in this application."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
-
-
 def rounded(df, digits=6, **columns):
     """Round the named columns, or all doubles, to ``digits``."""
     plan = columns or {c: digits for c, kind in df.dtypes if kind == "double"}

@@ -6,7 +6,7 @@ from ..operators import serving
 from ..plans import warehouse
 from ..session import workspace
 from ..sources.events_view import quakes
-from .registry import once, oracle, query
+from .registry import oracle, query
 
 _KEY = "region || '#' || lpad(CAST(9223372036854775807 - epoch_millis AS VARCHAR), 19, '0') AS row_key"
 _KEYED = f"keyed AS (SELECT *, {_KEY}, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM quakes)"
@@ -18,10 +18,14 @@ def _write(spark, sf_dir):
     return path
 
 
-def _written(spark, sf_dir):
-    """The serving table, loaded once per application: a seek does not load it again."""
-    path = once(spark, ("serving", sf_dir), lambda: _write(spark, sf_dir))
-    return serving.read_serving(spark, path)
+def prepare(spark, sf_dir):
+    """The loaded serving table's path: the prepared input that the seeks take."""
+    return _write(spark, sf_dir)
+
+
+def _written(spark, sf_dir, path=None):
+    """The serving table at ``path``, or one loaded for this query."""
+    return serving.read_serving(spark, path or prepare(spark, sf_dir))
 
 
 # One row per key: the largest event id.
@@ -115,8 +119,8 @@ def latest_sql(spark, sf_dir):
 
 @query("h1b_seek", oracle(
     f"SELECT {_FAMILIES} FROM upserted WHERE region = 'CALIFORNIA' ORDER BY row_key LIMIT 10", _KEYED, _UPSERTED))
-def seek(spark, sf_dir):
-    rows = serving.seek(_written(spark, sf_dir), "CALIFORNIA", 10)
+def seek(spark, sf_dir, path=None):
+    rows = serving.seek(_written(spark, sf_dir, path), "CALIFORNIA", 10)
     return rows.select("row_key", "region", "epoch_millis", "event.*", "meta.*")
 
 
@@ -124,8 +128,8 @@ def seek(spark, sf_dir):
     "SELECT row_key, 'M ' || printf('%.1f', magnitude) AS magnitude, place, depth_km, "
     "iso AS event_time, alert_level AS alert FROM upserted WHERE region = 'ALASKA' "
     "ORDER BY row_key LIMIT 5", _KEYED, _UPSERTED))
-def seek_listing(spark, sf_dir):
-    return serving.seek_table(_written(spark, sf_dir), "ALASKA", 5)
+def seek_listing(spark, sf_dir, path=None):
+    return serving.seek_table(_written(spark, sf_dir, path), "ALASKA", 5)
 
 
 @query("h1c_latest_all_regions", oracle("""
@@ -140,15 +144,15 @@ def latest_all(spark, sf_dir):
 @query("h2_seek_one", oracle(
     "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM upserted "
     "WHERE region = 'ALASKA' ORDER BY row_key LIMIT 1", _KEYED, _UPSERTED))
-def seek_one(spark, sf_dir):
-    return serving.seek_one(_written(spark, sf_dir), "ALASKA")
+def seek_one(spark, sf_dir, path=None):
+    return serving.seek_one(_written(spark, sf_dir, path), "ALASKA")
 
 
 @query("h2_seek_one_major", oracle(
     "SELECT magnitude AS mag, place, iso AS event_time, alert_level AS alert FROM upserted "
     "WHERE region = 'ALASKA' AND mag10 >= 50 ORDER BY row_key LIMIT 1", _KEYED, _UPSERTED))
-def seek_one_major(spark, sf_dir):
-    return serving.seek_one(_written(spark, sf_dir), "ALASKA", 5.0)
+def seek_one_major(spark, sf_dir, path=None):
+    return serving.seek_one(_written(spark, sf_dir, path), "ALASKA", 5.0)
 
 
 @query("h6_retention", oracle("""

@@ -249,6 +249,21 @@ def storage(spark, sf_dir):
     return footprint.storage_footprint(spark, root)
 
 
+@query("a14_storage_facts", """
+SELECT format, true AS has_files, true AS within_raw, true AS savings_agree
+FROM (VALUES ('json'), ('parquet'), ('orc'), ('csv')) formats(format)""")
+def storage_facts(spark, sf_dir):
+    """What holds of the measured bytes whatever the writers do."""
+    sizes = storage(spark, sf_dir)
+    raw = sizes.filter("format = 'json'").agg(F.max("bytes")).scalar()
+    return sizes.select(
+        "format", (F.col("files") > 0).alias("has_files"),
+        (F.col("bytes") <= raw).alias("within_raw"),
+        (F.col("savings_percent") == F.round((1 - F.col("bytes") / raw) * 100, 1))
+        .alias("savings_agree"),
+    )
+
+
 @query("a15_catalog_windows", oracle("""
 SELECT w AS catalog, count(*) AS events, min(epoch_millis) AS first, max(epoch_millis) AS last FROM (
   SELECT 'major_2020_2024' AS w, epoch_millis FROM quakes WHERE mag10 >= 50 AND event_time >= '2020-01-01' AND event_time <= '2024-12-31'

@@ -11,20 +11,22 @@ from ..session import workspace
 from ..sources import readers, writers
 from ..sources.events_view import features
 from ..streaming import ingest
-from .registry import as_text, once, oracle, query, rounded, terajoules
+from .registry import as_text, oracle, query, rounded, terajoules
 
 LANDED_AT = "2024-02-01 05:06:07"
 
 
-def _feed(spark, sf_dir, form="documents"):
-    """The feed as a stream; the documents are landed once per application."""
-    def land():
-        path = workspace(spark, "feed")
-        for delivery in (LANDED_AT, "2024-02-01 06:00:00"):
-            writers.land_features(features(spark, sf_dir), path, delivery, form)
-        return path
+def prepare(spark, sf_dir, form="documents"):
+    """Land the feed and return its path: the prepared input that the streams take."""
+    path = workspace(spark, "feed")
+    for delivery in (LANDED_AT, "2024-02-01 06:00:00"):
+        writers.land_features(features(spark, sf_dir), path, delivery, form)
+    return path
 
-    return ingest.stream_features(spark, once(spark, ("feed", sf_dir, form), land), form=form)
+
+def _feed(spark, sf_dir, path=None):
+    """The feed at ``path`` as a stream, or one landed for this query."""
+    return ingest.stream_features(spark, path or prepare(spark, sf_dir))
 
 
 def _folders(spark, name):
@@ -61,10 +63,10 @@ def dedup(spark, sf_dir):
 
 @query("g3_stream_land", oracle("""
 SELECT id, mag, place, time, '2024' AS "YYYY", '02' AS "MM", '01' AS "DD", '07' AS "HH" FROM raw"""))
-def land(spark, sf_dir):
+def land(spark, sf_dir, path=None):
     """Two bounded runs on one checkpoint: the second finds nothing new."""
     out, checkpoint = _folders(spark, "g3")
-    stream = _feed(spark, sf_dir)
+    stream = _feed(spark, sf_dir, path)
     for _ in range(2):
         ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 07:00:00"))
     return readers.read_landed(spark, out).select(
@@ -151,9 +153,9 @@ SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour_win
        count(*) AS total_events, round(avg(magnitude), 9) AS avg_magnitude,
        max(magnitude) AS max_magnitude, round(sum(energy) / 1e12, 3) AS total_energy_tj
 FROM quakes GROUP BY 1"""))
-def activity(spark, sf_dir):
+def activity(spark, sf_dir, path=None):
     out, checkpoint = _folders(spark, "g4")
-    ingest.run(ingest.stream_activity(_feed(spark, sf_dir), out, checkpoint))
+    ingest.run(ingest.stream_activity(_feed(spark, sf_dir, path), out, checkpoint))
     rows = terajoules(ingest.current_activity(spark, out), "total_energy_joules", "total_energy_tj")
     return as_text(rounded(rows, avg_magnitude=9), "hour_window")
 
