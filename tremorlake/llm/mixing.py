@@ -49,12 +49,23 @@ class Softmax:
         target = np.eye(domains)[y]
         self.b = np.log(np.maximum(target.mean(0), 1e-4))
         seen, seen_b = np.full(self.w.shape, 1e-8), np.full(domains, 1e-8)
+        # Sums over the entries of a document or feature are sums of stretches of sorted rows.
+        docs, first = np.unique(row, return_index=True)
+        order = np.argsort(at, kind="stable")
+        places, begin = np.unique(at[order], return_index=True)
+        by_place, weight = row[order], rate[order]
         for _ in range(STEPS):
-            g = self.posteriors(row, at, rate, n) - target
+            z = np.tile(self.b, (n, 1))
+            for d in range(domains if len(row) else 0):
+                plain, scaled = np.ascontiguousarray(self.w[:, :, d])
+                z[docs, d] += np.add.reduceat(plain[at] + scaled[at] * rate, first)
+            z = np.exp(z - z.max(1, keepdims=True))
+            g = z / z.sum(1, keepdims=True) - target
             grad = RIDGE * self.w
-            for d in range(domains):
-                grad[0, :, d] += np.bincount(at, g[row, d], len(self.features)) / n
-                grad[1, :, d] += np.bincount(at, g[row, d] * rate, len(self.features)) / n
+            for d in range(domains if len(row) else 0):
+                own = np.ascontiguousarray(g[:, d])[by_place]
+                grad[0, places, d] += np.add.reduceat(own, begin) / n
+                grad[1, places, d] += np.add.reduceat(own * weight, begin) / n
             seen += grad ** 2
             self.w -= 0.3 * grad / np.sqrt(seen)
             seen_b += g.mean(0) ** 2
