@@ -50,11 +50,13 @@ def _raw_blocks(docs, tokenizer, end_id):
 
         def block():
             nonlocal number, held, rows, total, counts
-            data = b"".join(held)
-            seen = np.bincount(np.frombuffer(data, "<u4"), minlength=len(counts))
+            data = np.concatenate(held)
+            seen = np.bincount(data, minlength=len(counts))
             seen[:len(counts)] += counts
             counts = seen
-            out = [[part], [number], ["ids"], [squeeze(data)], [[r[0] for r in rows]],
+            if len(seen) <= 1 << 16:
+                data = data.astype("<u2")
+            out = [[part], [number], ["ids"], [squeeze(data.tobytes())], [[r[0] for r in rows]],
                    [[r[1] for r in rows]], [[r[2] for r in rows]]]
             number, held, rows, total = number + 1, [], [], 0
             return out
@@ -68,7 +70,7 @@ def _raw_blocks(docs, tokenizer, end_id):
                     if total >= rans.BLOCK:
                         yield block()
                     piece = own[at:at + rans.BLOCK]
-                    held.append(piece.astype("<u4").tobytes())
+                    held.append(piece)
                     rows.append((doc, len(piece), at + len(piece) < len(own)))
                     total += len(piece)
         if total:
@@ -110,7 +112,8 @@ def write_ids(docs, path, tokenizer=TOKENIZER, end_id=END_ID):
         unpack = zstandard.ZstdDecompressor().decompress
         for part, number, payload, docs_, lengths, more in batches:
             for row in zip(part, number, payload, docs_, lengths, more):
-                ids = np.frombuffer(unpack(row[2]), "<u4")
+                data = unpack(row[2])
+                ids = np.frombuffer(data, f"<u{len(data) // sum(row[4])}")
                 yield [[row[0]], [row[1]], [len(ids)], [rans.encode(ids, shared)],
                        [row[3]], [row[4]], [row[5]]]
 

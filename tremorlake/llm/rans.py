@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, SECTIONS = 1 << 19, 1024, 2
+BLOCK, LANES, SECTIONS = 1 << 19, 2048, 2
 BITS = 19  # frequencies sum to 1 << BITS
 LOW = 1 << 31  # least state
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, words, sections, CRC-32

@@ -14,7 +14,7 @@ from array import array
 
 import public_tokenizers
 
-CACHED = 1_500_000  # entries of each of a worker's caches
+CACHED = 1_000_000  # entries of each of a worker's caches
 CACHED_LENGTH = 32  # characters of the longest cached chunk
 
 # What makes a text go to the library whole: other white space, runs of it, or some at an end.
@@ -31,6 +31,17 @@ def _odd(text):
             or any(c in text for c in _SPACES))
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that is not known is noted and has no ids for now."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __missing__(self, chunk):
+        self.asked.append(chunk)
+        return b""
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, each text followed by ``end_id``.
 
@@ -47,7 +58,7 @@ class Encoder:
         # Whether the word after a space carries that space in its first id.
         self.lead = " " if self._ids([" b"]) != self._ids(["b"]) else ""
         self.end = array("I", [end_id]).tobytes()
-        self.chunks, self.bare = {}, {}
+        self.chunks, self.bare = _Known(), {}
 
     def _ids(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,7 +78,7 @@ class Encoder:
         found = {p: known[p] for p in wanted if p in known}
         ids = dict(zip(new, self._ids([lead + p for p in new])))
         if len(known) + len(new) <= CACHED:
-            known.update((p, i) for p, i in ids.items() if len(p) <= CACHED_LENGTH)
+            known.update((p, i) for p, i in ids.items() if i and len(p) <= CACHED_LENGTH)
         found.update(ids)
         return found
 
@@ -77,7 +88,8 @@ class Encoder:
         bare = self._lookup(self.bare, {p for _, tail in parts.values() for p in tail}, "")
         learnt = {c: heads[a] + b"".join([bare[p] for p in tail]) for c, (a, tail) in parts.items()}
         if len(self.chunks) + len(learnt) <= CACHED:
-            self.chunks.update((c, i) for c, i in learnt.items() if len(c) <= CACHED_LENGTH)
+            self.chunks.update((c, i) for c, i in learnt.items()
+                               if i and len(c) <= CACHED_LENGTH)
         return learnt
 
     def encode(self, texts):
@@ -89,25 +101,28 @@ class Encoder:
             gc.enable()
 
     def _encoded(self, texts):
-        get, out, slow = self.chunks.get, [None] * len(texts), []
-        cut, missing, total = [], set(), 0
+        known, out, slow = self.chunks, [None] * len(texts), []
+        asked = known.asked = []
+        cut, total = [], 0
         for k, text in enumerate(texts):
             if not text or _odd(text):
                 slow.append(k)
                 continue
             head, *rest = text.split(" ")
-            ids = list(map(get, rest))
+            first = len(asked)
+            ids = list(map(known.__getitem__, rest))
             total += len(ids)
-            if None in ids:
-                missing.update(c for c, i in zip(rest, ids) if i is None)
-            cut.append((k, head, rest, ids))
-        if len(missing) * 4 > total and len(self.chunks) > CACHED * 3 // 4:
-            self.chunks.clear()  # the texts have changed
+            cut.append((k, head, ids, asked[first:]))
+        missing = set(asked)
+        if len(missing) * 4 > total and len(known) > CACHED * 3 // 4:
+            known.clear()  # the texts have changed
         learnt = self._learn(missing) if missing else {}
         heads = self._ids([c[1] for c in cut])
-        for (k, _, rest, ids), head in zip(cut, heads):
-            if learnt and None in ids:
-                ids = [learnt[c] if i is None else i for c, i in zip(rest, ids)]
+        for (k, _, ids, gaps), head in zip(cut, heads):
+            at = -1
+            for chunk in gaps:  # in the order of the text
+                at = ids.index(b"", at + 1)
+                ids[at] = learnt[chunk]
             out[k] = b"".join([head, *ids, self.end])
         for k, ids in zip(slow, self._ids([texts[k] or "" for k in slow])):
             out[k] = ids + self.end
