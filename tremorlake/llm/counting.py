@@ -9,11 +9,11 @@ from collections import Counter
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, stored, table
 from .tokens import encoder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
-RUN = 4096  # lengths summed by one window; what the runs sum to is one row each
+RUN = 256  # lengths summed by one window; what the runs sum to is one row each
 
 
 def length_histogram(docs, tokenizer=TOKENIZER, end_id=END_ID):
@@ -29,7 +29,7 @@ def length_histogram(docs, tokenizer=TOKENIZER, end_id=END_ID):
 
 
 def suffix_sums(histogram):
-    """For each length L that occurs, as a context limit.
+    """For each length L that occurs, as a context limit; ``histogram`` is read twice: store it.
 
     ``docs_longer`` documents exceed it; ``tokens_upto`` are in documents that do not;
     ``truncated_tokens`` remain if every document is cut to L; ``docs_upto`` / ``total_docs`` is the
@@ -89,4 +89,5 @@ def quantiles(sums, ranks):
 
 def op2_token_counts(spark, sf_dir):
     """Suffix sums over the length histogram of all documents."""
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    histogram = length_histogram(table(spark, sf_dir, "documents"))
+    return suffix_sums(stored(histogram, "histogram"))
