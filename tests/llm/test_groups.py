@@ -129,6 +129,61 @@ def test_dedup_of_awkward_documents(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def word_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").lower().split()
+        out.append({tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def kept_plainly(texts):
+    """Numbers of the texts that stay: one of each class of Jaccard similarity 0.8 or more."""
+    sets = word_sets(texts)
+    near = [(a, b) for a in range(len(sets)) for b in range(a)
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = roots(range(len(sets)), near)
+    return {k for k in root if root[k] == k}
+
+
+def changed(rng, words, count):
+    out = list(words)
+    for k in rng.sample(range(len(out)), count):
+        out[k] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect()}
+
+
+def test_near_copies_below_one_template(spark):
+    rng = random.Random(21)
+    template, texts, copies = [f"t{k}" for k in range(250)], [], []
+    for k in range(300):  # alike at 0.73; some have a copy that is alike at about 0.87
+        own = template + [f"own{k}x{j}" for j in range(45)]
+        texts.append(" ".join(own))
+        if k % 3 == 0:
+            copies.append(" ".join(changed(rng, own, 4)))
+    want = kept_plainly(texts + copies)
+    assert want == set(range(300))
+    assert kept(spark, texts + copies) == want
+
+
+def test_crowds_are_joined_exactly(spark, monkeypatch):
+    """Large groups around a base, whose copies are alike or not, by rounds and by listing."""
+    rng = random.Random(23)
+    texts = []
+    for k, count in enumerate((1, 3, 4, 5)):
+        own = [f"g{k}w{j}" for j in range(300)]
+        texts += [" ".join(changed(rng, own, count)) for _ in range(60)] + [" ".join(own)] * 3
+    rng.shuffle(texts)
+    want = kept_plainly(texts)
+    assert kept(spark, texts) == want
+    monkeypatch.setattr(simhash, "CROWD", 0)
+    assert kept(spark, texts) == want
+
+
 def test_search_is_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(0, 0.2, 16).round(2).tolist()) for k in range(700)]

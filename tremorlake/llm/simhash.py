@@ -11,13 +11,14 @@ midpoints instead, which is exact: two fingerprints are within 2 bits if and onl
 within 1 bit of both (and so on for other limits), and a midpoint has few sharers.
 
 ``one_of_each`` serves similarities of about 0.8, where 64-bit fingerprints differ in 3 to 14 bits
-and no pigeonhole is selective: it takes 2,880 bits in 120 parts of threshold 0 (see
-``similar_pairs``).
+and no pigeonhole is selective: it joins the shingle sets themselves by shared prefixes and decides
+by their Jaccard similarity (see ``similar_pairs``).
 
 Null or empty text: fingerprint zero, linked like any other. Repeated rows and ids are members of
 their fingerprint. An empty table gives no rows. Only doc_id and text are read.
 """
 
+from fractions import Fraction
 from itertools import accumulate, combinations
 from math import comb
 
@@ -231,14 +232,16 @@ def op5_simhash_dedup(spark, sf_dir):
                         "component_id")
 
 
-# Wide fingerprints, for similarities that 64 bits cannot tell: parts of 24 bits each.
+# Similarity of shingle sets, decided exactly, for limits that 64 bits cannot tell.
 WIDE_WORDS, SIMILARITY = 5, 0.8
-PARTS, PART_BITS = 120, 24
-_LANES = PARTS * PART_BITS // 64
+MAP_BITS = 1024  # of the parity map of a set
+SAMPLE, SEEN, COMMON = 20_000, 3, 1 << 17  # these only order shingles: any order is exact
+CROWD = 4  # pairs for each probe that are listed without joining crowds first
+ROUNDS = 12
 
 
-def wide_fingerprint(text, words=WIDE_WORDS):
-    """2,880-bit SimHash of the set of word shingles of a text, as bytes."""
+def shingles(text, words=WIDE_WORDS):
+    """The set of word shingles of a text as sorted 64-bit hashes."""
     from xxhash import xxh64_intdigest
 
     own = (text or "").encode().lower().split()
@@ -248,63 +251,149 @@ def wide_fingerprint(text, words=WIDE_WORDS):
         hashes = {xxh64_intdigest(line, SEED)} if own else set()
     else:
         hashes = {xxh64_intdigest(line[a:b - 1], SEED) for a, b in zip(ends, ends[words:])}
-    if not hashes:
-        return bytes(8 * _LANES)
-    hashes = np.fromiter(hashes, np.uint64, len(hashes))
-    # Independent 64-bit words of every hash: a multiplicative mix with a key per word.
-    keys = (np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    counts = np.zeros(64 * _LANES, np.int64)
-    for at in range(0, len(hashes), 255):  # as many as a byte can count
-        z = hashes[at:at + 255, None] + keys
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        counts += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
-def most_distant(similarity):
-    """Bits in which two wide fingerprints of that Jaccard similarity are expected to differ."""
-    return 64 * _LANES * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-
-
-def similar_pairs(distinct, similarity=SIMILARITY):
-    """(a, b) links between the nodes (node, fp) whose shingle sets are similar.
-
-    Every part has threshold 0: two fingerprints that differ in fewer bits than there are parts
-    agree on a part for certain, and at 24 bits a part pairs beyond that still do with a chance of
-    1 - (1 - p**24)**120, p the share of equal bits: 0.90 at similarity 0.8, 0.99 at 0.85. A bucket
-    of two is a pair; the members of a fuller one are held against its first, so a bucket makes as
-    many pairs as it has members. Pairs are verified on the whole fingerprint.
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def _parity(hashes):
+    """Whether an odd number of shingles fell on each bit: two sets differ in at least as many
+    shingles as their maps in bits."""
+    counts = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _common(docs, words):
+    """Shingles that a bounded sample of documents shares, the rarest first."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def run(batches):
+        for (texts,) in batches:
+            yield [np.concatenate([shingles(t, words) for t in texts]).view(np.int64)]
+
+    rows = mapped(docs.sample(share, SEED).select("text"), "hash bigint", run) \
+        .groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {SEEN}") \
+        .orderBy(F.desc("n"), "hash").limit(COMMON).collect()
+    return np.array([r.hash for r in rows][::-1], np.int64).view(np.uint64)
+
+
+def _prefix(hashes, common, rank, limit):
+    """The shingles of which similar sets share one: the first in the order of all shingles, those
+    that are not common by hash, then the common ones."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    count = n - -(-limit.numerator * n // limit.denominator) + 1
+    if not len(common):
+        return hashes[:count]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    place = np.where(common[at] == hashes, rank[at], -1)
+    return hashes[np.lexsort((hashes, place))[:count]]
+
+
+def similar_pairs(distinct, sets, similarity=SIMILARITY):
+    """(a, b) links that connect all nodes whose shingle sets have that Jaccard similarity.
+
+    ``distinct``: node, n (shingles), map, first (the prefix of the set). ``sets(nodes)``: node and
+    shingles of those nodes. Of two similar sets, the prefix of the larger and the shorter indexed
+    prefix of the smaller share a shingle for certain, so buckets by shingle miss no pair. Members
+    of a bucket that are connected already need no comparing: while a bucket of several classes is
+    crowded, all its members are held against one of them, another each round; then all pairs of
+    different classes are listed that position, size and map do not rule out. Every link is decided
+    on the sets.
     """
+    limit = Fraction(similarity).limit_denominator(1000)
+    top, both = limit.numerator, limit.numerator + limit.denominator
+
     def probe(batches):
-        at = (np.arange(PARTS, dtype=np.int64) << PART_BITS)[None, :]
-        weights = np.array([1 << 16, 1 << 8, 1], np.int64)
-        for nodes, fps in batches:
-            parts = np.frombuffer(b"".join(fps), np.uint8).reshape(len(nodes), PARTS, 3)
-            yield [(parts @ weights + at).ravel(), np.repeat(np.array(nodes, np.int64), PARTS)]
-
-    probes = mapped(distinct.select("node", "fp"), "key bigint, node bigint", probe)
-    met = stored(probes.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
-        .where("n > 1"), "met")
-    more = probes.join(met.where("n > 2").select("key", "a"), "key").where("node != a")
-    pairs = met.where("n = 2").select("a", "b").unionByName(
-        more.select("a", F.col("node").alias("b"))).distinct()
-    left = distinct.select(F.col("node").alias("a"), F.col("fp").alias("x"))
-    right = distinct.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-    limit = most_distant(similarity)
-
-    def verify(batches):
-        for a, b, x, y in batches:
+        for nodes, ns, firsts in batches:
+            sizes = [len(f) // 8 for f in firsts]
+            keys = np.frombuffer(b"".join(firsts), np.int64)
+            n = np.repeat(np.array(ns, np.int64), sizes)
+            at = np.concatenate([np.arange(s) for s in sizes])
+            yield [keys, np.repeat(np.array(nodes, np.int64), sizes), n, at,
+                   at <= n - -(-2 * top * n // both)]
+
+    probes = mapped(distinct.select("node", "n", "first"),
+                    "key bigint, node bigint, n bigint, at bigint, indexed boolean", probe)
+    met = probes.groupBy("key").agg(F.count("*").alias("members"),
+                                    F.count_if("indexed").alias("own")) \
+        .where("members > 1 and own > 0").select("key")
+    shared = stored(probes.join(stored(met, "met"), "key", "left_semi"), "shared")
+    total = shared.count()
+    maps = distinct.select("node", "n", "map")
+
+    def side(table, name):
+        return table.select(*[F.col(c).alias(name if c == "node" else f"{name}_{c}")
+                              for c in table.columns])
+
+    def may(batches):
+        for a, b, n, m, x, y in batches:
             apart = np.bitwise_count(
                 np.frombuffer(b"".join(x), np.uint64).reshape(len(a), -1)
                 ^ np.frombuffer(b"".join(y), np.uint64).reshape(len(a), -1)).sum(1, dtype=np.int64)
-            near = np.flatnonzero(apart <= limit)
+            # |x| + |y| less the differing ones is twice the overlap at most.
+            size = np.array(n, np.int64) + np.array(m, np.int64)
+            near = np.flatnonzero(both * (size - apart) >= 2 * top * size)
+            yield [[a[k] for k in near], [b[k] for k in near]]
+
+    def decide(batches):
+        for a, b, x, y in batches:
+            near = []
+            for k, (u, v) in enumerate(zip(x, y)):
+                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                overlap = len(u) + len(v) - len(np.union1d(u, v))
+                if both * overlap >= top * (len(u) + len(v)):
+                    near.append(k)
             yield [[a[k] for k in near], [b[k] for k in near]]
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return mapped(both, "a bigint, b bigint", verify)
+    def verified(pairs):
+        listed = pairs.distinct().join(side(maps, "a"), "a").join(side(maps, "b"), "b")
+        chosen = stored(mapped(listed.select("a", "b", "a_n", "b_n", "a_map", "b_map"),
+                               "a bigint, b bigint", may), "chosen")
+        nodes = chosen.select(F.col("a").alias("node")).unionByName(
+            chosen.select(F.col("b").alias("node"))).distinct()
+        own = stored(sets(nodes), "sets")
+        held = chosen.join(side(own, "a"), "a").join(side(own, "b"), "b")
+        return stored(mapped(held.select("a", "b", "a_shingles", "b_shingles"),
+                             "a bigint, b bigint", decide), "similar")
+
+    found, linked, before = None, None, None
+    for turn in range(ROUNDS + 1):
+        if linked is None:
+            members = shared.withColumn("class", F.col("node"))
+        else:
+            members = shared.join(linked, "node", "left").withColumn(
+                "class", F.coalesce("root", "node")).drop("root")
+        # Two steps, both summed ahead of the exchange; buckets of one class are done.
+        chance = F.when(F.col("indexed"), F.xxhash64("node", F.lit(turn)))
+        count = members.groupBy("key", "class").agg(
+            F.count("*").alias("p"), F.count_if("indexed").alias("i"),
+            F.min(chance).alias("c"), F.min_by("node", chance).alias("a"))
+        state = count.groupBy("key").agg(
+            F.count("*").alias("classes"), F.min_by("a", "c").alias("a"),
+            F.min_by("class", "c").alias("own"),
+            (F.sum("p") * F.sum("i") - F.sum(F.col("p") * F.col("i"))).alias("across")) \
+            .where("classes > 1 and across > 0")
+        state = stored(state.select("key", "a", "own", F.col("across").cast("double")), "open")
+        across = state.agg(F.sum("across")).first()[0] or 0
+        if across <= CROWD * total or turn == ROUNDS or (
+                before is not None and across > 0.9 * before):
+            break
+        before = across
+        new = verified(members.join(state, "key").where("class != own").select(
+            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        found = new if found is None else found.unionByName(new)
+        linked = stored(components(found).select("node", "root"), "classes")
+    live = stored(members.join(state.select("key"), "key", "left_semi"), "live")
+    left, right = (rows.select("key", *[F.col(c).alias(name if c == "node" else f"{name}_{c}")
+                                        for c in ("node", "n", "at", "class")])
+                   for rows, name in ((live.where("indexed"), "a"), (live, "b")))
+    # The first shingle two similar sets share passes; a smaller set is indexed for a larger one.
+    near = F.expr(f"{both} * least(a_n - a_at, b_n - b_at) >= {top} * (a_n + b_n)")
+    pairs = left.join(right, "key").where(
+        F.expr("a_class != b_class and a_n <= b_n") & near) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = verified(pairs)
+    return last if found is None else found.unionByName(last)
 
 
 def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
@@ -312,20 +401,41 @@ def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
     doc_id stays, then the first row (null ids last)."""
     (row,) = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    limit = Fraction(similarity).limit_denominator(1000)
+    common = _common(numbered, words)
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order))
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
+        sorted_common, rank = shared.value
         for texts, ids, rows in batches:
-            yield [ids, rows, [wide_fingerprint(t, words) for t in texts]]
+            own = [shingles(t, words) for t in texts]
+            yield [ids, rows, [xxh3_128_digest(s.tobytes()) for s in own], [len(s) for s in own],
+                   [_parity(s) for s in own],
+                   [_prefix(s, sorted_common, rank, limit).tobytes() for s in own]]
 
     prints = mapped(numbered.select("text", "doc_id", row),
-                    "doc_id bigint, row bigint, fp binary", run)
-    # Equal fingerprints meet in the map-side aggregate, however many there are.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    distinct = stored(prints.groupBy("fp").agg(first.alias("first"), F.min("row").alias("node")),
-                      "wide")
-    linked = components(similar_pairs(distinct, similarity))
-    # Of a linked class the least survives; an unlinked fingerprint is its own class.
-    classes = distinct.select("node", "first").join(linked, "node", "left")
+                    "doc_id bigint, row bigint, same binary, n bigint, map binary, first binary",
+                    run)
+    # Equal sets meet in the map-side aggregate, however many there are.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    distinct = stored(prints.groupBy("same").agg(
+        least.alias("least"), F.min("row").alias("node"), F.first("n").alias("n"),
+        F.first("map").alias("map"), F.first("first").alias("first")), "wide")
+
+    def sets(nodes):
+        def run(batches):
+            for rows, texts in batches:
+                yield [rows, [shingles(t, words).tobytes() for t in texts]]
+
+        texts = numbered.select(F.col(row).alias("node"), "text").join(nodes, "node", "left_semi")
+        return mapped(texts, "node bigint, shingles binary", run)
+
+    linked = components(similar_pairs(distinct, sets, similarity))
+    # Of a linked class the least survives; an unlinked set is its own class.
+    classes = distinct.select("node", "least").join(linked, "node", "left")
     kept = classes.groupBy(F.coalesce("root", "node").alias("class")).agg(
-        F.min("first").alias("first")).select(F.col("first.row").alias(row))
+        F.min("least").alias("least")).select(F.col("least.row").alias(row))
     return numbered.join(kept, row, "left_semi").select(*docs.columns)
