@@ -170,6 +170,24 @@ def test_near_copies_below_one_template(spark):
     assert kept(spark, texts + copies) == want
 
 
+def test_similarity_is_decided_exactly(spark):
+    rng = random.Random(22)
+    texts = []
+    for k in range(120):  # pairs from about 0.7 to 0.95, both sides of the limit
+        own = [f"b{k}w{j}" for j in range(rng.choice([40, 120, 300, 900]))]
+        texts += [" ".join(own), " ".join(changed(rng, own, max(1, len(own) * rng.randint(1, 6) // 200)))]
+    for k in range(40):  # 1 to 12 shingles, one or two of them changed
+        own = [f"s{k}w{j}" for j in range(5 + k % 12)]
+        texts += [" ".join(own), " ".join(own[:-1] + ["x"]), " ".join([*own, "more"])]
+    for k in range(60):  # exactly on the limit and just below it: 80 of 100 and 79 of 100
+        own = [f"e{k}w{j}" for j in range(84 if k % 2 else 83)]
+        texts += [" ".join(own), " ".join([*own, *[f"m{j}" for j in range(20 if k % 2 else 21)]])]
+    sets = word_sets(texts)
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[:240:2], sets[1:240:2])]
+    assert sum(0.75 <= s < 0.8 for s in alike) > 3 and sum(0.8 <= s < 0.9 for s in alike) > 10
+    assert kept(spark, texts) == kept_plainly(texts)
+
+
 def test_crowds_are_joined_exactly(spark, monkeypatch):
     """Large groups around a base, whose copies are alike or not, by rounds and by listing."""
     rng = random.Random(23)
