@@ -223,6 +223,33 @@ def test_search_is_exact(spark):
     assert got == sorted(want)
 
 
+def reshuffled(df):
+    """``df`` as one partition whose rows come in another order whenever they are read."""
+    import pyarrow as pa
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches)
+        order = np.random.default_rng().permutation(len(rows))
+        yield from rows.take(pa.array(order)).to_batches()
+
+    return df.coalesce(1).mapInArrow(run, df.schema)
+
+
+def test_dedup_of_rows_in_no_order(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"{w}x{k}" for w in words) for k in range(80)]
+    assert kept(spark, texts * 2) == set(range(80))
+    docs = reshuffled(frame(spark, texts * 2))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(range(80))
+
+
+def test_search_of_rows_in_no_order(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(100)]
+    df = reshuffled(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    got = {(r.query_id, r.vec_id) for r in search.top_k(df, F.expr("vec_id >= 98"), 2).collect()}
+    assert got == {(98, 99), (98, 97), (99, 98), (99, 97)}
+
+
 def test_search_of_little(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     rows = search.top_k(df, F.expr("vec_id % 50 = 0"), 5).collect()

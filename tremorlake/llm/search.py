@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 QUERY_GROUP = 32_768  # queries sent to every task at once; 16 MB at 64 components
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
@@ -152,10 +152,11 @@ def top_k(vectors, is_query, k=5, id_column="vec_id", vector_column="embedding")
 
     ``is_query``: a condition on the table's columns.
     """
-    vectors = vectors.select(
+    # Written once: row numbers made again might be others.
+    vectors = stored(vectors.select(
         F.col(id_column).alias("id"), F.col(vector_column).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
-        F.monotonically_increasing_id().alias("row"))
+        F.monotonically_increasing_id().alias("row")), "vectors")
     finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c)
                       & (F.abs(c) < F.lit(float("inf"))))
     asked = vectors.where(F.col("asks") & F.col("id").isNotNull() & F.col("vector").isNotNull()

@@ -400,7 +400,8 @@ def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
     """``docs`` without all but one document of each class of similar documents: the smallest
     doc_id stays, then the first row (null ids last)."""
     (row,) = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # Written once: numbers made again might be others.
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     limit = Fraction(similarity).limit_denominator(1000)
     common = _common(numbered, words)
     order = np.argsort(common)
