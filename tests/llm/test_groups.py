@@ -250,6 +250,18 @@ def test_search_of_rows_in_no_order(spark):
     assert got == {(98, 99), (98, 97), (99, 98), (99, 97)}
 
 
+def test_search_holds_one_group_of_queries(spark, monkeypatch):
+    rows = [(k, [float(k), 1.0]) for k in range(100)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = sorted(search.top_k(df, F.expr("vec_id % 10 = 0"), 3).collect())
+    monkeypatch.setattr(search, "QUERY_GROUP", 4)
+    found = search.top_k(df, F.expr("vec_id % 10 = 0"), 3)
+    assert sorted(found.collect()) == want and len(want) == 30
+    # Nothing of the groups is left in the plan: one scan of what was found.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Union" not in plan
+
+
 def test_search_of_little(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     rows = search.top_k(df, F.expr("vec_id % 50 = 0"), 5).collect()

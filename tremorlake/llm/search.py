@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import workspace
 from .common import stored, table
 
 QUERY_GROUP = 32_768  # queries sent to every task at once; 16 MB at 64 components
@@ -162,26 +163,25 @@ def top_k(vectors, is_query, k=5, id_column="vec_id", vector_column="embedding")
     asked = vectors.where(F.col("asks") & F.col("id").isNotNull() & F.col("vector").isNotNull()
                           & F.coalesce(finite, F.lit(False))).select(
         "row", "id", F.transform("vector", lambda c: F.floor(256 * c.cast("double"))).alias("v"))
-    # Queries by number, a bounded group at a time.
-    groups, found, last = [], None, -1
+    fields = "query_id bigint, rank int, vec_id bigint, score bigint"
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    path, last = None, -1
+    # Queries by number, a bounded group at a time: its rows are written before the next is read.
     while True:
         group = [(r.row, r.id, r.v) for r in
                  asked.where(F.col("row") > last).orderBy("row").limit(QUERY_GROUP).collect()]
         if not group:
             break
-        groups.append(_searched(vectors.select("id", "row", "vector"), group, k))
+        path = path or workspace(vectors.sparkSession, "llm-found")
+        found = _searched(vectors.select("id", "row", "vector"), group, k)
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+            "query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
         last = group[-1][0]
         if len(group) < QUERY_GROUP:
             break
-    if not groups:
-        return vectors.sparkSession.createDataFrame(
-            [], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = groups[0]
-    for more in groups[1:]:
-        found = found.unionByName(more)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    if not path:
+        return vectors.sparkSession.createDataFrame([], fields)
+    return vectors.sparkSession.read.schema(fields).parquet(path)
 
 
 def op6_exact_search(spark, sf_dir):
