@@ -110,3 +110,24 @@ def test_late_events_have_a_route(spark, sf_dir):
     assert totals.late >= late.count()
     assert landed.count() + late.count() == everything.count()
     assert late.join(landed, "id").count() == 0
+
+
+def test_deliveries_keep_their_files(spark, sf_dir, monkeypatch):
+    from tremorlake.catalog import streaming
+
+    made, parts = streaming.features, []
+    land = streaming.writers.land_features
+
+    def landed(rows, *rest):
+        parts.append(rows.rdd.getNumPartitions())
+        return land(rows, *rest)
+
+    monkeypatch.setattr(streaming, "features", lambda *given: made(*given).repartitionByRange(
+        3, "id"))
+    monkeypatch.setattr(streaming.writers, "land_features", landed)
+    count = made(spark, sf_dir).count()
+    routes = streaming.late(spark, sf_dir)
+    assert routes.where("routes = 1").count() == made(spark, sf_dir).select("id").distinct().count()
+    row = streaming.totals(spark, sf_dir).first()
+    assert row.cycles == 4 and row.polled == 2 * count and row.late == 0
+    assert len(parts) == 8 and min(parts) > 1

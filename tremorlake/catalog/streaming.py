@@ -99,24 +99,30 @@ def triggers(spark, sf_dir):
     )
 
 
-def _in_weeks(spark, sf_dir, path):
-    """Deliveries of one file each, newest week first."""
+def _in_weeks(spark, sf_dir, path, poll=None):
+    """Deliveries, newest week first: ``poll`` runs after each; without it each is one file."""
     rows = features(spark, sf_dir)
     week = F.floor((F.dayofmonth(F.timestamp_millis("properties.time")) - 1) / 8)
     for k in (3, 2, 1, 0):
-        part = rows.filter(week == k).coalesce(1)
-        writers.land_features(part, path, f"2024-02-01 0{9 - k}:00:00", "lines")
+        part = rows.filter(week == k)
+        writers.land_features(part if poll else part.coalesce(1), path,
+                              f"2024-02-01 0{9 - k}:00:00", "lines")
+        if poll:
+            poll()
 
 
 @query("g2_stream_late", oracle(
     "SELECT id, 1::BIGINT AS routes FROM raw"))
 def late(spark, sf_dir):
-    """Polls out of time order over four weeks, one file a batch: what is older than the horizon
+    """Polls out of time order over four weeks, one delivery a batch: what is older than the horizon
     does not land, and the late route has every event of it."""
     path, out, checkpoint = workspace(spark, "late-feed"), *_folders(spark, "late")
-    _in_weeks(spark, sf_dir, path)
-    stream = ingest.stream_features(spark, path, max_files=1, form="lines")
-    ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 10:00:00"))
+
+    def poll():
+        stream = ingest.stream_features(spark, path, form="lines")
+        ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 10:00:00"))
+
+    _in_weeks(spark, sf_dir, path, poll)
     landed = readers.read_landed(spark, out).select("id")
     missed = ingest.late_features(readers.read_features_ndjson(spark, path), landed)
     return landed.unionByName(missed.select("id")).groupBy("id").agg(
@@ -127,20 +133,20 @@ def late(spark, sf_dir):
     "SELECT 4::BIGINT AS cycles, 2 * count(*) AS polled, count(*) AS landed, 0::BIGINT AS late "
     "FROM raw"))
 def totals(spark, sf_dir):
-    """Four deliveries, one file a batch; the session keeps two reports, the log every batch."""
+    """Four deliveries, one a batch; the session keeps two reports, the log every batch."""
     path, out, checkpoint = workspace(spark, "g9-feed"), *_folders(spark, "g9")
     half = F.pmod(F.xxhash64("id"), F.lit(2))
-    for k in range(4):
-        part = features(spark, sf_dir).filter(half == k % 2).coalesce(1)
-        writers.land_features(part, path, f"2024-02-01 0{k}:00:00", "lines")
     kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
     log = ingest.CycleLog(spark, workspace(spark, "g9-log"))
     spark.streams.addListener(log)
     try:
-        # A horizon that holds the whole month: nothing is late.
-        stream = ingest.stream_features(spark, path, max_files=1, form="lines")
-        ingest.run(ingest.stream_land(stream, out, checkpoint, horizon="60 days"))
+        for k in range(4):
+            part = features(spark, sf_dir).filter(half == k % 2)
+            writers.land_features(part, path, f"2024-02-01 0{k}:00:00", "lines")
+            # A horizon that holds the whole month: nothing is late.
+            stream = ingest.stream_features(spark, path, form="lines")
+            ingest.run(ingest.stream_land(stream, out, checkpoint, horizon="60 days"))
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     finally:
         spark.streams.removeListener(log)
