@@ -3,6 +3,7 @@
 from .binary import op10_token_ids
 from .counting import op2_token_counts
 from .language import op3_language_id
+from .manifest import op13_merkle_manifest
 from .mixing import op4_mixing
 from .packing import op1_best_fit_packing
 from .quality import op7_quality_rules
@@ -14,5 +15,6 @@ from .toxicity import op9_toxicity
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_language_id, op4_mixing, op5_simhash_dedup,
     op6_exact_search, op7_quality_rules, op8_sharding, op9_toxicity, op10_token_ids,
+    op13_merkle_manifest,
 )}
 ORACLES = {}
