@@ -10,17 +10,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle, workspace
 
-BATCH_ROWS = 256  # rows of an Arrow batch: texts may be long
+BATCH_ROWS = 256  # rows handled at once: texts may be long
 
 
 _ready = set()
 
 
 def ready(spark):
-    """Settle the session, bound its Arrow batches, and send the package to the executors, once an
-    application, so tasks find it wherever the driver was started."""
+    """Settle the session and send the package to the executors, once an application, so tasks find
+    it wherever the driver was started. No other setting of the session is changed."""
     settle(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _ready:
         return
@@ -62,6 +61,13 @@ def fresh(df, *names):
     return out
 
 
+def slices(batches):
+    """Arrow batches of at most ``BATCH_ROWS`` rows; Spark bounds the bytes of those it sends."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def appended(df, reads, fields, function):
     """``df`` with more columns, computed in batches from the columns ``reads``.
 
@@ -79,7 +85,7 @@ def appended(df, reads, fields, function):
 
     def run(batches):
         compute = function()
-        for batch in batches:
+        for batch in slices(batches):
             made = compute(*[batch.column(i).to_pylist() for i in places])
             columns = [pa.array(v, k.type) for v, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays(
@@ -98,7 +104,7 @@ def mapped(df, fields, function):
     kinds = list(to_arrow_schema(schema))
 
     def run(batches):
-        lists = ([c.to_pylist() for c in b.columns] for b in batches)
+        lists = ([c.to_pylist() for c in b.columns] for b in slices(batches))
         for made in function(lists):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k.type) for v, k in zip(made, kinds)], names=schema.fieldNames())

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from .common import BATCH_ROWS, part_number, ready, stored, table
+from .common import part_number, ready, slices, stored, table
 
 FOLDS, HELD = 7, 2
 BURN, SAMPLES = 1, 2
@@ -212,25 +212,23 @@ def _cutter(buckets, hot_words):
             return _table([(*r, None) for r in flush(
                 buckets + base + number, parts, docs, carry)]).to_batches()
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                ids, texts = (c.to_pylist() for c in batch.columns)
-                for group in _pieces(texts):
-                    found, counts = tokens_of(group)
-                    parts.append(found)
-                    for (k, *_), n in zip(group, counts):
-                        doc = base + row + k
-                        if docs and docs[-1][1] == doc:
-                            docs[-1][2] += n
-                        else:
-                            docs.append([_NULL if ids[k] is None else ids[k], doc, n])
-                    size += len(found)
-                    if size >= BLOCK_TOKENS:
-                        yield from sent()
-                        carry = parts[-1][-1]
-                        parts, docs, size, number = [], [], 0, number + 1
-                row += batch.num_rows
+        for batch in slices(batches):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for group in _pieces(texts):
+                found, counts = tokens_of(group)
+                parts.append(found)
+                for (k, *_), n in zip(group, counts):
+                    doc = base + row + k
+                    if docs and docs[-1][1] == doc:
+                        docs[-1][2] += n
+                    else:
+                        docs.append([_NULL if ids[k] is None else ids[k], doc, n])
+                size += len(found)
+                if size >= BLOCK_TOKENS:
+                    yield from sent()
+                    carry = parts[-1][-1]
+                    parts, docs, size, number = [], [], 0, number + 1
+            row += batch.num_rows
         if size:
             yield from sent()
 

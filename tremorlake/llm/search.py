@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from .common import stored, table
+from .common import slices, stored, table
 
 QUERY_GROUP = 32_768  # queries sent to every task at once; 16 MB at 64 components
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
@@ -129,7 +129,7 @@ def _searched(vectors, group, k):
                                np.concatenate([_wide(h[2], width) for h in held]))
             scan(queries, own_rows, best, ids, rows, all_)
 
-        for batch in batches:
+        for batch in slices(batches):
             made = _matrix(*[batch.column(c).to_pylist() for c in ("id", "row", "vector")])
             if len(made[0]):
                 held.append(made)
