@@ -28,17 +28,19 @@ def test_landing_layout(spark, tmp_path):
 
 
 def test_documents_are_bounded(spark, tmp_path):
-    """A document holds at most one Arrow batch, however many features there are."""
+    """A document holds a bounded number of features and counts its own; whatever the session's
+    Arrow batches, an ingestion that fits one document is one."""
+    rows = spark.range(1050).select(
+        F.concat(F.lit("q"), "id").alias("id"),
+        F.lit(None).cast(schemas.PROPERTIES).alias("properties"),
+        F.lit(None).cast(schemas.GEOMETRY).alias("geometry"),
+    )
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, 100)
+    spark.conf.set(setting, 64)
     try:
-        rows = spark.range(1050).select(
-            F.concat(F.lit("q"), "id").alias("id"),
-            F.lit(None).cast(schemas.PROPERTIES).alias("properties"),
-            F.lit(None).cast(schemas.GEOMETRY).alias("geometry"),
-        )
-        writers.land_features(rows, str(tmp_path / "d"), "2024-01-01")
+        writers.land_features(rows, str(tmp_path / "d"), "2024-01-01", most=100)
+        writers.land_features(rows, str(tmp_path / "one"), "2024-01-01")
     finally:
         spark.conf.set(setting, before)
     found = spark.read.schema(schemas.COLLECTION).option("multiLine", True).option(
@@ -46,6 +48,19 @@ def test_documents_are_bounded(spark, tmp_path):
     counts = [tuple(r) for r in found.select("batch_count", F.size("features"), "metadata.count").collect()]
     assert sum(c for c, _, _ in counts) == 1050
     assert all(a == b == c <= 100 for a, b, c in counts)
+    (one,) = readers.landed_documents(spark, str(tmp_path / "one")).collect()
+    assert one.batch_count == 1050
+
+
+def test_landing_evaluates_its_input_once(spark, tmp_path):
+    """Ids that differ on every evaluation: the counts are those of the rows written."""
+    rows = spark.range(3000).where(F.rand() < 0.5).select(
+        F.uuid().alias("id"), F.lit(None).cast(schemas.PROPERTIES).alias("properties"),
+        F.lit(None).cast(schemas.GEOMETRY).alias("geometry"))
+    path = str(tmp_path / "d")
+    writers.land_features(rows, path, "2024-01-01", most=400)
+    counted = readers.landed_documents(spark, path).agg(F.sum("batch_count")).first()[0]
+    assert counted == readers.read_landed(spark, path, "documents").count()
 
 
 def test_processed_table_prunes(spark, quakes, tmp_path):

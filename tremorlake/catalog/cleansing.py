@@ -237,14 +237,14 @@ SELECT ingested_at, features AS polled, features AS distinct_ids, new, features
 FROM (SELECT '2024-02-01T05:06:07.000Z' AS ingested_at, count(*) AS features, count(*) AS new FROM raw
       UNION ALL SELECT '2024-02-01T06:00:00.000Z', count(*), 0 FROM raw WHERE time % 2 = 0)"""))
 def audit_by_ingestion(spark, sf_dir):
-    """Two landed deliveries of several documents each: one row per ingestion."""
+    """Two landed deliveries: one row per ingestion, its documents' counts added up."""
     path = workspace(spark, "b9")
     rows = features(spark, sf_dir)
     writers.land_features(rows, path, "2024-02-01 05:06:07")
     writers.land_features(
         rows.filter(F.col("properties.time") % 2 == 0), path, "2024-02-01 06:00:00")
-    counts = readers.read_landed(spark, path, "documents").groupBy("ingested_at").agg(
-        F.max("batch_count").cast("bigint").alias("batch_count"))
+    counts = readers.landed_documents(spark, path).groupBy("ingested_at").agg(
+        F.sum("batch_count").alias("batch_count"))
     return cleansing.batch_audit(readers.read_feature_collections(spark, path)).join(
         counts, "ingested_at")
 

@@ -79,6 +79,13 @@ def read_landed(spark, path, form="lines"):
     ).select("feature.*", "ingested_at", "batch_count", *LANDING_KEYS)
 
 
+def landed_documents(spark, path):
+    """``ingested_at`` and ``batch_count`` of each landed document."""
+    schema = T.StructType([f for f in COLLECTION if f.name in ("ingested_at", "batch_count")])
+    return spark.read.schema(schema).option("multiLine", "true").option(
+        "recursiveFileLookup", "true").json(path)
+
+
 # Fixed values: (start, end, least magnitude) of the two catalogue presets.
 CATALOG_PRESETS = {
     "jul_oct_2024": ("2024-07-01", "2024-10-31", 3.0),

@@ -28,39 +28,55 @@ def with_landing_keys(df, instant):
     return df
 
 
-def bundle(features):
-    """Group features into documents of at most one Arrow batch each.
+DOCUMENT_FEATURES = 10_000  # of a landed document, at most
 
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds a document, no shuffle is
-    needed, and no group of features is ever collected.
+
+def bundle(features, most=DOCUMENT_FEATURES):
+    """Group features into documents of at most ``most``.
+
+    A task's features fill one document after another; small tasks are merged first, so an
+    ingestion that fits one document becomes one. No group of features is ever collected.
     """
+    def document(rows):
+        whole = pa.array([0, len(rows)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([len(rows)], pa.int32()), pa.ListArray.from_arrays(whole, rows)],
+            names=["batch_count", "features"],
+        )
+
     def documents(batches):
+        held, n = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                whole = pa.array([0, n], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n], pa.int32()), pa.ListArray.from_arrays(whole, batch.column(0))],
-                    names=["batch_count", "features"],
-                )
-
-    one = features.select(F.struct(*FEATURE.fieldNames()).alias("feature"))
+            at = 0
+            while at < batch.num_rows:
+                rows = batch.column(0).slice(at, most - n)
+                held.append(rows)
+                at, n = at + len(rows), n + len(rows)
+                if n == most:
+                    yield document(pa.concat_arrays(held))
+                    held, n = [], 0
+        if held:
+            yield document(pa.concat_arrays(held))
+
+    one = features.select(F.struct(*FEATURE.fieldNames()).alias("feature")).hint("rebalance")
     return one.mapInArrow(documents, BUNDLE)
 
 
-def land_features(features, path, ingested_at=None, form="documents", title=None):
+def land_features(features, path, ingested_at=None, form="documents", title=None,
+                  most=DOCUMENT_FEATURES):
     """Append features below the hour in which they were ingested (UTC).
 
-    ``documents`` writes one feature-collection file per bundle, ``lines`` one feature
-    per line. Each form has its own tree, so no event is counted twice. A document's
-    ``metadata.count`` is its own features, ``batch_count`` those of the whole ingestion.
+    ``documents`` writes feature collections of at most ``most`` features, one a file, ``lines``
+    one feature per line. Each form has its own tree, so no event is counted twice. ``batch_count``
+    and ``metadata.count`` are the document's own features, so the counts of an ingestion add up
+    (``readers.landed_documents``); ``features`` is evaluated once.
     """
     instant = ingestion_instant(ingested_at)
     if form == "lines":
         rows = with_landing_keys(features.select(*FEATURE.fieldNames()), instant)
         rows.write.mode("append").partitionBy(*LANDING_KEYS).json(path)
         return
-    rows = bundle(features).select(
+    rows = bundle(features, most).select(
         F.lit("FeatureCollection").alias("type"),
         F.struct(
             F.unix_millis(instant).alias("generated"),
@@ -68,7 +84,7 @@ def land_features(features, path, ingested_at=None, form="documents", title=None
             F.col("batch_count").alias("count"),
         ).alias("metadata"),
         F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ingested_at"),
-        features.agg(F.count(F.lit(1)).cast("int")).scalar().alias("batch_count"),
+        "batch_count",
         "features",
     )
     (
