@@ -40,7 +40,7 @@ from .common import part_number, ready, slices, stored, table
 FOLDS, HELD = 7, 2
 BURN, SAMPLES = 1, 2
 STRENGTH = 1.0  # of both levels
-BLOCK_TOKENS, BUCKET_BYTES, PIECE = 3 << 20, 32 << 20, 1 << 20
+BLOCK_TOKENS, BUCKET_BYTES, PIECE = 2 << 20, 16 << 20, 1 << 20
 FREQUENT_DOCS, FREQUENT_WORDS = 20_000, 4096  # bounds of what places hot words
 END = np.uint64(0)
 SEED = 42
@@ -486,7 +486,8 @@ def scores(docs):
     ready(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    # By the size of the texts alone: buckets write to one another, so more of them cost rows.
+    buckets = max(1, -(-size // BUCKET_BYTES))
     hot = _frequent(docs, buckets)
     asked = docs.mapInArrow(_cutter(buckets, hot), ROWS).repartition(buckets, "dest")
     name = f"tremorlake_llm_{uuid.uuid4().hex}"
