@@ -1,13 +1,17 @@
 """Streams over several micro-batches with re-delivery give the batch result."""
 
+import glob
+import statistics as statistics_module
+
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.operators import rollups, serving, statistics
+from helpers import plan
+from tremorlake.operators import rollups, seen, serving, statistics
 from tremorlake.operators.cleansing import flatten
 from tremorlake.operators.filters import dispatch
-from tremorlake.sources import readers, writers
-from tremorlake.streaming import ingest
+from tremorlake.sources import parts, readers, writers
+from tremorlake.streaming import delivery, ingest
 
 
 @pytest.fixture(scope="module")
@@ -46,17 +50,51 @@ def test_activity_equals_batch(spark, quakes, polled, tmp_path):
     assert sorted(got.collect()) == sorted(expected.collect())
 
 
+def test_activity_is_bounded_and_replays(spark, polled, tmp_path):
+    """Two folders a day and two manifests, however many batches; a batch merged again adds nothing."""
+    out = str(tmp_path / "out")
+    batches = []
+    new = ingest._measured(ingest.stream_dedup(_stream(spark, polled)))
+
+    def merge(batch, number):
+        ingest.merge_activity(batch, out, number)
+        before = sorted(ingest.current_activity(spark, out).collect())
+        ingest.merge_activity(batch, out, number)
+        assert sorted(ingest.current_activity(spark, out).collect()) == before
+        batches.append(number)
+
+    ingest.run(new.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    days = glob.glob(f"{out}/data/part=*")
+    assert len(batches) >= 5 and len(days) >= 25
+    assert all(len(glob.glob(f"{d}/slot=*")) <= 2 for d in days)
+    assert len(glob.glob(f"{out}/manifest/turn=*")) == 2
+
+
 def test_spike_alerts(spark, quakes, polled, tmp_path):
     hours, out = str(tmp_path / "hours"), str(tmp_path / "out")
     ingest.run(ingest.stream_spikes(_stream(spark, polled), hours, out, str(tmp_path / "cp")))
-    alerts = spark.read.parquet(out)
+    alerts = ingest.raised(spark, out)
     last = alerts.agg(F.max("batch")).first()[0]
     assert alerts.count() > 0 and last > 0
-    stored = statistics.spikes_of(
-        ingest.current_activity(spark, hours), "hour_window", sigmas=2.0).filter("is_spike")
-    batch = statistics.spikes(quakes, "hour", 2.0).filter("is_spike")
-    assert sorted(r[0] for r in stored.select("hour_window").collect()) == \
-        sorted(r[0] for r in batch.select("hour_window").collect())
+    got = ingest.current_spikes(spark, hours)
+    batch = statistics.spikes(quakes, "hour", 2.0).filter("is_spike").first()
+    assert sorted(r[0] for r in got.select("hour_window").collect()) == sorted(
+        r[0] for r in statistics.spikes(quakes, "hour", 2.0).filter("is_spike").select(
+            "hour_window").collect())
+    row = got.filter(F.col("hour_window") == batch.hour_window).first()
+    assert row.mean_events == pytest.approx(batch.mean_events, rel=1e-12)
+    assert row.threshold == pytest.approx(batch.threshold, rel=1e-12)
+
+
+def test_level_reads_no_stored_day(spark):
+    """The level of all hours comes from the manifest: moments of any parts add up."""
+    counts = [3, 1, 4, 1, 5, 9, 2, 6]
+    stats = {f"d{k}": {"hours": len(c), "sum": sum(c), "squares": str(sum(x * x for x in c))}
+             for k, c in enumerate((counts[:3], counts[3:]))}
+    mean, limit = ingest.hourly_level(parts.Manifest(0, {}, stats), 2.0)
+    assert mean == sum(counts) / 8
+    assert limit == pytest.approx(mean + 2 * statistics_module.stdev(counts), rel=1e-12)
 
 
 def test_dispatch_and_serving(spark, quakes, polled, tmp_path):
@@ -112,22 +150,76 @@ def test_late_events_have_a_route(spark, sf_dir):
     assert late.join(landed, "id").count() == 0
 
 
-def test_deliveries_keep_their_files(spark, sf_dir, monkeypatch):
-    from tremorlake.catalog import streaming
+def _deliver(spark, feed, folder, fail=None):
+    """Deliver the feed a file a batch; ``fail`` is called with each batch's number before it."""
+    names = {n: f"{folder}/{n}" for n in ("out", "store", "alerts", "ledger")}
 
-    made, parts = streaming.features, []
-    land = streaming.writers.land_features
+    def sink(batch, number):
+        if fail:
+            fail(number)
+        delivery.deliver(batch, number, names["out"], names["store"], names["alerts"],
+                         names["ledger"], "2024-02-01 10:00:00")
+
+    stream = ingest.stream_features(spark, feed, max_files=1, form="lines")
+    ingest.run(stream.writeStream.foreachBatch(sink).option(
+        "checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+    return names
 
-    def landed(rows, *rest):
-        parts.append(rows.rdd.getNumPartitions())
-        return land(rows, *rest)
 
-    monkeypatch.setattr(streaming, "features", lambda *given: made(*given).repartitionByRange(
-        3, "id"))
-    monkeypatch.setattr(streaming.writers, "land_features", landed)
-    count = made(spark, sf_dir).count()
-    routes = streaming.late(spark, sf_dir)
-    assert routes.where("routes = 1").count() == made(spark, sf_dir).select("id").distinct().count()
-    row = streaming.totals(spark, sf_dir).first()
-    assert row.cycles == 4 and row.polled == 2 * count and row.late == 0
-    assert len(parts) == 8 and min(parts) > 1
+def test_delivery_survives_a_kill(spark, features, sf_dir, tmp_path, monkeypatch):
+    """Killed at the last commit of the third batch and run again: every event once, totals exact."""
+    from tremorlake.catalog.streaming import _in_weeks
+
+    feed = str(tmp_path / "feed")
+    _in_weeks(spark, sf_dir, feed)
+    whole = _deliver(spark, feed, str(tmp_path / "whole"))
+    commit, killed = seen.parts.commit, []
+
+    def dying(rows, path, known, version, touched, totals=None, stats=None):
+        if version == 2 and totals and not killed:
+            killed.append(version)
+            raise RuntimeError("killed")
+        return commit(rows, path, known, version, touched, totals, stats)
+
+    monkeypatch.setattr(seen.parts, "commit", dying)
+    with pytest.raises(Exception, match="killed"):
+        _deliver(spark, feed, str(tmp_path / "twice"))
+    assert killed and delivery.totals(spark, str(tmp_path / "twice" / "store")).first().cycles == 2
+    twice = _deliver(spark, feed, str(tmp_path / "twice"))
+    ids = {}
+    for name, made in (("whole", whole), ("twice", twice)):
+        rows = delivery.delivered(spark, made["out"])
+        ids[name] = sorted(tuple(r) for r in rows.select("id", "route").collect())
+        assert len(ids[name]) == features.count() == rows.select("id").distinct().count()
+        total = delivery.totals(spark, made["store"]).first()
+        assert total.cycles == 4 and total.polled == total.landed + total.late == features.count()
+        assert total.late == sum(r[1] == "late" for r in ids[name]) > 0
+        assert delivery.cycles(spark, made["ledger"]).agg(F.sum("late")).first()[0] == total.late
+        late = delivery.delivered_alerts(spark, made["alerts"]).filter("late").count()
+        assert late > 0
+    assert ids["whole"] == ids["twice"]
+
+
+def test_seen_store_is_not_shuffled(spark, features, tmp_path):
+    store = str(tmp_path / "seen")
+    when = F.lit("2024-02-01").cast("timestamp")
+    first, audit = seen.poll(features, store, 0, when)
+    assert first.count() == features.count() == audit.first().seen
+    few = features.limit(3)
+    known = parts.manifest(spark, store)
+    rows = parts.staged(seen.bucketed(few.unionByName(few.withColumn("id", F.lit("new")).limit(1))),
+                        str(tmp_path / "few"))
+    ids = seen.known_ids(rows, store, known)
+    text = plan(ids)
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    assert ids.count() == 3
+    again, audit = seen.poll(features, store, 1, when)
+    assert again.isEmpty() and audit.first().new == 0
+    touched = len({r.part for r in rows.select("part").collect()})
+    assert seen.unseen(rows, store, known).count() == 1 and touched <= 4
+    # Ids that left the horizon go when their bucket is written again.
+    later = F.lit("2024-03-01").cast("timestamp")
+    fresh = parts.staged(seen.bucketed(features.withColumn("id", F.concat("id", F.lit("x")))),
+                         str(tmp_path / "fresh"))
+    seen.add(fresh, store, parts.manifest(spark, store), 2, later, 8)
+    assert seen.seen_ids(spark, store).count() == features.count()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.regions import WAREHOUSE12
-from ..operators import cleansing
+from ..operators import cleansing, seen
 from ..plans import warehouse
 from ..plans.batch import run_batch
 from ..session import workspace
@@ -72,6 +72,23 @@ def incremental_audit(spark, sf_dir):
     return _incremental(spark, sf_dir)[2]
 
 
+@query("b2_seen_polls", oracle("""
+SELECT poll, count(*) AS polled, count(*) FILTER (again = 0) AS new,
+       (SELECT count(DISTINCT id) FROM thrice b WHERE b.poll <= a.poll) AS seen
+FROM thrice a GROUP BY poll""", _POLLS, """thrice AS (
+  SELECT id, poll, CAST(poll - p AS INTEGER) AS again FROM polled WHERE poll <= 2)"""))
+def seen_polls(spark, sf_dir):
+    """Three polls against the stored ids: each reads and writes only the buckets it touches."""
+    store, delivered = workspace(spark, "b2-seen"), polls(features(spark, sf_dir))
+    audits = None
+    for k in range(3):
+        _, row = seen.poll(delivered.filter(F.col("poll") == k).drop("poll"), store, k,
+                           F.lit(f"2024-02-0{k + 1}").cast("timestamp"))
+        row = row.select(F.lit(k).cast("bigint").alias("poll"), "*")
+        audits = row if audits is None else audits.unionByName(row)
+    return audits
+
+
 @query("b3_trim_seen", oracle(
     "SELECT id, time FROM raw ORDER BY time DESC LIMIT 5000"))
 def trim_seen(spark, sf_dir):

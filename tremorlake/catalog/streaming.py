@@ -1,6 +1,8 @@
-"""Streams over landed documents, run to the end of the input, and what they left behind.
+"""Streams over a feed that is landed delivery by delivery, and what they left behind.
 
-The landed documents hold every event twice, as a sliding feed delivers it.
+A query's stream runs to the end of its input after each of four deliveries, so it has at least four
+micro-batches. Every delivery brings the events of eight days and, updated later, those of the eight
+days before again, as a sliding feed does. A path that is given instead holds the whole feed at once.
 """
 
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from ..operators import serving
 from ..session import workspace
 from ..sources import readers, writers
 from ..sources.events_view import features
-from ..streaming import ingest
+from ..streaming import delivery, ingest
+from .cleansing import set_property
 from .registry import as_text, oracle, query, rounded, terajoules
 
 LANDED_AT = "2024-02-01 05:06:07"
@@ -24,51 +27,63 @@ def prepare(spark, sf_dir, form="documents"):
     return path
 
 
-def _feed(spark, sf_dir, path=None):
-    """The feed at ``path`` as a stream, or one landed for this query."""
-    return ingest.stream_features(spark, path or prepare(spark, sf_dir))
+WEEKS = 4  # of eight days
+
+
+def _week():
+    return F.floor((F.dayofmonth(F.timestamp_millis("properties.time")) - 1) / 8)
+
+
+def _in_polls(spark, sf_dir, start, path=None):
+    """Run the stream that ``start`` makes of the feed after each delivery, in time order."""
+    if path:
+        ingest.run(start(ingest.stream_features(spark, path)))
+        return
+    path, rows = workspace(spark, "feed"), features(spark, sf_dir)
+    again = set_property(rows, updated=F.col("properties.updated") + 3_600_000)
+    for k in range(WEEKS):
+        both = rows.filter(_week() == k).unionByName(again.filter(_week() == k - 1))
+        writers.land_features(both, path, f"2024-02-01 0{k}:00:00")
+        ingest.run(start(ingest.stream_features(spark, path)))
 
 
 def _folders(spark, name):
     return workspace(spark, name), workspace(spark, f"{name}-checkpoint")
 
 
-@query("g1_stream_features", oracle(
-    "SELECT id, mag, time, 2::BIGINT AS deliveries FROM raw"))
+def _to_parquet(rows, out, checkpoint):
+    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
+        **ingest.AVAILABLE_NOW).start(out)
+
+
+@query("g1_stream_features", oracle("""
+SELECT id, mag, time, CASE WHEN (day(make_timestamp(time * 1000)) - 1) // 8 < 3 THEN 2 ELSE 1 END::BIGINT AS deliveries
+FROM raw"""))
 def polled(spark, sf_dir):
     out, checkpoint = _folders(spark, "g1")
-    stream = _feed(spark, sf_dir)
-    ingest.run(
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(**ingest.AVAILABLE_NOW).start(out)
-    )
+    _in_polls(spark, sf_dir, lambda feed: _to_parquet(feed, out, checkpoint))
     rows = spark.read.schema(schemas.FEATURE).parquet(out)
     return rows.groupBy(
         "id", F.col("properties.mag").alias("mag"), F.col("properties.time").alias("time")
     ).agg(F.count(F.lit(1)).alias("deliveries"))
 
 
-@query("g2_stream_dedup", oracle("SELECT id, mag, time FROM raw"))
+@query("g2_stream_dedup", oracle("SELECT id, mag, time, updated FROM raw"))
 def dedup(spark, sf_dir):
+    """The first copy of each event stays: ``updated`` is that of its first delivery."""
     out, checkpoint = _folders(spark, "g2")
-    new = ingest.stream_dedup(_feed(spark, sf_dir)).drop("event_time")
-    ingest.run(
-        new.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(**ingest.AVAILABLE_NOW).start(out)
-    )
-    return spark.read.schema(schemas.FEATURE).parquet(out).select(
-        "id", F.col("properties.mag").alias("mag"), F.col("properties.time").alias("time")
-    )
+    _in_polls(spark, sf_dir, lambda feed: _to_parquet(
+        ingest.stream_dedup(feed).drop("event_time"), out, checkpoint))
+    return spark.read.schema(schemas.FEATURE).parquet(out).select("id", *[
+        F.col(f"properties.{c}").alias(c) for c in ("mag", "time", "updated")])
 
 
 @query("g3_stream_land", oracle("""
 SELECT id, mag, place, time, '2024' AS "YYYY", '02' AS "MM", '01' AS "DD", '07' AS "HH" FROM raw"""))
 def land(spark, sf_dir, path=None):
-    """Two bounded runs on one checkpoint: the second finds nothing new."""
     out, checkpoint = _folders(spark, "g3")
-    stream = _feed(spark, sf_dir, path)
-    for _ in range(2):
-        ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 07:00:00"))
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_land(
+        feed, out, checkpoint, "2024-02-01 07:00:00"), path)
     return readers.read_landed(spark, out).select(
         "id", F.col("properties.mag").alias("mag"), F.col("properties.place").alias("place"),
         F.col("properties.time").alias("time"), *schemas.LANDING_KEYS,
@@ -102,56 +117,78 @@ def triggers(spark, sf_dir):
 def _in_weeks(spark, sf_dir, path, poll=None):
     """Deliveries, newest week first: ``poll`` runs after each; without it each is one file."""
     rows = features(spark, sf_dir)
-    week = F.floor((F.dayofmonth(F.timestamp_millis("properties.time")) - 1) / 8)
-    for k in (3, 2, 1, 0):
-        part = rows.filter(week == k)
+    for k in reversed(range(WEEKS)):
+        part = rows.filter(_week() == k)
         writers.land_features(part if poll else part.coalesce(1), path,
                               f"2024-02-01 0{9 - k}:00:00", "lines")
         if poll:
             poll()
 
 
-@query("g2_stream_late", oracle(
-    "SELECT id, 1::BIGINT AS routes FROM raw"))
-def late(spark, sf_dir):
-    """Polls out of time order over four weeks, one delivery a batch: what is older than the horizon
-    does not land, and the late route has every event of it."""
-    path, out, checkpoint = workspace(spark, "late-feed"), *_folders(spark, "late")
+class _Delivered:
+    """The feed delivered newest week first, one pass a delivery."""
+
+    def __init__(self, spark, sf_dir, name):
+        self.feed, self.out, self.store, self.alerts, self.ledger, self.checkpoint = (
+            workspace(spark, f"{name}-{x}")
+            for x in ("feed", "out", "store", "alerts", "ledger", "checkpoint"))
+
+        def poll():
+            stream = ingest.stream_features(spark, self.feed, form="lines")
+            ingest.run(delivery.stream_delivery(
+                stream, self.out, self.store, self.checkpoint, self.alerts, self.ledger,
+                "2024-02-01 10:00:00"))
 
-    def poll():
-        stream = ingest.stream_features(spark, path, form="lines")
-        ingest.run(ingest.stream_land(stream, out, checkpoint, "2024-02-01 10:00:00"))
+        self.poll = poll
+        _in_weeks(spark, sf_dir, self.feed, poll)
 
-    _in_weeks(spark, sf_dir, path, poll)
-    landed = readers.read_landed(spark, out).select("id")
-    missed = ingest.late_features(readers.read_features_ndjson(spark, path), landed)
-    return landed.unionByName(missed.select("id")).groupBy("id").agg(
-        F.count(F.lit(1)).alias("routes"))
 
+# Behind the newest event of the deliveries before, by more than the horizon.
+_LATE = """delivered AS (
+  SELECT *, (day(make_timestamp(time * 1000)) - 1) // 8 AS week FROM raw),
+newest AS (
+  SELECT a.week, max(b.time) AS newest
+  FROM (SELECT DISTINCT week FROM delivered) a LEFT JOIN delivered b ON b.week > a.week GROUP BY a.week),
+routed AS (
+  SELECT delivered.*, coalesce(time < newest - 8 * 86400000, false) AS late
+  FROM delivered JOIN newest USING (week))"""
 
-@query("g9_cycle_totals", oracle(
-    "SELECT 4::BIGINT AS cycles, 2 * count(*) AS polled, count(*) AS landed, 0::BIGINT AS late "
-    "FROM raw"))
+
+@query("g2_stream_late", oracle(
+    "SELECT id, CASE WHEN late THEN 'late' ELSE 'landed' END AS route, mag, time FROM routed", _LATE))
+def late(spark, sf_dir):
+    """Polls out of time order over four weeks: every event is delivered once, what is older than
+    the horizon by its own route."""
+    done = _Delivered(spark, sf_dir, "late")
+    return delivery.delivered(spark, done.out).select(
+        "id", "route", F.col("properties.mag").alias("mag"), F.col("properties.time").alias("time"))
+
+
+@query("g6_late_dispatch", oracle("""
+SELECT quakes.event_id, quakes.alert_level, quakes.tsunami_flag, late
+FROM quakes JOIN routed ON routed.id = quakes.event_id
+WHERE quakes.tsunami_flag = 1 OR quakes.alert_level IN ('yellow', 'orange', 'red')""", _LATE))
+def late_dispatch(spark, sf_dir):
+    """An event that comes late raises its alert in the same pass."""
+    done = _Delivered(spark, sf_dir, "late-alerts")
+    return delivery.delivered_alerts(spark, done.alerts).select(
+        "event_id", "alert_level", "tsunami_flag", "late")
+
+
+@query("g9_cycle_totals", oracle("""
+SELECT 5::BIGINT AS cycles, 2 * count(*) AS polled, count(*) FILTER (NOT late) AS landed,
+       count(*) FILTER (late) AS late, 5::BIGINT AS entered, 2 * count(*) AS entered_polled
+FROM routed""", _LATE))
 def totals(spark, sf_dir):
-    """Four deliveries, one a batch; the session keeps two reports, the log every batch."""
-    path, out, checkpoint = workspace(spark, "g9-feed"), *_folders(spark, "g9")
-    half = F.pmod(F.xxhash64("id"), F.lit(2))
-    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
-    log = ingest.CycleLog(spark, workspace(spark, "g9-log"))
-    spark.streams.addListener(log)
-    try:
-        for k in range(4):
-            part = features(spark, sf_dir).filter(half == k % 2)
-            writers.land_features(part, path, f"2024-02-01 0{k}:00:00", "lines")
-            # A horizon that holds the whole month: nothing is late.
-            stream = ingest.stream_features(spark, path, form="lines")
-            ingest.run(ingest.stream_land(stream, out, checkpoint, horizon="60 days"))
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
-    finally:
-        spark.streams.removeListener(log)
-        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
-    return ingest.cycle_totals(ingest.cycles(spark, log.path))
+    """Four deliveries and one that brings everything again: totals of the last commit, and of the
+    ledger's rows."""
+    done = _Delivered(spark, sf_dir, "g9")
+    writers.land_features(features(spark, sf_dir), done.feed, "2024-02-01 11:00:00", "lines")
+    done.poll()
+    entered = delivery.cycles(spark, done.ledger).agg(
+        F.count(F.lit(1)).alias("entered"), F.sum("polled").alias("entered_polled"))
+    return delivery.totals(spark, done.store).select(
+        "*", *[entered.select(c).scalar().alias(c) for c in entered.columns])
 
 
 @query("g4_stream_activity", oracle("""
@@ -161,7 +198,7 @@ SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour_win
 FROM quakes GROUP BY 1"""))
 def activity(spark, sf_dir, path=None):
     out, checkpoint = _folders(spark, "g4")
-    ingest.run(ingest.stream_activity(_feed(spark, sf_dir, path), out, checkpoint))
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_activity(feed, out, checkpoint), path)
     rows = terajoules(ingest.current_activity(spark, out), "total_energy_joules", "total_energy_tj")
     return as_text(rounded(rows, avg_magnitude=9), "hour_window")
 
@@ -172,7 +209,8 @@ SELECT strftime(to_timestamp((epoch_millis // 900000 - back) * 900) AT TIME ZONE
 FROM quakes, range(4) r(back) GROUP BY 1"""))
 def sliding(spark, sf_dir):
     out, checkpoint = _folders(spark, "g4-sliding")
-    ingest.run(ingest.stream_activity(_feed(spark, sf_dir), out, checkpoint, "15 minutes"))
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_activity(
+        feed, out, checkpoint, "15 minutes"))
     rows = ingest.current_activity(spark, out)
     return as_text(rows.select("hour_window", "total_events", "max_magnitude"), "hour_window")
 
@@ -183,15 +221,9 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS hour_window, n AS total_events, round
 FROM counted, (SELECT avg(n) AS m, stddev_samp(n) AS s FROM counted) WHERE n > m + 2.0::DOUBLE * s""",
     "counted AS (SELECT date_trunc('hour', event_time) AS w, count(*) AS n FROM quakes GROUP BY 1)"))
 def spikes(spark, sf_dir):
-    out, checkpoint = _folders(spark, "g5")
-    ingest.run(
-        ingest.stream_spikes(_feed(spark, sf_dir), workspace(spark, "g5-hours"), out, checkpoint)
-    )
-    layout = schemas.table(
-        "hour_window timestamp, total_events bigint, mean_events double, threshold double, batch bigint"
-    )
-    rows = spark.read.schema(layout).parquet(out).drop("batch")
-    return as_text(rounded(rows), "hour_window")
+    (out, checkpoint), hours = _folders(spark, "g5"), workspace(spark, "g5-hours")
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_spikes(feed, hours, out, checkpoint))
+    return as_text(rounded(ingest.current_spikes(spark, hours)), "hour_window")
 
 
 @query("g6_stream_dispatch", oracle(
@@ -199,7 +231,7 @@ def spikes(spark, sf_dir):
     "WHERE tsunami_flag = 1 OR alert_level IN ('yellow', 'orange', 'red')"))
 def dispatch(spark, sf_dir):
     out, checkpoint = _folders(spark, "g6")
-    ingest.run(ingest.stream_dispatch(_feed(spark, sf_dir), out, checkpoint))
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_dispatch(feed, out, checkpoint))
     return spark.read.schema(schemas.QUAKES).parquet(out).select(
         "event_id", "alert_level", "tsunami_flag"
     )
@@ -210,7 +242,7 @@ SELECT region || '#' || lpad(CAST(9223372036854775807 - epoch_millis AS VARCHAR)
        region, epoch_millis, max(event_id) AS event_id FROM quakes GROUP BY 1, 2, 3"""))
 def serve(spark, sf_dir):
     out, checkpoint = _folders(spark, "g7")
-    ingest.run(ingest.stream_serving(_feed(spark, sf_dir), out, checkpoint))
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_serving(feed, out, checkpoint))
     return serving.last_write_wins(serving.read_loads(spark, out)).select(
         "row_key", "region", "epoch_millis", F.col("event.event_id").alias("event_id")
     )

@@ -8,15 +8,15 @@ or its driver goes on where it was and writes each event once.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.clock import event_time
 from ..functions.measures import seismic_energy
 from ..operators.cleansing import dedup, drop_incomplete, flatten
 from ..operators.filters import dispatch
 from ..operators.serving import append_load, serving_rows
-from ..operators.statistics import HOURLY_SPIKE_SIGMAS, spikes_of
+from ..operators.statistics import HOURLY_SPIKE_SIGMAS
 from ..schemas import COLLECTION, CORRUPT, FEATURE, FEATURE_LINES, LANDING_KEYS, table
+from ..sources import parts
 from ..sources.writers import ingestion_instant, with_landing_keys
 
 # The longest live feed repeats seven days; one more covers late files.
@@ -65,8 +65,8 @@ def stream_dedup(features, horizon=HORIZON):
     """New features only: an id seen within ``horizon`` of event time is dropped.
 
     State holds one key per id of the horizon, not of all time. Features that come later than
-    that are dropped here and counted (``late`` in ``progress``); ``late_features`` finds them
-    for ``dedup_incremental``.
+    that are dropped here and counted (``late`` in ``progress``); ``delivery.stream_delivery`` gives
+    them a route of their own.
     """
     usable = drop_incomplete(features).filter(F.col("properties.time").isNotNull())
     timed = _one_per_batch(usable).withColumn("event_time", event_time("properties.time"))
@@ -89,83 +89,139 @@ def stream_land(features, path, checkpoint, ingested_at=None, trigger=AVAILABLE_
     return _start(writer, checkpoint, trigger).start(path)
 
 
-def _append_batch(path, column):
-    """foreachBatch writer of a batch's windows: the batch's own folder is replaced, so a
-    replay changes nothing. The calendar bounds the rows, so they go to one file."""
-    def write(batch, number):
-        (
-            batch.withColumn(column, F.lit(number)).repartition(1)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(column).parquet(path)
-        )
-    return write
-
-
-def hourly_windows(features, slide=None, horizon=HORIZON):
-    """Events, mean and peak magnitude and energy per hour (or sliding hour) of the stream."""
-    # The dedup's own event_time carries the watermark on to the windows.
-    new = stream_dedup(features, horizon).select(
-        "event_time",
-        F.col("properties.mag").alias("magnitude"),
-        seismic_energy("properties.mag").alias("seismic_energy_joules"),
-    )
+SUMS = table(
+    "hour_window timestamp, total_events bigint, magnitudes double, max_magnitude double, "
+    "total_energy_joules double"
+)
+
+
+def _merged(rows):
+    """Mergeable sums: adding the rows of a batch to those stored gives those of both."""
+    return rows.groupBy(parts.PART, "hour_window").agg(
+        F.sum("total_events").alias("total_events"), F.sum("magnitudes").alias("magnitudes"),
+        F.max("max_magnitude").alias("max_magnitude"),
+        F.sum("total_energy_joules").alias("total_energy_joules"))
+
+
+def merge_activity(batch, path, number, slide=None):
+    """Add a batch of new events to the activity table; its windows, and the new manifest.
+
+    The table is one part per day: only the days that the batch touches are read and replaced. A
+    batch that was merged before changes nothing. The manifest keeps, by day, the moments of the
+    hourly counts, so a day that is revised brings its own along and takes the old ones back.
+    """
+    spark = batch.sparkSession
+    known = parts.manifest(spark, path)
+    if known.version >= number:
+        return None, known
     span = F.window("event_time", "1 hour", slide) if slide else F.window("event_time", "1 hour")
-    return (
-        new.groupBy(span.alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("total_events"),
-            F.avg("magnitude").alias("avg_magnitude"),
-            F.max("magnitude").alias("max_magnitude"),
-            F.sum("seismic_energy_joules").alias("total_energy_joules"),
-        )
-        .select(F.col("w.start").alias("hour_window"), "total_events", "avg_magnitude",
-                "max_magnitude", "total_energy_joules")
-    )
+    windows = batch.groupBy(span.alias("w")).agg(
+        F.count(F.lit(1)).alias("total_events"), F.sum("magnitude").alias("magnitudes"),
+        F.max("magnitude").alias("max_magnitude"),
+        F.sum("seismic_energy_joules").alias("total_energy_joules"),
+    ).select(F.col("w.start").alias("hour_window"), *[f.name for f in SUMS.fields[1:]],
+             F.date_format("w.start", "yyyy-MM-dd").alias(parts.PART))
+    windows = parts.staged(windows, path)
+    touched = [r[0] for r in windows.select(parts.PART).distinct().collect()]
+    stored = parts.read(spark, path, SUMS, known, touched)
+    count = F.col("total_events").cast("decimal(38,0)")
+    known = parts.commit(
+        _merged(stored.unionByName(windows)), path, known, number, touched,
+        stats={"hours": F.count(F.lit(1)), "sum": F.sum("total_events"),
+               "squares": F.sum(count * count).cast("string")})
+    return windows, known
 
 
 def stream_activity(features, path, checkpoint, slide=None, trigger=AVAILABLE_NOW):
-    """Hourly activity, kept up to date: each batch adds the windows it changed.
+    """Hourly activity (or of sliding hours), kept up to date by each batch of new events.
 
-    Read it with ``current_activity``. Only changed windows are written, not the table.
+    Read it with ``current_activity``.
     """
-    windows = hourly_windows(features, slide)
-    writer = windows.writeStream.outputMode("update").foreachBatch(_append_batch(path, "batch"))
-    return _start(writer, checkpoint, trigger).start()
+    new = _measured(stream_dedup(features))
 
+    def merge(batch, number):
+        merge_activity(batch, path, number, slide)
 
-ACTIVITY = table(
-    "hour_window timestamp, total_events bigint, avg_magnitude double, max_magnitude double, "
-    "total_energy_joules double, batch bigint"
-)
+    return _start(new.writeStream.foreachBatch(merge), checkpoint, trigger).start()
+
+
+def _measured(new):
+    return new.select(
+        "event_time", F.col("properties.mag").alias("magnitude"),
+        seismic_energy("properties.mag").alias("seismic_energy_joules"))
+
+
+def _windows(rows):
+    return rows.select(
+        "hour_window", "total_events",
+        (F.col("magnitudes") / F.col("total_events")).alias("avg_magnitude"), "max_magnitude",
+        "total_energy_joules")
 
 
 def current_activity(spark, path):
-    """The latest state of each window."""
-    rows = spark.read.schema(ACTIVITY).parquet(path)
-    state = F.struct("total_events", "avg_magnitude", "max_magnitude", "total_energy_joules")
-    return (
-        rows.groupBy("hour_window").agg(F.max_by(state, "batch").alias("state"))
-        .select("hour_window", "state.*")
-    )
+    """Events, mean and peak magnitude and energy of each window."""
+    return _windows(parts.read(spark, path, SUMS, parts.manifest(spark, path)))
+
+
+def hourly_level(known, sigmas=HOURLY_SPIKE_SIGMAS):
+    """Mean of the hourly counts, and mean + ``sigmas`` sample deviations (null below two hours),
+    from the moments in the manifest: whole numbers, so nothing drifts."""
+    n = sum(s["hours"] for s in known.stats.values())
+    total = sum(s["sum"] for s in known.stats.values())
+    squares = sum(int(s["squares"]) for s in known.stats.values())
+    if not n:
+        return None, None
+    spread = ((n * squares - total * total) / (n * (n - 1))) ** 0.5 if n > 1 else None
+    return total / n, None if spread is None else total / n + sigmas * spread
+
+
+def _flagged(rows, known, sigmas):
+    mean, limit = (F.lit(x).cast("double") for x in hourly_level(known, sigmas))
+    return rows.select(
+        "hour_window", "total_events", mean.alias("mean_events"), limit.alias("threshold")
+    ).filter(F.col("total_events") > F.col("threshold"))
+
+
+def current_spikes(spark, path, sigmas=HOURLY_SPIKE_SIGMAS):
+    """Hours of the activity table that stand out now; the level comes from the manifest."""
+    known = parts.manifest(spark, path)
+    return _flagged(parts.read(spark, path, SUMS, known), known, sigmas)
+
+
+ALERTED = table("hour_window timestamp, total_events bigint, mean_events double, threshold double, "
+                "batch bigint")
 
 
 def stream_spikes(features, activity_path, path, checkpoint, sigmas=HOURLY_SPIKE_SIGMAS,
                   trigger=AVAILABLE_NOW):
-    """Alert on the hours of each batch that stand out from all hours stored so far."""
-    store = _append_batch(activity_path, "batch")
-    alert = _append_batch(path, "batch")
+    """Alert on the hours of each batch that stand out from all hours so far.
 
+    Only the days of the batch are read: what all other days add to the level is in the manifest.
+    Alerts are facts of their batch, kept by day (``raised``).
+    """
     def check(batch, number):
-        store(batch, number)
-        stored = current_activity(batch.sparkSession, activity_path)
-        changed = batch.sparkSession.read.schema(ACTIVITY).parquet(activity_path).filter(
-            F.col("batch") == number
-        ).select("hour_window")
-        flagged = spikes_of(stored, "hour_window", sigmas=sigmas).filter("is_spike")
-        alert(flagged.join(changed, "hour_window", "left_semi"), number)
-
-    writer = hourly_windows(features).writeStream.outputMode("update").foreachBatch(check)
-    return _start(writer, checkpoint, trigger).start()
+        spark = batch.sparkSession
+        merge_activity(batch, activity_path, number)
+        known, alerts = parts.manifest(spark, activity_path), parts.manifest(spark, path)
+        if alerts.version >= number:
+            return
+        changed = spark.read.schema(windows_of).parquet(f"{activity_path}/stage")
+        days = [r[0] for r in changed.select(parts.PART).distinct().collect()]
+        rows = parts.read(spark, activity_path, SUMS, known, days).join(
+            changed.select("hour_window"), "hour_window", "left_semi")
+        flagged = _flagged(rows, known, sigmas).withColumn("batch", F.lit(number)).withColumn(
+            parts.PART, F.date_format("hour_window", "yyyy-MM-dd"))
+        before = parts.read(spark, path, ALERTED, alerts, days)
+        parts.commit(before.unionByName(flagged), path, alerts, number, days)
+
+    windows_of = table("hour_window timestamp, part string")
+    return _start(_measured(stream_dedup(features)).writeStream.foreachBatch(check),
+                  checkpoint, trigger).start()
+
+
+def raised(spark, path):
+    """Spike alerts with the number of the batch that raised them."""
+    return parts.read(spark, path, ALERTED, parts.manifest(spark, path)).drop(parts.PART)
 
 
 def stream_dispatch(features, path, checkpoint, trigger=AVAILABLE_NOW):
@@ -211,37 +267,6 @@ def _progress_row(report):
     return (report.batchId, polled, landed, late) if report.numInputRows else None
 
 
-class CycleLog(StreamingQueryListener):
-    """Writes a row per micro-batch with input below ``path``: the totals of a run however long.
-
-    Register it with ``spark.streams.addListener`` before the stream starts. A batch that is
-    reported again after a restart is written again; readers take one row per batch.
-    """
-
-    def __init__(self, spark, path):
-        self.spark, self.path = spark, path
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        row = _progress_row(event.progress)
-        if row:
-            rows = self.spark.createDataFrame([row], PROGRESS)
-            rows.coalesce(1).write.mode("append").parquet(self.path)
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        pass
-
-
-def cycles(spark, path):
-    """One row per micro-batch of a ``CycleLog``."""
-    return spark.read.schema(PROGRESS).parquet(path).dropDuplicates(["batch"])
-
-
 def progress(spark, query):
     """Per micro-batch of the reports the session still keeps: rows polled, landed and late."""
     rows = [_progress_row(report) for report in query.recentProgress]
@@ -251,7 +276,7 @@ def progress(spark, query):
 def cycle_totals(rows):
     """Cycles that brought data, events polled and landed, and events dropped as late.
 
-    ``rows``: of ``cycles`` for a whole run, of ``progress`` for its last reports.
+    ``rows``: of ``delivery.cycles`` for a whole run, of ``progress`` for its last reports.
     """
     return rows.agg(
         F.count_if(F.col("polled") > 0).alias("cycles"),
