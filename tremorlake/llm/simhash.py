@@ -234,7 +234,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 # Similarity of shingle sets, decided exactly, for limits that 64 bits cannot tell.
 WIDE_WORDS, SIMILARITY = 5, 0.8
-MAP_BITS = 1024  # of the parity map of a set
+MAP_BITS = 1024  # of the parity map of a set, at least; four bits a shingle
 SAMPLE, SEEN, COMMON = 20_000, 3, 1 << 17  # these only order shingles: any order is exact
 CROWD = 4  # pairs for each probe that are listed without joining crowds first
 ROUNDS = 12
@@ -256,11 +256,23 @@ def shingles(text, words=WIDE_WORDS):
 
 def _parity(hashes):
     """Whether an odd number of shingles fell on each bit: two sets differ in at least as many
-    shingles as their maps in bits."""
-    counts = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=MAP_BITS)
+    shingles as their maps in bits. The map grows with the set, so it stays telling."""
+    width = max(MAP_BITS.bit_length() - 1, (4 * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _apart(x, y):
+    """Bits in which two maps differ. The longer is folded first: its neighbours share a bit of the
+    shorter, so their parities add up."""
+    x, y = sorted((np.frombuffer(m, np.uint8) for m in (x, y)), key=len)
+    if len(y) > len(x):
+        fold = len(y) // len(x)
+        bits = np.unpackbits(y).reshape(-1, fold)
+        y = np.packbits(np.bitwise_xor.reduce(bits, axis=1))
+    return int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(dtype=np.int64))
+
+
 def _common(docs, words):
     """Shingles that a bounded sample of documents shares, the rarest first."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -327,9 +339,7 @@ def similar_pairs(distinct, sets, similarity=SIMILARITY):
 
     def may(batches):
         for a, b, n, m, x, y in batches:
-            apart = np.bitwise_count(
-                np.frombuffer(b"".join(x), np.uint64).reshape(len(a), -1)
-                ^ np.frombuffer(b"".join(y), np.uint64).reshape(len(a), -1)).sum(1, dtype=np.int64)
+            apart = np.fromiter(map(_apart, x, y), np.int64, len(a))
             # |x| + |y| less the differing ones is twice the overlap at most.
             size = np.array(n, np.int64) + np.array(m, np.int64)
             near = np.flatnonzero(both * (size - apart) >= 2 * top * size)
