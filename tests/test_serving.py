@@ -1,7 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
 from helpers import plan, quake_frame
 from tremorlake.operators import serving
+from tremorlake.sources import parts
 
 
 def _load(spark, quakes, tmp_path):
@@ -100,3 +103,36 @@ def test_a_load_keeps_one_row_per_key(spark, tmp_path):
     serving.write_serving(serving.serving_rows(quake_frame(spark, rows)), str(tmp_path / "s"))
     found = serving.read_serving(spark, str(tmp_path / "s")).collect()
     assert [r.event.event_id for r in found] == ["c"]
+
+
+def test_a_load_replaces_the_ranges_it_touches(spark, quakes, tmp_path):
+    """Ten keys replace ten key ranges at most; ranges stay disjoint and are cut as they grow."""
+    path, rows = str(tmp_path / "table"), serving.serving_rows(quakes)
+    serving.upsert_serving(rows, path, 0, part_rows=40)
+    known = parts.manifest(spark, path)
+    fences = sorted((s["low"], s["high"]) for s in known.stats.values())
+    assert len(fences) > 15 and sum(s["rows"] for s in known.stats.values()) == rows.count()
+    assert all(high < low for (_, high), (low, _) in zip(fences, fences[1:]))
+    changed = rows.orderBy(F.xxhash64("row_key")).limit(10).withColumn(
+        "meta", F.col("meta").withField("alert", F.lit("new")))
+    touched = serving.upsert_serving(changed, path, 1, part_rows=40)
+    after = parts.manifest(spark, path)
+    assert 1 < len(touched) <= 10
+    assert {p for p, s in after.slots.items() if known.slots.get(p) != s} == set(touched)
+    table = serving.served(spark, path)
+    assert table.filter("meta.alert = 'new'").count() == 10 and table.count() == rows.count()
+    assert serving.upsert_serving(changed, path, 1) == []
+    for region in ("CALIFORNIA", "ALASKA", "NOWHERE"):
+        want = [r.row_key for r in serving.seek(rows, region, 5).collect()]
+        opened = serving.served(spark, path, region)
+        assert [r.row_key for r in serving.seek(opened, region, 5).collect()] == want
+    own = plan(serving.served(spark, path, "ALASKA"))
+    assert len(set(re.findall(r"k~0-\d+", own))) < len(known.slots) / 2
+    # Whatever is loaded, no range holds more than twice its size after a cut.
+    more = rows.withColumn("row_key", F.concat("row_key", F.lit("x")))
+    serving.upsert_serving(more, path, 2, part_rows=40)
+    last = parts.manifest(spark, path)
+    assert max(s["rows"] for s in last.stats.values()) <= 100
+    fences = sorted((s["low"], s["high"]) for s in last.stats.values())
+    assert all(high < low for (_, high), (low, _) in zip(fences, fences[1:]))
+    assert serving.served(spark, path).count() == 2 * rows.count()

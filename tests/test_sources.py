@@ -11,7 +11,7 @@ from tremorlake.operators.statistics import frequency_magnitude
 from tremorlake.plans import cube
 from tremorlake.plans.batch import run_batch
 from tremorlake.session import workspace
-from tremorlake.sources import footprint, readers, writers
+from tremorlake.sources import compaction, footprint, parts, readers, writers
 
 
 def test_landing_layout(spark, tmp_path):
@@ -201,3 +201,39 @@ def test_workspace_is_the_named_folder(spark):
     if named:
         assert workspace(spark, "x").startswith(named.rstrip("/"))
     assert workspace(spark, "x") != workspace(spark, "x")
+
+
+def test_only_new_hours_are_folded(spark, features, quakes, tmp_path):
+    """The second run opens the new hour only; late hours merge by ``updated``; an event whose time
+    was revised moves to its new day; a run without new hours does nothing."""
+    landed, path = str(tmp_path / "landed"), str(tmp_path / "days")
+    props = F.col("properties")
+    writers.land_features(features, landed, "2024-02-01 06:00:00", "lines")
+    assert compaction.fold(spark, landed, path) == ["2024/02/01/06"]
+    day = F.lit(86_400_000).cast("bigint")
+    one = F.col("id") == features.select(F.min("id")).first()[0]
+    moved = features.filter(one).withColumn("properties", props.withField(
+        "time", props["time"] + day).withField("updated", props["updated"] + day))
+    writers.land_features(moved, landed, "2024-02-01 07:00:00", "lines")
+    old = features.withColumn("properties", props.withField("updated", props["updated"] - 1)
+                              .withField("mag", F.lit(9.9)))
+    writers.land_features(old, landed, "2024-02-01 05:00:00", "lines")
+    assert compaction.new_hours(spark, landed, path, until="2024/02/01/06") == ["2024/02/01/05"]
+    hours = compaction.new_hours(spark, landed, path)
+    text = plan(compaction.landed_in(spark, landed, ["2024/02/01/07"]))
+    assert "concat_ws" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert compaction.landed_in(spark, landed, ["2024/02/01/07"]).count() == 1
+    before = parts.manifest(spark, f"{path}/days")
+    assert hours == ["2024/02/01/05", "2024/02/01/07"]
+    assert compaction.fold(spark, landed, path, until="2024/02/01/06") == hours[:1]
+    assert compaction.fold(spark, landed, path) == hours[1:]
+    assert compaction.fold(spark, landed, path) == []
+    after = parts.manifest(spark, f"{path}/days")
+    table = compaction.compacted(spark, path)
+    assert table.count() == features.count() and table.filter("magnitude = 9.9").isEmpty()
+    assert table.select("event_id").distinct().count() == features.count()
+    change = table.join(quakes.select("event_id", F.col("dt").alias("was")), "event_id").filter(
+        "dt <> was")
+    assert change.count() == 1
+    assert set(after.totals["hours"]) == {"2024/02/01/05", "2024/02/01/06", "2024/02/01/07"}
+    assert len(before.slots) <= len(after.slots) <= len(before.slots) + 1

@@ -89,6 +89,31 @@ def upsert(spark, sf_dir):
     )
 
 
+def _merged_table(spark, sf_dir):
+    """All events in loads of every third, then a tenth of them restated."""
+    path, (rows, new) = workspace(spark, "serving-merged"), _two_loads(spark, sf_dir)
+    load = F.pmod(F.xxhash64("event.event_id"), F.lit(3))
+    for k in range(3):
+        serving.upsert_serving(rows.filter(load == k), path, k, part_rows=2000)
+    again = new.filter(F.col("event.event_id").endswith("7"))
+    serving.upsert_serving(again, path, 3, part_rows=2000)
+    return path
+
+
+# Of a key, the latest load stays: a third by hash comes before it, so only single-event keys are
+# the same whatever the hash.
+@query("e9_merged_table", oracle("""
+SELECT row_key, max(event_id) AS event_id,
+       max(significance + CASE WHEN event_id LIKE '%7' THEN 1 ELSE 0 END) AS sig
+FROM keyed GROUP BY row_key HAVING count(*) = 1""", _KEYED))
+def merged_table(spark, sf_dir):
+    rows = serving.served(spark, _merged_table(spark, sf_dir))
+    single = serving.serving_rows(quakes(spark, sf_dir)).groupBy("row_key").agg(
+        F.count(F.lit(1)).alias("n")).filter("n = 1").select("row_key")
+    return rows.join(single, "row_key", "left_semi").select(
+        "row_key", F.col("event.event_id").alias("event_id"), F.col("meta.sig").alias("sig"))
+
+
 @query("e9_load_audit", oracle(
     "SELECT CAST(2 * count(*) AS BIGINT) AS loaded, count(DISTINCT row_key) AS row_keys, "
     "2 * count(*) - count(DISTINCT row_key) AS collisions FROM keyed", _KEYED))

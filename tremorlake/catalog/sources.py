@@ -9,6 +9,7 @@ from ..operators import cleansing, rollups
 from ..plans import cube, warehouse
 from ..plans.batch import write_rollups
 from ..session import workspace
+from ..sources import compaction as compaction_
 from ..sources import footprint, readers, writers
 from ..sources.events_view import features, quakes
 from .registry import oracle, query, rounded, terajoules
@@ -239,6 +240,22 @@ def compaction(spark, sf_dir):
     return _days(spark.read.schema(schemas.QUAKES).parquet(path))
 
 
+@query("a13_new_hours", oracle(_DAYS))
+def fold_hours(spark, sf_dir):
+    """Half of the events, then all of them as updated, then an earlier hour that comes late with
+    old copies: three runs, each over the hours that the runs before had not folded."""
+    landed, path = workspace(spark, "a13-hours"), workspace(spark, "a13-days")
+    rows = features(spark, sf_dir)
+    props = F.col("properties")
+    old = rows.withColumn("properties", props.withField("mag", props["mag"] + 1).withField(
+        "updated", props["updated"] - 1000))
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for hour, delivered in (("05", old.filter(half)), ("06", rows), ("04", old)):
+        writers.land_features(delivered, landed, f"2024-02-01 {hour}:00:00", "lines")
+        compaction_.fold(spark, landed, path)
+    return _days(compaction_.compacted(spark, path))
+
+
 @query("a14_storage_footprint")
 def storage(spark, sf_dir):
     """Measured bytes; they depend on the writers, so there is no SQL to compare with."""

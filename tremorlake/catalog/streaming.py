@@ -243,6 +243,6 @@ SELECT region || '#' || lpad(CAST(9223372036854775807 - epoch_millis AS VARCHAR)
 def serve(spark, sf_dir):
     out, checkpoint = _folders(spark, "g7")
     _in_polls(spark, sf_dir, lambda feed: ingest.stream_serving(feed, out, checkpoint))
-    return serving.last_write_wins(serving.read_loads(spark, out)).select(
+    return serving.served(spark, out).select(
         "row_key", "region", "epoch_millis", F.col("event.event_id").alias("event_id")
     )

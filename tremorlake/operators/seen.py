@@ -15,13 +15,14 @@ BUCKETS = 16  # of a store: more for longer horizons; it stays as it was made
 BROADCAST_IDS = 1_000_000  # ids of a poll that are sent to the scan of the store; more are joined
 
 
-def bucketed(rows, buckets=BUCKETS):
+def bucketed(rows, buckets=BUCKETS, column="id"):
     """Rows with the bucket of their id as ``part``."""
     return rows.withColumn(parts.PART, F.format_string(
-        "b%05d", F.pmod(F.xxhash64("id"), F.lit(buckets))))
+        "b%05d", F.pmod(F.xxhash64(column), F.lit(buckets))))
 
 
-def _buckets_of(rows):
+def parts_of(rows):
+    """The parts that ``rows`` touch."""
     return sorted(r[0] for r in rows.select(parts.PART).distinct().collect())
 
 
@@ -31,7 +32,7 @@ def known_ids(rows, store, known):
     ids = rows.select(parts.PART, "id")
     # A poll of bounded, counted size goes to where the store is read.
     asked = F.broadcast(ids) if rows.count() <= BROADCAST_IDS else ids
-    stored = parts.read(spark, store, SEEN, known, _buckets_of(rows))
+    stored = parts.read(spark, store, SEEN, known, parts_of(rows))
     return stored.select(parts.PART, "id").join(asked, [parts.PART, "id"], "left_semi")
 
 
@@ -43,7 +44,7 @@ def unseen(rows, store, known):
 def add(new, store, known, version, instant, horizon_days=None, totals=None):
     """Commit the ids of ``new`` (written, with ``part``) as seen at ``instant``."""
     spark = new.sparkSession
-    touched = _buckets_of(new)
+    touched = parts_of(new)
     before = parts.read(spark, store, SEEN, known, touched)
     if horizon_days is not None:
         before = before.filter(

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from ..functions.clock import DAY_MS, to_millis
 from ..functions.keys import key_range, row_key
 from ..schemas import SERVING, SERVING_LOADS
+from ..sources import parts
 
 RETENTION_DAYS = 30  # fixed value: the event family's lifetime
 LATEST = 10  # fixed value
@@ -99,6 +100,70 @@ def append_load(rows, path, load):
     )
 
 
+PART_ROWS = 1_000_000  # of a key range, about; one that grows to twice that is cut
+
+
+def _fence_of(key, fences):
+    """Name of the key range that ``key`` falls in: the last that begins at or before it, or the
+    first. ``fences``: (least key, name) in order, at least one."""
+    at = F.size(F.filter(F.array(*[F.lit(low) for low, _ in fences[1:]]), lambda low: low <= key)) \
+        if len(fences) > 1 else F.lit(0)
+    return F.get(F.array(*[F.lit(name) for _, name in fences]), at)
+
+
+def upsert_serving(rows, path, version, part_rows=PART_ROWS):
+    """Merge a load into the serving table on storage and return the key ranges it replaced.
+
+    The table is parts of disjoint key ranges whose least and greatest keys are in the manifest.
+    A load is dealt to ranges by those fences, and only ranges that get a row are read and written
+    again: ten keys replace ten ranges at most, however large the table. A row replaces the row of
+    its key, among the load's own the largest event id. A range that has outgrown its size is cut.
+    A load that was merged before changes nothing.
+    """
+    spark = rows.sparkSession
+    known = parts.manifest(spark, path)
+    if known.version >= version:
+        return []
+    fences = sorted((s["low"], p) for p, s in known.stats.items())
+    dealt = last_write_wins(rows.withColumn(LOAD, F.lit(0)))
+    dealt = dealt.withColumn(parts.PART, _fence_of(F.col("row_key"), fences) if fences
+                             else F.lit("k"))
+    dealt = parts.staged(dealt, f"{path}/load")
+    touched = sorted(r[0] for r in dealt.select(parts.PART).distinct().collect())
+    old = parts.read(spark, path, SERVING, known, touched)
+    both = old.withColumn(LOAD, F.lit(0)).unionByName(dealt.withColumn(LOAD, F.lit(1)))
+    newest = F.struct(LOAD, "event.event_id")
+    payload = F.struct("region", "epoch_millis", "event", "meta")
+    merged = parts.staged(
+        both.groupBy(parts.PART, "row_key").agg(F.max_by(payload, newest).alias("kept"))
+        .select("row_key", "kept.*", parts.PART), f"{path}/merged")
+    sizes = {r[0]: r[1] for r in merged.groupBy(parts.PART).count().collect()}
+    large = [p for p, n in sizes.items() if n > 2 * part_rows]
+    if large:
+        cuts = -(-sum(sizes[p] for p in large) // part_rows)
+        piece = F.concat(parts.PART, F.format_string(f"~{version}-%d", F.spark_partition_id()))
+        cut = merged.filter(F.col(parts.PART).isin(large)).repartitionByRange(
+            cuts, parts.PART, "row_key").withColumn(parts.PART, piece)
+        merged = parts.staged(
+            merged.filter(~F.col(parts.PART).isin(large)).unionByName(cut), f"{path}/cut")
+        pieces = [r[0] for r in merged.select(parts.PART).distinct().collect()]
+        touched = sorted({*touched, *pieces})
+    parts.commit(merged.sortWithinPartitions("row_key"), path, known, version, touched,
+                 stats={"low": F.min("row_key"), "high": F.max("row_key")})
+    return touched
+
+
+def served(spark, path, region=None):
+    """The serving table of ``upsert_serving``; of one region only the key ranges that can hold it
+    are opened."""
+    known = parts.manifest(spark, path)
+    if region is None:
+        return parts.read(spark, path, SERVING, known).drop(parts.PART)
+    first, stop = key_range(region)
+    own = [p for p, s in known.stats.items() if s["low"] < stop and s["high"] >= first]
+    return in_key_range(parts.read(spark, path, SERVING, known, own).drop(parts.PART), region)
+
+
 def read_serving(spark, path):
     return spark.read.schema(SERVING).parquet(path)
 

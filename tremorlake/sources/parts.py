@@ -6,8 +6,8 @@ there, readers see the parts as they were, and doing the same commit again chang
 Nothing is deleted and nothing piles up: a table has two folders a part and two manifests, however
 often it is written.
 
-The manifest has a row per part (its slot, and statistics of its rows that the table keeps), and
-the table's own totals. Parts are calendar days, hash buckets or key ranges, so it is small and is
+The manifest has a row per part (its slot, and statistics of its rows that the table keeps) and one
+for the table's own totals. Parts are calendar days, hash buckets or key ranges, so it is small and is
 read by the driver.
 """
 
@@ -44,8 +44,9 @@ def manifest(spark, path):
         return Manifest()
     found = rows.filter(F.col("version") == last).collect()
     parts = [r for r in found if r.part is not None]
+    totals = next(json.loads(r.totals) for r in found if r.part is None)
     return Manifest(last, {r.part: r.slot for r in parts},
-                    {r.part: json.loads(r.stats) for r in parts}, json.loads(found[0].totals))
+                    {r.part: json.loads(r.stats) for r in parts}, totals)
 
 
 def read(spark, path, schema, known, parts=None):
@@ -87,10 +88,10 @@ def commit(rows, path, known, version, touched, totals=None, stats=None):
              **{p: new[p] for p in written}}
     out = Manifest(version, slots, {**known.stats, **written}, {**known.totals, **(totals or {})})
     out.stats = {p: out.stats[p] for p in slots}
-    text = json.dumps(out.totals)
-    lines = [(version, p, s, json.dumps(out.stats[p]), text) for p, s in slots.items()]
+    lines = [(version, p, s, json.dumps(out.stats[p]), None) for p, s in slots.items()]
+    lines.append((version, None, None, None, json.dumps(out.totals)))
     (
-        spark.createDataFrame(lines or [(version, None, None, None, text)], _MANIFEST).coalesce(1)
+        spark.createDataFrame(lines, _MANIFEST).coalesce(1)
         .write.mode("overwrite").parquet(f"{path}/manifest/turn={version % 2}")
     )
     return out

@@ -13,7 +13,7 @@ from ..functions.clock import event_time
 from ..functions.measures import seismic_energy
 from ..operators.cleansing import dedup, drop_incomplete, flatten
 from ..operators.filters import dispatch
-from ..operators.serving import append_load, serving_rows
+from ..operators.serving import serving_rows, upsert_serving
 from ..operators.statistics import HOURLY_SPIKE_SIGMAS
 from ..schemas import COLLECTION, CORRUPT, FEATURE, FEATURE_LINES, LANDING_KEYS, table
 from ..sources import parts
@@ -232,11 +232,12 @@ def stream_dispatch(features, path, checkpoint, trigger=AVAILABLE_NOW):
 
 
 def stream_serving(features, path, checkpoint, trigger=AVAILABLE_NOW):
-    """New events into the serving table, one load per batch; see ``read_loads``."""
+    """New events merged into the serving table, one load per batch; read it with
+    ``serving.served``. A load replaces only the key ranges that it touches."""
     flat = flatten(stream_dedup(features).drop("event_time"))
 
     def load(batch, number):
-        append_load(serving_rows(batch), path, number)
+        upsert_serving(serving_rows(batch), path, number)
 
     return _start(flat.writeStream.foreachBatch(load), checkpoint, trigger).start()
 
