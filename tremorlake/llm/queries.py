@@ -5,6 +5,7 @@ from .counting import op2_token_counts
 from .language import op3_language_id
 from .manifest import op13_merkle_manifest
 from .mixing import op4_mixing
+from .oracles import ORACLES
 from .packing import op1_best_fit_packing
 from .pitman import op11_lm_scoring
 from .prefixes import op12_conversation_trie
@@ -19,4 +20,5 @@ QUERIES = {f.__name__: f for f in (
     op6_exact_search, op7_quality_rules, op8_sharding, op9_toxicity, op10_token_ids,
     op11_lm_scoring, op12_conversation_trie, op13_merkle_manifest,
 )}
-ORACLES = {}
+
+__all__ = ["ORACLES", "QUERIES"]
