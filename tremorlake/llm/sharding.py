@@ -19,21 +19,22 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _EVERY = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _sized(docs):
+def _sized(docs, row=None):
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"),
         unsigned(F.col("text")).cast("bigint").alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"))
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
 
 
-def assign(docs, shards=SHARDS):
-    """doc_id, size, text_crc32, shard, slot; and ``row``, the number of the input row."""
+def assign(docs, shards=SHARDS, row=None):
+    """doc_id, size, text_crc32, shard, slot; and ``row``, the number of the input row (that of the
+    column ``row`` where one is named)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["doc_id", "size", "text_crc32", "row"]
     # Texts stay where they are: only these four numbers are moved.
-    ranged = _sized(docs).repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id())
+    ranged = _sized(docs, row).repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id())
     ranged = stored(ranged, "sizes")
     own = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     # One row per range, and at most ``shards`` cuts: bounded by the number of partitions.
@@ -59,8 +60,9 @@ def assign(docs, shards=SHARDS):
 def write_shards(docs, path, shards=SHARDS):
     """Write ``docs`` below ``path``, a folder per shard, rows in slot order within files."""
     row, shard, slot = fresh(docs, "row", "shard", "slot")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
-    where = assign(docs.select("doc_id", "text"), shards).select(
+    # Written once: numbers made again might be others.
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    where = assign(docs.select("doc_id", "text", row), shards, row).select(
         F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
     out = docs.join(where, row).drop(row)
     # A shard spans many tasks and files; each holds a stretch of its slots.
