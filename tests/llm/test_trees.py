@@ -129,7 +129,7 @@ def test_trie(spark, monkeypatch):
 
 def test_unequal_prefixes_are_counted_again(spark, monkeypatch):
     """With primes so small that fingerprints collide, verification sees it and tries others."""
-    rows = spark.createDataFrame([(c, 0, "u", f"t{c}") for c in range(40)], CONVERSATIONS)
+    rows = spark.createDataFrame([(c, 0, "u", f"t{c}") for c in range(400)], CONVERSATIONS)
     monkeypatch.setattr(prefixes, "PRIMES", (3, 5, 7))
     monkeypatch.setattr(prefixes, "MOST_TRIES", 2)
     with pytest.raises(RuntimeError, match="share a fingerprint"):
