@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import plan, quake_frame
 from tremorlake.operators import running, statistics
+from tremorlake.sources import parts
 
 
 def _events(n=900, seed=3):
@@ -144,3 +145,27 @@ def test_histogram_is_decided_by_its_edges(spark, values):
                                 for k, v in enumerate(values)])
     out = statistics.histogram(frame, "magnitude").orderBy("bin").collect()
     assert [r.event_count for r in out] == np.histogram(values, bins=35)[0].tolist()
+
+
+def test_running_index_extends(spark, tmp_path):
+    """A new day and a late event rewrite their own days only, and the totals are those of one run
+    over everything; from a day on, earlier days are not opened."""
+    path = str(tmp_path / "index")
+    frame = quake_frame(spark, _events()).withColumn(
+        "dt", F.date_format(F.timestamp_millis("epoch_millis"), "yyyy-MM-dd"))
+    late = F.col("event_id").isin("q00000", "q00003", "q00007")
+    assert len(running.extend_index(frame.filter("dt < '2024-01-04'").filter(~late), path, 0, 7)) == 3
+    first = parts.manifest(spark, path)
+    assert running.extend_index(frame.filter("dt >= '2024-01-04'").filter(~late), path, 1) == [
+        "2024-01-04", "2024-01-05"]
+    days = running.extend_index(frame.filter(late), path, 2, 3)
+    assert running.extend_index(frame, path, 2) == []
+    last = parts.manifest(spark, path)
+    kept = set(first.slots) - set(days)
+    assert kept and all(last.slots[d] == first.slots[d] for d in kept)
+    got = {r.event_id: r for r in running.running_index(spark, path).collect()}
+    for r in running.running_energy(frame).collect():
+        assert got[r.event_id].cum_events == r.cum_events
+        assert got[r.event_id].cum_energy_pj == pytest.approx(r.cum_energy_pj, rel=1e-12)
+    text = plan(running.running_index(spark, path, "2024-01-05"))
+    assert "2024-01-05" in text and "2024-01-03" not in text.split("PartitionFilters")[1].split("]")[0]

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import HOUR_MS, to_millis
 from ..functions.measures import petajoules
 from ..plans.slices import running, with_slice
+from ..schemas import table
+from ..sources import parts
 
 
 def running_energy(quakes, slices=None):
@@ -21,6 +23,60 @@ def running_energy(quakes, slices=None):
     return out.drop("_pj")
 
 
+INDEX = table("event_id string, epoch_millis bigint, pj double, day_pj double, day_number bigint")
+
+
+def extend_index(quakes, path, version, slices=None):
+    """Add events to the stored running totals and return the days that were written.
+
+    The index is a part per day: each event with the energy and number of its day up to it. What
+    the days before add is their totals in the manifest, so a new day costs only itself, and an
+    event that comes late rewrites its own day and no other. An event that is there is replaced
+    (its ``dt`` must be the same). A version that was added before changes nothing.
+    """
+    spark = quakes.sparkSession
+    known = parts.manifest(spark, path)
+    if known.version >= version:
+        return []
+    new = parts.staged(quakes.select(
+        "event_id", "epoch_millis", petajoules("seismic_energy_joules").alias("pj"),
+        F.col("dt").alias(parts.PART)), f"{path}/new")
+    days = sorted(r[0] for r in new.select(parts.PART).distinct().collect())
+    columns = ["event_id", "epoch_millis", "pj", parts.PART]
+    old = parts.read(spark, path, INDEX, known, days).select(*columns, F.lit(0).alias("load"))
+    both = old.unionByName(new.withColumn("load", F.lit(1)))
+    row = F.struct("epoch_millis", "pj")
+    both = parts.staged(
+        both.groupBy("event_id", parts.PART).agg(F.max_by(row, "load").alias("kept"))
+        .select("event_id", "kept.*", parts.PART), f"{path}/days")
+    # Over the written days together, however busy one is; each then starts at its own zero.
+    ran = running(both, F.col("epoch_millis"), "event_id", {"run": "pj"}, "number", slices)
+    ran = parts.staged(ran, f"{path}/ran")
+    starts = ran.groupBy(parts.PART).agg(
+        (F.min("number") - 1).alias("n0"), F.min_by(F.col("run") - F.col("pj"), "number").alias("e0"))
+    rows = ran.join(F.broadcast(starts), parts.PART).select(  # a row per written day
+        "event_id", "epoch_millis", "pj", (F.col("run") - F.col("e0")).alias("day_pj"),
+        (F.col("number") - F.col("n0")).alias("day_number"), parts.PART)
+    parts.commit(rows, path, known, version, days, stats={"pj": F.sum("pj")})
+    return days
+
+
+def running_index(spark, path, since=None):
+    """Events of the index with ``cum_energy_pj`` and ``cum_events`` over all days; with ``since``
+    (a day) only the days from it on are opened."""
+    known = parts.manifest(spark, path)
+    starts, energy, number = [], 0.0, 0
+    for day in sorted(known.stats):
+        starts.append((day, energy, number))
+        energy, number = energy + known.stats[day]["pj"], number + known.stats[day]["rows"]
+    chosen = [day for day, _, _ in starts if since is None or day >= since]
+    before = spark.createDataFrame(starts, table(f"{parts.PART} string, pj0 double, n0 bigint"))
+    rows = parts.read(spark, path, INDEX, known, chosen)
+    return rows.join(F.broadcast(before), parts.PART).select(  # a row per day
+        "event_id", "epoch_millis", (F.col("pj0") + F.col("day_pj")).alias("cum_energy_pj"),
+        (F.col("n0") + F.col("day_number")).alias("cum_events"))
+
+
 def event_number(quakes, slices=None):
     """Each event with its running number in the order of time and event id."""
     return running(quakes, F.col("epoch_millis"), "event_id", {}, "cum_events", slices)
