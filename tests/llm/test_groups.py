@@ -333,4 +333,4 @@ def test_queries_are_registered():
     from __spark_entry__ import queries
 
     names = [n for n in queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11
+    assert len(names) == 14

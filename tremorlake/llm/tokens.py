@@ -14,7 +14,7 @@ from array import array
 
 import public_tokenizers
 
-CACHED = 1_000_000  # entries of each of a worker's caches
+CACHED = 600_000  # entries of each of a worker's caches
 CACHED_LENGTH = 32  # characters of the longest cached chunk
 
 # What makes a text go to the library whole: other white space, runs of it, or some at an end.
