@@ -1,5 +1,7 @@
 """The results of operators that SQL can express, as DuckDB SQL over the whole tables."""
 
+from .quality import ERROR, RISK, RULES, STRATA
+
 # CRC-32 of the decimal text of {0}, bit by bit.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT,
   list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
@@ -125,6 +127,56 @@ SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, coalesce(chil
 FROM nodes a JOIN sums USING (p) LEFT JOIN children USING (p)
 LEFT JOIN nodes b ON a.depth > 0 AND b.depth = a.depth - 1 AND b.p = a.p[:a.depth - 1]"""
 
+
+
+def _quality():
+    q, tests = RISK / len(RULES), (len(STRATA) + 1) * sum(len(cuts) for _, cuts in RULES.values())
+    grid = ", ".join(f"('{rule}', {cut!r}::DOUBLE)" for rule, (_, cuts) in RULES.items() for cut in cuts)
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {e}" for r, (e, _) in RULES.items()) + " END"
+    level = " + ".join(f"(n_words >= {n})::INTEGER" for n in STRATA)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parsed AS (
+  SELECT r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+windows AS (
+  SELECT r, i, words[i:i + 2] AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM parsed WHERE len(words) >= 3)),
+covered AS (
+  SELECT r, count(DISTINCT i + k) AS n
+  FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times FROM windows), range(3) offsets(k)
+  WHERE times > 1 GROUP BY r),
+measured AS (
+  SELECT r, doc_id, len(words) AS n_words,
+         coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words
+  FROM parsed LEFT JOIN covered USING (r)),
+failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {level} AS stratum
+  FROM measured),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+cells AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k
+  FROM failed JOIN good USING (doc_id), (VALUES {grid}) grid(rule, cutoff)
+  WHERE NOT base_failed GROUP BY stratum, rule, cutoff),
+certified AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM cells
+  WHERE k <= n * {q!r}::DOUBLE AND list_sum(list_transform(range(k + 1), lambda j: exp(
+    lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({q!r}::DOUBLE) + (n - j) * ln(1 - {q!r}::DOUBLE)))) <= {ERROR / tests!r}::DOUBLE
+  GROUP BY stratum, rule),
+over AS (
+  SELECT DISTINCT r FROM failed JOIN certified USING (stratum) WHERE {value} > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND over.r IS NULL AS kept
+FROM failed LEFT JOIN over USING (r)"""
+
+
+QUALITY = _quality()
+
 ORACLES = {
-    "op6_exact_search": SEARCH, "op12_conversation_trie": TRIE, "op13_merkle_manifest": MANIFEST,
+    "op6_exact_search": SEARCH, "op7_quality_rules": QUALITY, "op12_conversation_trie": TRIE, "op13_merkle_manifest": MANIFEST,
 }
