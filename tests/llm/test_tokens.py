@@ -96,18 +96,50 @@ def test_packing(spark, sf_dir):
     assert packing.pack(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_plan_covers_every_length_and_wastes_little(seed):
-    rng = np.random.default_rng(seed)
-    lengths = np.minimum(4096, np.exp(rng.normal(5.9, 1.2, 5000)).astype(int) + 1)
-    histogram = dict(Counter(lengths.tolist()))
-    plan, seen = packing.plan_sequences(histogram), Counter()
-    for config, times in plan.items():
-        assert sum(config) <= 4096
+def best_fit_alone(histogram, capacity=4096):
+    """Plain best fit decreasing: how many sequences."""
+    rooms, used = [0] * (capacity + 1), 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            room = next((r for r in range(length, capacity + 1) if rooms[r]), None)
+            if room is None:
+                room, used = capacity, used + 1
+            else:
+                rooms[room] -= 1
+            rooms[room - length] += 1
+    return used
+
+
+def histograms():
+    rng = np.random.default_rng(1)
+    logs = Counter(np.clip(rng.lognormal(6, 1, 8000).astype(int), 1, 4096).tolist())
+    documents = Counter(np.minimum(4096, np.exp(rng.normal(6.5, 0.8, 6000)).astype(int)).tolist())
+    yield "lognormal", logs, 1
+    yield "documents", documents, 1
+    yield "lognormal x 1000", logs, 1000
+    yield "documents x 5000", documents, 5000
+    yield "three in a sequence", Counter(rng.integers(1025, 1700, 20000).tolist()), 1
+    yield "one length", Counter({1366: 1000}), 1
+    yield "few", Counter({4096: 2, 4095: 1, 1: 3}), 1
+
+
+@pytest.mark.parametrize("name,base,factor", list(histograms()),
+                         ids=[name for name, *_ in histograms()])
+def test_plan_by_the_linear_program(name, base, factor):
+    histogram = Counter({length: n * factor for length, n in base.items()})
+    plan = packing.plan_sequences(histogram)
+    used, seen = sum(plan.sequences.values()), Counter()
+    for config, times in plan.sequences.items():
+        assert sum(config) <= 4096 and times > 0
         for length in config:
             seen[length] += times
     assert seen == histogram
-    assert sum(plan.values()) <= 1.005 * -(-int(lengths.sum()) // 4096) + 1
+    area = sum(length * n for length, n in histogram.items()) / 4096
+    assert area <= plan.bound + 1e-6 and plan.bound <= used + 1e-6
+    assert used <= plan.bound * 1.001 + 1
+    assert plan.best_fit <= 0.05 * used + 1
+    if factor == 1:
+        assert used <= best_fit_alone(histogram)
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 1024, 70_001, rans.BLOCK])

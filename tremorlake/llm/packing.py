@@ -4,16 +4,20 @@ Documents are encoded, cut into pieces of at most ``capacity`` tokens, and count
 most ``capacity`` numbers, whatever the corpus. On those the driver solves the covering program
 "cover every length as often as it occurs by configurations that fit a sequence" by multiplicative
 weights; the pricing step is a knapsack dynamic program whose one table prices the best
-configuration around every length. The fractional solution is rounded down, solved again on what
-rounding left, and the last remainder is filled largest first by best fit. The plan says how many
-sequences take each configuration; pieces find their place by their rank among equal lengths, which
-per-task counts and their prefix sums give without a global sort.
+configuration around every length. Every round's prices give a lower bound of the program; those
+of the best bound price the rounding: optimal configurations of the fractional solution are taken
+down to whole times, then what is left is priced again and again, and each length, longest first,
+gets the configuration that is worth most around it. Best fit only places what no configuration of
+nearly the best worth holds. The plan says how many sequences take each configuration; pieces find
+their place by their rank among equal lengths, which per-task counts and their prefix sums give
+without a global sort.
 
 Null or empty text: one piece, the end id. Repeated rows and ids are packed as often as they stand.
 An empty table gives no rows. Extra columns are not read.
 """
 
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Window
@@ -23,7 +27,16 @@ from .common import mapped, part_number, stored, table
 from .tokens import crc, encoder
 
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
-ROUNDS, SEEDS, PASSES, RATE, SLACK, NEAR = 40, 96, 3, 2.0, 0.002, 0.05
+ROUNDS, SEEDS, RATE, NEAR = 40, 96, 0.05, 0.05
+GAP = 0.03  # share of the tokens that the fractional solution may leave uncovered
+SLACKS = 1e-9, 0.0005, 0.002, 0.01  # how far below the best worth a configuration may be, in turn
+STALL = 0.05  # share of the remaining sequences that a sweep has to place to be repeated
+
+
+class Plan(NamedTuple):
+    sequences: dict  # configuration -> how many sequences take it
+    bound: float  # no packing has fewer sequences
+    best_fit: int  # sequences that best fit placed
 
 
 def pieces(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY):
@@ -73,31 +86,39 @@ def _around(seed, last, capacity):
     return tuple(sorted(taken, reverse=True))
 
 
-def _fractional(counts, capacity, rounds, seeds, rate):
-    """Multiplicative weights: how often to use which configuration, and the final prices."""
-    lengths = np.flatnonzero(counts)
-    n = counts[lengths].astype(float)
+def _fractional(left, capacity, rounds, seeds, rate):
+    """Multiplicative weights: how often to use which configuration, prices under which no
+    configuration is worth more than 1, and what the pieces are worth at these prices."""
+    lengths = np.flatnonzero(left)
+    n = left[lengths].astype(float)
     place = {int(v): k for k, v in enumerate(lengths)}
     weight, used = np.ones(len(lengths)), defaultdict(float)
-    for step in range(rounds):
-        best, last = _priced(weight * lengths, lengths, capacity)
+    mass, total, bound, chosen = np.cumsum(n * lengths), np.zeros(len(lengths)), 0.0, None
+    for step in range(1, rounds + 1):
+        price = weight * lengths
+        best, last = _priced(price, lengths, capacity)
+        worth = (n * price).sum() / best[capacity]
+        if worth > bound * (1 + 1e-9):
+            bound, chosen = worth, np.zeros(capacity + 1)
+            chosen[lengths] = price / best[capacity]
         # Seeds spread over the mass of the histogram, each round at other points.
-        mass = np.cumsum(n * lengths)
         at = (np.arange(seeds) + (step * 0.618034) % 1) * mass[-1] / seeds
-        covered = np.zeros(len(lengths))
         drawn, shares = np.unique(np.searchsorted(mass, at), return_counts=True)
-        worth = best[capacity - lengths[drawn]] + (weight * lengths)[drawn]
-        good = worth >= (1 - NEAR) * best[capacity]  # near-optimal answers of the pricing step
-        drawn, shares = drawn[good], shares[good] * seeds / max(1, shares[good].sum())
+        near = best[capacity - lengths[drawn]] + price[drawn] >= (1 - NEAR) * best[capacity]
+        drawn, shares = drawn[near], shares[near] * seeds / max(1, shares[near].sum())
+        covered = np.zeros(len(lengths))
         for seed, share in zip(drawn, shares):
             config = _around(int(lengths[seed]), last, capacity)
             own, copies = np.unique([place[v] for v in config], return_counts=True)
-            times = share * mass[-1] / seeds / rounds / sum(config)
+            times = share * mass[-1] / seeds / sum(config)
             used[config] += times
             covered[own] += times * copies
-        weight *= np.exp(-rate * (covered / n - 1 / rounds))
+        total += covered
+        if (np.maximum(0, n - total / step) * lengths).sum() < GAP * mass[-1]:
+            break
+        weight *= np.exp(np.clip(rate * (1 - covered / n), -1, 1))
         weight /= np.average(weight, weights=n * lengths)
-    return used, weight
+    return {config: times / step for config, times in used.items()}, chosen, bound
 
 
 def _commit(config, times, left, plan):
@@ -109,6 +130,39 @@ def _commit(config, times, left, plan):
         plan[config] += times
 
 
+def _worth_most(seed, left, price, best, capacity):
+    """The configuration worth most around ``seed`` among the pieces left; of equals, the one with
+    the longer lengths. Its worth counts what is left only."""
+    lengths, left = np.flatnonzero(left), left.copy()
+    config, room, worth = [seed], capacity - seed, price[seed]
+    left[seed] -= 1
+    while room:
+        fitting = lengths[:np.searchsorted(lengths, room, "right")]
+        fitting = fitting[left[fitting] > 0]
+        if not len(fitting):
+            break
+        gain = price[fitting] + best[room - fitting]
+        taken = int(fitting[np.flatnonzero(gain >= gain.max() * (1 - 1e-9))[-1]])
+        left[taken] -= 1
+        config.append(taken)
+        room -= taken
+        worth += price[taken]
+    return tuple(sorted(config, reverse=True)), worth
+
+
+def _sweep(left, price, slack, capacity, plan):
+    """Every length, longest first, while its best configuration is worth ``1 - slack`` or more."""
+    lengths, before = np.flatnonzero(left), sum(plan.values())
+    best, _ = _priced(price[lengths], lengths, capacity)
+    for seed in map(int, lengths[::-1]):
+        while left[seed]:
+            config, worth = _worth_most(seed, left, price, best, capacity)
+            if worth < 1 - slack:
+                break
+            _commit(config, left[seed], left, plan)
+    return sum(plan.values()) - before
+
+
 def _best_fit(left, capacity, plan):
     """Largest first into the fullest sequence that has room, equal sequences at once."""
     open_at = defaultdict(lambda: defaultdict(int))  # room -> configuration -> how many
@@ -144,39 +198,46 @@ def _best_fit(left, capacity, plan):
             plan[config] += times
 
 
-def plan_sequences(histogram, capacity=CAPACITY, rounds=ROUNDS, seeds=SEEDS, passes=PASSES,
-                   rate=RATE):
-    """``{configuration: sequences}`` for ``{length: pieces}``: covers each length exactly."""
+def _sequences(left, capacity):
+    return float((left * np.arange(capacity + 1)).sum()) / capacity
+
+
+def plan_sequences(histogram, capacity=CAPACITY, rounds=ROUNDS, seeds=SEEDS, rate=RATE):
+    """A ``Plan`` that covers each length of ``{length: pieces}`` exactly.
+
+    The program is solved again for what is left until a solution places less than half of it. No
+    plan has more sequences than best fit alone: should rounding ever lose to it, best fit's is it.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    plan = defaultdict(int)
-    if left[capacity]:
-        plan[(capacity,)] = int(left[capacity])
-        left[capacity] = 0
-    for _ in range(passes):
-        if left.sum() <= seeds:
-            break
-        priced = np.flatnonzero(left)
-        used, weight = _fractional(left, capacity, rounds, seeds, rate)
+    whole, plan, bound, full = left.copy(), defaultdict(int), 0.0, int(left[capacity])
+    if full:
+        plan[(capacity,)], left[capacity] = full, 0
+    if left.any():  # no sequence holds more pieces than fit of the shortest
+        bound = left.sum() / (capacity // np.flatnonzero(left)[0])
+    while left.any():
+        before, size = sum(plan.values()), _sequences(left, capacity)
+        used, price, worth = _fractional(left, capacity, rounds, seeds, rate)
+        if before == full:
+            bound = max(bound, worth)
         for config, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            _commit(config, int(times), left, plan)
-        # Round on: what is left, priced by the final weights, while whole configurations fit.
-        for _ in range(4):
-            before, lengths = left.sum(), np.flatnonzero(left)
-            if before <= seeds:
-                break
-            price = weight[np.searchsorted(priced, lengths)] * lengths
-            best, last = _priced(price, lengths, capacity)
-            worth = best[capacity - lengths] + price
-            for k in np.argsort(-worth, kind="stable"):
-                if worth[k] >= (1 - SLACK) * best[capacity] and left[lengths[k]]:
-                    config = _around(int(lengths[k]), last, capacity)
-                    _commit(config, left[lengths[k]], left, plan)
-            if left.sum() > before * 0.9:
-                break
+            if price[list(config)].sum() >= 1 - SLACKS[1]:
+                _commit(config, int(times), left, plan)
+        for slack in SLACKS:
+            while left.any():
+                rest = _sequences(left, capacity)
+                if _sweep(left, price, slack, capacity, plan) < STALL * rest:
+                    break
+        if sum(plan.values()) - before < size / 2:
+            break
+    by_program = sum(plan.values())
     _best_fit(left, capacity, plan)
-    return dict(plan)
+    best_fit, alone = sum(plan.values()) - by_program, defaultdict(int)
+    _best_fit(whole, capacity, alone)
+    if sum(alone.values()) < sum(plan.values()):
+        plan, best_fit = alone, sum(alone.values())
+    return Plan(dict(plan), full + bound, best_fit)
 
 
 def _slots(plan):
@@ -204,7 +265,7 @@ def place(cut, plan):
     ranked = cut.join(before, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("before") + F.col("nth")).alias("rank"))
-    slots = _slots(plan)  # bounded by rounds x seeds x passes and the capacity, not by the corpus
+    slots = _slots(plan)  # bounded by the rounds' seeds and the capacity, not by the corpus
 
     def assign(batches):
         for doc, piece, start, length, crc32, rank in batches:
@@ -224,7 +285,7 @@ def pack(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY):
     """All documents in sequences of at most ``capacity`` tokens; one row per piece."""
     cut = stored(pieces(docs, tokenizer, end_id, capacity), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
-    return place(cut, plan_sequences(histogram, capacity))
+    return place(cut, plan_sequences(histogram, capacity).sequences)
 
 
 def op1_best_fit_packing(spark, sf_dir):
