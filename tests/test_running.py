@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import plan, quake_frame
 from tremorlake.operators import running, statistics
+from tremorlake.plans.slices import SKETCH_K, sketched_cuts
 from tremorlake.sources import parts
 
 
@@ -114,6 +115,33 @@ def test_exact_percentiles(spark, slices):
         assert [r.p50, r.p95, r.p99] == pytest.approx(list(np.percentile(values, [50, 95, 99])))
 
 
+def test_percentiles_read_the_input_twice(spark, tmp_path):
+    """Once for the sketch of the cuts, once for the counted values; infinities are values."""
+    spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise("cool").alias("engine"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 17 == 0, float("inf"))
+        .otherwise(F.hash("id") % 20_000 / 8).alias("ms"),
+    ).write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    found = statistics.latency_summary(runs, "engine", "ms")
+    shares = F.array(*[F.lit(p) for _, p in statistics.PERCENTILES])
+    want = {r.engine: r.q for r in runs.groupBy("engine").agg(
+        F.percentile("ms", shares).alias("q")).collect()}
+    assert {r.engine: [r.p50, r.p95, r.p99] for r in found.collect()} == want
+    final = plan(found).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert statistics.latency_summary(runs.limit(0), "engine", "ms").count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 64, 50_000])
+def test_sketched_cuts_balance(spark, k):
+    rows = spark.range(100_000).select((F.col("id") * 1.0).alias("v"))
+    cuts = sketched_cuts(rows, "v", k)
+    assert len(cuts) == min(k, SKETCH_K // 8) - 1 and cuts == sorted(cuts)
+    gaps = np.diff([0, *cuts, 100_000])
+    assert gaps.max() <= 1.1 * 100_000 / min(k, SKETCH_K // 8) + 100
+
+
 def test_mean_ratio(spark):
     frame = spark.createDataFrame([("a", 6.0), ("a", 10.0), ("b", 2.0), ("z", 0.0)], "e string, ms double")
     summary = statistics.latency_summary(frame, "e", "ms")

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import bucket, event_time
-from ..plans.slices import SLICE, cut_points, with_slice
+from ..plans.slices import SLICE, sketched_cuts, with_slice
 
 # Magnitude thresholds, the fitted range, spike factor, histogram bins.
 THRESHOLDS = (5.0, 8.3, 0.1)
@@ -169,13 +169,14 @@ def latency_summary(measurements, group, metric, percentiles=PERCENTILES, slices
     """Per group: count, mean and exact percentiles (linear interpolation).
 
     The built-in exact percentile keeps every distinct value of a group in one buffer.
-    Here equal values are first counted together, the value axis is cut into slices, and
-    only the slices that contain a wanted rank are ranked, each on its own.
+    Here the value axis is cut into slices by a quantile sketch (the first scan), equal values
+    are counted together (the second), and only the slices that contain a wanted rank are
+    ranked, each on its own. The cuts balance the work; the results are exact whatever they are.
     """
     rows = measurements.select(
         F.col(group).alias("g"), F.col(metric).cast("double").alias("v")
     ).filter(F.col("v").isNotNull())
-    cuts = cut_points(rows, "v", slices)
+    cuts = sketched_cuts(rows, "v", slices)
     values = with_slice(
         rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), F.col("v"), cuts
     )
@@ -217,7 +218,8 @@ def latency_summary(measurements, group, metric, percentiles=PERCENTILES, slices
         .agg(
             F.min("v").alias("low"), F.max("v").alias("high"), F.max("part").alias("part")
         )
-        .select("g", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
+        .select("g", "p", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+            F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
         .groupBy("g").agg(*[
             F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in percentiles
         ])
