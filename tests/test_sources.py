@@ -1,17 +1,18 @@
 import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import feature, feature_frame, plan
 from tremorlake import schemas
-from tremorlake.operators import rollups
+from tremorlake.operators import filters, rollups
 from tremorlake.operators.cleansing import flatten
 from tremorlake.operators.statistics import frequency_magnitude
 from tremorlake.plans import cube
 from tremorlake.plans.batch import run_batch
 from tremorlake.session import workspace
-from tremorlake.sources import compaction, footprint, parts, readers, writers
+from tremorlake.sources import clustered, compaction, footprint, parts, readers, writers
 
 
 def test_landing_layout(spark, tmp_path):
@@ -237,3 +238,49 @@ def test_only_new_hours_are_folded(spark, features, quakes, tmp_path):
     assert change.count() == 1
     assert set(after.totals["hours"]) == {"2024/02/01/05", "2024/02/01/06", "2024/02/01/07"}
     assert len(before.slots) <= len(after.slots) <= len(before.slots) + 1
+
+
+def _row_groups(path, least, depth):
+    """All row groups below ``path`` and those whose statistics admit the selection."""
+    total = opened = 0
+    for file in path.rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            mag, deep = (meta.row_group(g).column(at[c]).statistics
+                         for c in ("magnitude", "depth_km"))
+            total += 1
+            opened += mag.max >= least and deep.max >= depth[0] and deep.min <= depth[1]
+    return total, opened
+
+
+def test_curve_order_skips_most_row_groups(spark, tmp_path):
+    n = 40_000
+    table = tmp_path / "table"
+    # Magnitudes fall off as in the law, one depth holds a third of all rows.
+    spark.range(n).select(
+        F.col("id").cast("string").alias("event_id"),
+        (2.5 - F.log(F.rand(3))).alias("magnitude"),
+        F.when(F.col("id") % 3 == 0, 10.0).otherwise(F.rand(4) * 700).alias("depth_km"),
+        (F.rand(5) * 1e9).cast("bigint").alias("epoch_millis"),
+    ).write.parquet(str(table))
+    rows = spark.read.parquet(str(table))
+    out = tmp_path / "clustered"
+    clustered.write_clustered(rows, str(out), files=128)
+    found = filters.slice_quakes(spark.read.parquet(str(out)), 4.5, (70, 300))
+    assert sorted(found.collect()) == sorted(filters.slice_quakes(rows, 4.5, (70, 300)).collect())
+    assert spark.read.parquet(str(out)).count() == n
+    total, opened = _row_groups(out, 4.5, (70, 300))
+    assert total >= 100 and opened <= total / 4
+    assert "PushedFilters: [IsNotNull(magnitude), IsNotNull(depth_km)" in plan(found)
+
+
+def test_curve_order_of_nothing_and_of_nulls(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", None, 5.0, 1), ("b", 3.0, None, None), ("c", 3.0, 5.0, 2), ("c", 3.0, 5.0, 2)],
+        "event_id string, magnitude double, depth_km double, epoch_millis bigint")
+    for name, frame in (("some", rows), ("none", rows.limit(0))):
+        clustered.write_clustered(frame, str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        assert got.columns == rows.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, frame.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, rollups, serving, statistics
 from ..session import workspace
-from ..sources import readers, writers
+from ..sources import clustered, readers, writers
 from ..sources.events_view import SPREAD_STEP, quakes
 from .registry import as_text, oracle, query, rounded, terajoules
 
@@ -58,6 +58,16 @@ def slice_written(spark, sf_dir):
     return rows.select("event_id", "magnitude", "depth_km")
 
 
+@query("d1_slice_clustered", oracle("""
+SELECT event_id, magnitude, depth_km FROM quakes
+WHERE mag10 >= 45 AND depth_km BETWEEN 70 AND 300"""))
+def slice_clustered(spark, sf_dir):
+    path = workspace(spark, "clustered")
+    clustered.write_clustered(_written(spark, sf_dir), path)
+    rows = filters.slice_quakes(spark.read.parquet(path), 4.5, (70, 300))
+    return rows.select("event_id", "magnitude", "depth_km")
+
+
 @query("h1a_latest_written", oracle("""
 SELECT event_id, magnitude, depth_km, alert_level FROM quakes WHERE region = 'CALIFORNIA'
 ORDER BY epoch_millis DESC, event_id LIMIT 10"""))
