@@ -202,6 +202,39 @@ def test_crowds_are_joined_exactly(spark, monkeypatch):
     assert kept(spark, texts) == want
 
 
+def test_fingerprints_propose_first(spark, monkeypatch):
+    """The dedup goes by SimHash: what is within its bits is proposed, and buckets by shingle hold
+    no two documents that it joined."""
+    rng = random.Random(24)
+    own = [f"f{k}w{j}" for k in range(6) for j in range(400)]
+    base = [own[400 * k:400 * k + 400] for k in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w, f"last{k}"]) for w in base for k in range(5)]
+    texts += [" ".join(changed(rng, w, 8)) for w in base]
+    proposed, held, proposals, listed = [], {}, simhash.fingerprint_pairs, simhash.stored
+
+    def seen(distinct, *args):
+        out = listed(proposals(distinct, *args), "seen")
+        prints = {r.node: r.fp % (1 << 64) for r in distinct.collect()}
+        proposed.append((prints, {(r.a, r.b) for r in out.collect()}))
+        return out
+
+    def kept_rows(df, name):
+        out = listed(df, name)
+        held.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", seen)
+    monkeypatch.setattr(simhash, "stored", kept_rows)
+    assert kept(spark, texts) == kept_plainly(texts) == set(range(6))
+    (prints, pairs), = proposed
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert len(near) >= 30 and roots(prints, pairs) == roots(prints, near)
+    buckets = defaultdict(set)
+    for r in held["shared"][0].collect():
+        buckets[r.key].add(r["class"])
+    assert all(len(classes) > 1 for classes in buckets.values())
+
+
 def test_search_is_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(0, 0.2, 16).round(2).tolist()) for k in range(700)]

@@ -10,9 +10,10 @@ A bucket in which very many fingerprints would meet lists no pairs: its members
 midpoints instead, which is exact: two fingerprints are within 2 bits if and only if they share one
 within 1 bit of both (and so on for other limits), and a midpoint has few sharers.
 
-``one_of_each`` serves similarities of about 0.8, where 64-bit fingerprints differ in 3 to 14 bits
-and no pigeonhole is selective: it joins the shingle sets themselves by shared prefixes and decides
-by their Jaccard similarity (see ``similar_pairs``).
+``one_of_each`` links documents by the Jaccard similarity of their shingle sets, 0.8 or more. The
+fingerprints of the sets propose first, by the links above; every proposal is decided on the sets.
+Similar sets whose fingerprints lie further apart (3 to 14 bits at 0.8, where no pigeonhole is
+selective) are found by shared prefixes, among sets of different classes only (``similar_pairs``).
 
 Null or empty text: fingerprint zero, linked like any other. Repeated rows and ids are members of
 their fingerprint. An empty table gives no rows. Only doc_id and text are read.
@@ -46,6 +47,11 @@ def fingerprint(text, words=WORDS):
         hashes = [xxh64_intdigest(line, SEED)]
     else:
         hashes = [xxh64_intdigest(line[a:b - 1], SEED) for a, b in zip(ends, ends[words:])]
+    return _majority(hashes)
+
+
+def _majority(hashes):
+    """The bits that are set in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at:at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -236,7 +242,7 @@ def op5_simhash_dedup(spark, sf_dir):
 WIDE_WORDS, SIMILARITY = 5, 0.8
 MAP_BITS = 1024  # of the parity map of a set, at least; four bits a shingle
 SAMPLE, SEEN, COMMON = 20_000, 3, 1 << 17  # these only order shingles: any order is exact
-CROWD = 4  # pairs for each probe that are listed without joining crowds first
+CROWD = 4  # pairs for each member that a bucket lists without joining its crowd first
 ROUNDS = 12
 
 
@@ -301,36 +307,35 @@ def _prefix(hashes, common, rank, limit):
     return hashes[np.lexsort((hashes, place))[:count]]
 
 
+def fingerprint_pairs(distinct, bits=BITS):
+    """(a, b) nodes that connect all whose fingerprints are within ``bits``: those of a fingerprint
+    with their least, and the least of linked fingerprints. ``distinct``: node, fp."""
+    prints = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    n, both = bit_statistics(prints)
+    linked = links(prints, partitions(n, both, bits), bits)
+    first, second = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+                     for c in "ab")
+    near = linked.distinct().join(first, "a").join(second, "b").select(
+        F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    same = distinct.select("node", "fp").join(prints, "fp").where("node != first").select(
+        F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(same)
+
+
 def similar_pairs(distinct, sets, similarity=SIMILARITY):
     """(a, b) links that connect all nodes whose shingle sets have that Jaccard similarity.
 
-    ``distinct``: node, n (shingles), map, first (the prefix of the set). ``sets(nodes)``: node and
-    shingles of those nodes. Of two similar sets, the prefix of the larger and the shorter indexed
-    prefix of the smaller share a shingle for certain, so buckets by shingle miss no pair. Members
-    of a bucket that are connected already need no comparing: while a bucket of several classes is
-    crowded, all its members are held against one of them, another each round; then all pairs of
-    different classes are listed that position, size and map do not rule out. Every link is decided
-    on the sets.
+    ``distinct``: node, n (shingles), fp, map, first (the prefix of the set). ``sets(nodes)``: node
+    and shingles of those nodes. Near fingerprints are decided first. Of two similar sets, the
+    prefix of the larger and the shorter indexed prefix of the smaller share a shingle for certain,
+    so buckets by shingle miss no pair. Members of a bucket that are connected already need no
+    comparing: in a bucket crowded by several classes all members are held against one of them,
+    another each round; then all pairs of different classes are listed that position, size and map
+    do not rule out. Every link is decided on the sets.
     """
     limit = Fraction(similarity).limit_denominator(1000)
     top, both = limit.numerator, limit.numerator + limit.denominator
 
-    def probe(batches):
-        for nodes, ns, firsts in batches:
-            sizes = [len(f) // 8 for f in firsts]
-            keys = np.frombuffer(b"".join(firsts), np.int64)
-            n = np.repeat(np.array(ns, np.int64), sizes)
-            at = np.concatenate([np.arange(s) for s in sizes])
-            yield [keys, np.repeat(np.array(nodes, np.int64), sizes), n, at,
-                   at <= n - -(-2 * top * n // both)]
-
-    probes = mapped(distinct.select("node", "n", "first"),
-                    "key bigint, node bigint, n bigint, at bigint, indexed boolean", probe)
-    met = probes.groupBy("key").agg(F.count("*").alias("members"),
-                                    F.count_if("indexed").alias("own")) \
-        .where("members > 1 and own > 0").select("key")
-    shared = stored(probes.join(stored(met, "met"), "key", "left_semi"), "shared")
-    total = shared.count()
     maps = distinct.select("node", "n", "map")
 
     def side(table, name):
@@ -366,34 +371,63 @@ def similar_pairs(distinct, sets, similarity=SIMILARITY):
         return stored(mapped(held.select("a", "b", "a_shingles", "b_shingles"),
                              "a bigint, b bigint", decide), "similar")
 
-    found, linked, before = None, None, None
-    for turn in range(ROUNDS + 1):
-        if linked is None:
-            members = shared.withColumn("class", F.col("node"))
-        else:
-            members = shared.join(linked, "node", "left").withColumn(
-                "class", F.coalesce("root", "node")).drop("root")
-        # Two steps, both summed ahead of the exchange; buckets of one class are done.
+    def classes(found):
+        return stored(components(found).select("node", F.col("root").alias("class")), "classes")
+
+    def probe(batches):
+        for nodes, own, ns, firsts in batches:
+            sizes = [len(f) // 8 for f in firsts]
+            keys = np.frombuffer(b"".join(firsts), np.int64)
+            n = np.repeat(np.array(ns, np.int64), sizes)
+            at = np.concatenate([np.arange(s) for s in sizes])
+            yield [keys, np.repeat(np.array(nodes, np.int64), sizes),
+                   np.repeat(np.array(own, np.int64), sizes), n, at,
+                   at <= n - -(-2 * top * n // both)]
+
+    def classed(rows, linked):
+        return rows.join(linked, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    found, before = verified(fingerprint_pairs(distinct.where("n > 0"))), None
+    probes = mapped(
+        classed(distinct.select("node", "n", "first"), classes(found)).select(
+            "node", "class", "n", "first"),
+        "key bigint, node bigint, class bigint, n bigint, at bigint, indexed boolean", probe)
+    met = probes.groupBy("key").agg(F.count_if("indexed").alias("own"), F.min("class").alias("c"),
+                                    F.max("class").alias("d")) \
+        .where("own > 0 and c < d").select("key")
+    shared = stored(probes.join(stored(met, "met"), "key", "left_semi"), "shared")
+
+    def opened(rows, turn):
+        """Crowded buckets: pairs across classes, and one member (``a``) and its class."""
+        # Two steps, both summed ahead of the exchange.
         chance = F.when(F.col("indexed"), F.xxhash64("node", F.lit(turn)))
-        count = members.groupBy("key", "class").agg(
+        count = rows.groupBy("key", "class").agg(
             F.count("*").alias("p"), F.count_if("indexed").alias("i"),
             F.min(chance).alias("c"), F.min_by("node", chance).alias("a"))
         state = count.groupBy("key").agg(
-            F.count("*").alias("classes"), F.min_by("a", "c").alias("a"),
+            F.sum("p").alias("members"), F.min_by("a", "c").alias("a"),
             F.min_by("class", "c").alias("own"),
-            (F.sum("p") * F.sum("i") - F.sum(F.col("p") * F.col("i"))).alias("across")) \
-            .where("classes > 1 and across > 0")
-        state = stored(state.select("key", "a", "own", F.col("across").cast("double")), "open")
-        across = state.agg(F.sum("across")).first()[0] or 0
-        if across <= CROWD * total or turn == ROUNDS or (
-                before is not None and across > 0.9 * before):
+            (F.sum("p") * F.sum("i") - F.sum(F.col("p") * F.col("i"))).alias("across"))
+        return stored(state.where(f"across > {CROWD} * members").withColumn(
+            "across", F.col("across").cast("double")), "open")
+
+    # Buckets that are not crowded list their pairs; the crowded ones are joined first.
+    state = opened(shared, 0)
+    live = stored(shared.join(state.select("key"), "key", "left_semi"), "live")
+    easy = shared.join(state.select("key"), "key", "left_anti")
+    linked = None
+    for turn in range(1, ROUNDS + 1):
+        across, = state.agg(F.sum("across")).first()
+        if not across or before is not None and across > 0.9 * before:
             break
         before = across
-        new = verified(members.join(state, "key").where("class != own").select(
+        new = verified(live.join(state, "key").where("class != own").select(
             F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
-        found = new if found is None else found.unionByName(new)
-        linked = stored(components(found).select("node", "root"), "classes")
-    live = stored(members.join(state.select("key"), "key", "left_semi"), "live")
+        found = found.unionByName(new)
+        linked = classes(found)
+        live = stored(classed(live.drop("class"), linked), "live")
+        state = opened(live, turn)
+    live = easy.unionByName(live.select(easy.columns))
     left, right = (rows.select("key", *[F.col(c).alias(name if c == "node" else f"{name}_{c}")
                                         for c in ("node", "n", "at", "class")])
                    for rows, name in ((live.where("indexed"), "a"), (live, "b")))
@@ -401,9 +435,13 @@ def similar_pairs(distinct, sets, similarity=SIMILARITY):
     near = F.expr(f"{both} * least(a_n - a_at, b_n - b_at) >= {top} * (a_n + b_n)")
     pairs = left.join(right, "key").where(
         F.expr("a_class != b_class and a_n <= b_n") & near) \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = verified(pairs)
-    return last if found is None else found.unionByName(last)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if linked is not None:  # what the crowds have joined needs no comparing in other buckets
+        for c in "ab":
+            own = linked.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
+            pairs = pairs.join(own, c, "left")
+        pairs = pairs.where("coalesce(a_class, a) != coalesce(b_class, b)").select("a", "b")
+    return found.unionByName(verified(pairs))
 
 
 def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
@@ -424,17 +462,18 @@ def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
         for texts, ids, rows in batches:
             own = [shingles(t, words) for t in texts]
             yield [ids, rows, [xxh3_128_digest(s.tobytes()) for s in own], [len(s) for s in own],
-                   [_parity(s) for s in own],
+                   [_signed(_majority(s)) for s in own], [_parity(s) for s in own],
                    [_prefix(s, sorted_common, rank, limit).tobytes() for s in own]]
 
     prints = mapped(numbered.select("text", "doc_id", row),
-                    "doc_id bigint, row bigint, same binary, n bigint, map binary, first binary",
-                    run)
+                    "doc_id bigint, row bigint, same binary, n bigint, fp bigint, map binary, "
+                    "first binary", run)
     # Equal sets meet in the map-side aggregate, however many there are.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     distinct = stored(prints.groupBy("same").agg(
         least.alias("least"), F.min("row").alias("node"), F.first("n").alias("n"),
-        F.first("map").alias("map"), F.first("first").alias("first")), "wide")
+        F.first("fp").alias("fp"), F.first("map").alias("map"),
+        F.first("first").alias("first")), "wide")
 
     def sets(nodes):
         def run(batches):
