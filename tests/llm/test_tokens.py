@@ -44,6 +44,23 @@ def test_cached_encoding_of_odd_texts(texts):
         assert ENCODERS[name].encode(texts) == [x.tobytes() for x in plain(name, end, texts)]
 
 
+@pytest.mark.parametrize("name,end", VOCABULARIES)
+def test_new_words_are_one_call(name, end, monkeypatch):
+    """However many words no worker has met, the library gets them as one text."""
+    made = Encoder(name, end)
+    texts = [" ".join(f"{a}{b}{c}" + "," * (a == "ré") for b in "abcdefg" for c in "xyz")
+             for a in ("ba", "ré", "Zu")]
+    asked = []
+
+    def ids(texts):
+        asked.append(len(texts))
+        return Encoder._ids(made, texts)
+
+    monkeypatch.setattr(made, "_ids", ids)
+    assert made.encode(texts) == [x.tobytes() for x in plain(name, end, texts)]
+    assert max(asked) <= len(texts)
+
+
 def key(row):
     return tuple((v is not None, v) for v in row)
 

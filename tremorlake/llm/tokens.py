@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers
 
 CACHED = 600_000  # entries of each of a worker's caches
@@ -58,38 +59,65 @@ class Encoder:
         # Whether the word after a space carries that space in its first id.
         self.lead = " " if self._ids([" b"]) != self._ids(["b"]) else ""
         self.end = array("I", [end_id]).tobytes()
+        # Which ids begin a word behind a space, or else end a word.
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.marks = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.marks[[i for t, i in vocabulary.items() if (
+            t.startswith("Ġ") if self.lead else suffix and t.endswith(suffix))]] = True
         self.chunks, self.bare = _Known(), {}
 
     def _ids(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _parts(self, chunk):
-        """Spaced word, then the bare pieces behind it that the vocabulary never joins to it."""
-        m = _PARTS.fullmatch(chunk)
-        if not m:
-            return chunk, ()
-        a, b, line, c, d = m.groups()
-        return a, [p for p in (b, line and self.lead and line, c, d) if p]
-
-    def _lookup(self, known, wanted, lead):
-        """Ids by piece; what is new is cached as long as there is room."""
+    def _words(self, words):
+        """Ids of each of the words behind a space, by one call for all of them."""
+        if not words:
+            return []
+        (found,) = self.tokenizer.encode_batch_fast(
+            [self.lead + " ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        at = np.flatnonzero(self.marks[ids])
+        if len(at) != len(words):  # a vocabulary that does not mark them
+            return self._ids([self.lead + w for w in words])
+        cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.lead else [0, *(4 * at + 4).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _bare(self, wanted):
+        """Ids of pieces without a space before them; new ones are cached while there is room."""
+        known = self.bare
         new = [p for p in wanted if p not in known]
         found = {p: known[p] for p in wanted if p in known}
-        ids = dict(zip(new, self._ids([lead + p for p in new])))
+        ids = dict(zip(new, self._ids(new)))
         if len(known) + len(new) <= CACHED:
             known.update((p, i) for p, i in ids.items() if i and len(p) <= CACHED_LENGTH)
         found.update(ids)
         return found
 
     def _learn(self, missing):
-        parts = {c: self._parts(c) for c in missing}
-        heads = self._lookup(self.chunks, {a for a, _ in parts.values()}, self.lead)
-        bare = self._lookup(self.bare, {p for _, tail in parts.values() for p in tail}, "")
-        learnt = {c: heads[a] + b"".join([bare[p] for p in tail]) for c, (a, tail) in parts.items()}
-        if len(self.chunks) + len(learnt) <= CACHED:
-            self.chunks.update((c, i) for c, i in learnt.items()
-                               if i and len(c) <= CACHED_LENGTH)
+        """Ids of chunks: of a word, or of a word and the bare pieces behind it that the vocabulary
+        never joins to it, or of anything else whole."""
+        known, match = self.chunks, _PARTS.fullmatch
+        words, other, tailed = set(), [], []
+        for chunk in missing:
+            m = match(chunk)
+            if not m:
+                other.append(chunk)
+                continue
+            a, b, line, c, d = m.groups()
+            if b or line:
+                tailed.append((chunk, a, [p for p in (b, line and self.lead and line, c, d) if p]))
+            if a not in known:
+                words.add(a)
+        words = list(words)
+        learnt = dict(zip(words, self._words(words)))
+        learnt.update(zip(other, self._ids([self.lead + c for c in other])))
+        bare = self._bare({p for *_, tail in tailed for p in tail})
+        for chunk, a, tail in tailed:
+            learnt[chunk] = (known.get(a) or learnt[a]) + b"".join([bare[p] for p in tail])
+        if len(known) + len(learnt) <= CACHED:
+            known.update((c, i) for c, i in learnt.items() if i and len(c) <= CACHED_LENGTH)
         return learnt
 
     def encode(self, texts):
