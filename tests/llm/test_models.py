@@ -70,6 +70,22 @@ def test_toxic_documents_are_found(spark):
     assert found[0, True] <= 0.03 * (found[0, True] + found[0, False])
 
 
+def test_features_are_found_once_a_chunk(monkeypatch):
+    plain, asked = toxicity.features_of, []
+    monkeypatch.setattr(toxicity, "features_of", lambda c: asked.append(c) or plain(c))
+    texts = ["hatefully mean, mean words; hate-fully", "mean hatefully 12 élan_vital x", "", "mean,"]
+    known = toxicity._Numbers()
+    names = [{f for k in known(t.split()) for f, n in known.number.items() if n == k} for t in texts]
+    assert len(asked) == len({c for t in texts for c in t.split()})
+    want = [{w[:k] + "*" for w in re.findall(r"[^\W\d_]+", t) for k in range(4, 9) if len(w) > k}
+            | set(re.findall(r"[^\W\d_]+", t)) for t in texts]
+    assert names == want
+    reader = toxicity.Reader(["hate*", "mean", "fully", "hatef*", "words", "word*"])
+    at, rate, n = reader(texts[0])
+    assert dict(zip(at, np.round(np.expm1(rate) * n / 50))) == {0: 1, 3: 1, 1: 2, 4: 1, 5: 1, 2: 1}
+    assert n == 5 and [len(reader(t)[0]) for t in texts[1:]] == [3, 0, 1]
+
+
 def test_chain_of_awkward_documents(spark):
     docs = given(spark, DATA, "documents").select("doc_id", "text")
     model = toxicity.train(docs, given(spark, DATA, "labels"))

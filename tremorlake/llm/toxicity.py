@@ -14,7 +14,8 @@ base rate everywhere and rejects nothing. An empty table gives no rows.
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain as chained
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,14 +31,15 @@ CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"),
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = range(4, 9)
+_SHORTEST = min(_BEGINNINGS)
 
 
 def features_of(chunk):
     """The words of a lower-case chunk and their beginnings."""
-    out = set()
-    for word in _WORDS.findall(chunk):
-        out.add(word)
-        out.update(word[:k] + "*" for k in _BEGINNINGS if len(word) > k)
+    out = []
+    for word in [chunk] if chunk.isalpha() else _WORDS.findall(chunk):
+        out.append(word)
+        out += [word[:k] + "*" for k in _BEGINNINGS[:max(0, len(word) - _SHORTEST)]]
     return out
 
 
@@ -60,22 +62,29 @@ def screen(rows, chain=CHAIN, most=FEATURES):
     ys = [f"y{k}" for k in range(len(chain))]
 
     def count(batches):
-        seen = [Counter() for _ in range(len(ys) + 1)]
+        seen, known = {}, _Numbers()
         for texts, *labels in batches:
             for text, *y in zip(texts, *labels):
-                own = set().union(*map(features_of, set((text or "").lower().split())))
-                seen[0].update(own)
-                for c, value in zip(seen[1:], y):
-                    if value:
-                        c.update(own)
-            if len(seen[0]) > 1_000_000:  # a bounded dictionary; the sums go on in Spark
-                yield _columns(seen)
-                seen = [Counter() for _ in seen]
-        yield _columns(seen)
-
-    def _columns(seen):
-        return [list(seen[0]), list(seen[0].values()),
-                *[[c[f] for f in seen[0]] for c in seen[1:]]]
+                own = np.unique(known((text or "").lower().split()))
+                counts = seen.get(tuple(y))
+                if counts is None or len(counts) < len(known.number):
+                    counts = np.zeros(2 * len(known.number), np.int64)
+                    old = seen.get(tuple(y), counts[:0])
+                    counts[:len(old)] = old
+                    seen[tuple(y)] = counts
+                counts[own] += 1
+            if len(known.number) > 1_000_000:  # a bounded dictionary; the sums go on in Spark
+                yield from _columns(seen, known)
+                seen, known = {}, _Numbers()
+        yield from _columns(seen, known)
+
+    def _columns(seen, known):
+        """One block for the documents of the same labels."""
+        names = list(known.number)
+        for y, counts in seen.items():
+            some = np.flatnonzero(counts)
+            n = counts[some].tolist()
+            yield [[names[k] for k in some], n, *[n if v else [0] * len(n) for v in y]]
 
     fields = "feature string, n bigint, " + ", ".join(f"{y} bigint" for y in ys)
     sums = mapped(rows.select("text", *ys), fields, count).groupBy("feature").agg(
@@ -95,19 +104,38 @@ def screen(rows, chain=CHAIN, most=FEATURES):
     return sorted(chosen)
 
 
+class _Numbers(dict):
+    """Numbers of the features of chunks, in the order in which they are met."""
+
+    def __init__(self):
+        self.number = {}
+
+    def __missing__(self, chunk):
+        if len(self) >= CACHED:
+            self.clear()
+        number = self.number
+        self[chunk] = own = [number.setdefault(f, len(number)) for f in features_of(chunk)]
+        return own
+
+    def __call__(self, chunks):
+        found = chained.from_iterable(map(self.__getitem__, set(chunks)))
+        return np.fromiter(found, np.int64)
+
+
 class _Places(dict):
     """Places of a chunk's chosen features; most chunks have none."""
 
     def __init__(self, features):
         self.place = {f: k for k, f in enumerate(features)}
         # Every feature of a word begins as the word does.
-        self.heads = {f.rstrip("*")[:min(_BEGINNINGS)] for f in features}
+        self.heads = {f.rstrip("*")[:_SHORTEST] for f in features}
 
     def __missing__(self, chunk):
-        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
-        own = ()
-        if any(w[:min(_BEGINNINGS)] in self.heads for w in words):
-            own = tuple(self.place[f] for f in features_of(chunk) if f in self.place)
+        words, own, place = [chunk] if chunk.isalpha() else _WORDS.findall(chunk), (), self.place
+        for word in words:
+            if word[:_SHORTEST] in self.heads:
+                own = tuple({place[f] for f in features_of(chunk) if f in place})
+                break
         if len(self) >= CACHED:
             self.clear()
         self[chunk] = own
@@ -122,9 +150,7 @@ class Reader:
 
     def __call__(self, text):
         chunks = (text or "").lower().split()
-        found = Counter()
-        for own in filter(None, map(self.known.__getitem__, chunks)):
-            found.update(own)
+        found = Counter(chained.from_iterable(map(self.known.__getitem__, chunks)))
         at = np.fromiter(found, np.int64, len(found))
         n = np.fromiter(found.values(), np.float64, len(found))
         return at, np.log1p(50 * n / max(1, len(chunks))), len(chunks)
