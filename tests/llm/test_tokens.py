@@ -61,6 +61,19 @@ def test_new_words_are_one_call(name, end, monkeypatch):
     assert max(asked) <= len(texts)
 
 
+@pytest.mark.parametrize("name,end", VOCABULARIES)
+def test_known_words_are_not_asked_again(name, end, monkeypatch):
+    """Nor are first words; new words behind a space are those of the library's whole encoding."""
+    made = Encoder(name, end)
+    texts = ["Été naïveté Straße, größer zzqx ÿþ vorbei.", "Zuvor the bqzv größer,"]
+    want = [x.tobytes() for x in plain(name, end, texts)]
+    assert made.encode(texts) == want
+    assert bool(made.words) == (name == "byte_bpe_50k.json")
+    monkeypatch.setattr(made, "_ids", lambda texts: [Encoder._ids(made, [t])[0] for t in texts
+                                                     if pytest.fail(f"asked again: {t}")])
+    assert made.encode(texts) == want
+
+
 def key(row):
     return tuple((v is not None, v) for v in row)
 

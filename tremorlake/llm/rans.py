@@ -61,15 +61,18 @@ def encode(ids, table):
     total = 0
     for step in range(steps - 1, -1, -1):
         f, c = freq[step * lanes:(step + 1) * lanes], start[step * lanes:(step + 1) * lanes]
-        x = state[:len(f)]
-        full = x >= f << np.uint64(63 - BITS)
-        if full.any():
-            out = x[full]
+        x = state[:len(f)]  # changed in place
+        full = np.flatnonzero(x >> np.uint64(63 - BITS) >= f)
+        if len(full):
+            out = x.take(full)
             words.append(out.astype(np.uint32)[::-1])  # read backwards by the decoder
             total += len(out)
-            x = np.where(full, x >> np.uint64(32), x)
+            x[full] = out >> np.uint64(32)
         q = x // f
-        state[:len(f)] = (q << np.uint64(BITS)) + (x - q * f) + c
+        x -= q * f
+        q <<= np.uint64(BITS)
+        x += q
+        x += c
         if step in cuts:
             marks.append((step, total, state.copy()))
     # The decoder reads the words from the last written to the first.
@@ -111,16 +114,18 @@ def decode(data, table, first=0, last=None):
     out = np.empty(max(0, min(end * lanes, n) - begin * lanes), np.uint32)
     for step in range(begin, end):
         width = min(lanes, n - step * lanes)
-        x = state[:width]
+        x = state[:width]  # changed in place
         slot = x & mask
-        sym = slots[slot.astype(np.int64)]
-        x = table.freq[sym] * (x >> np.uint64(BITS)) + slot - table.start[sym]
-        short = x < LOW
-        k = int(short.sum())
+        sym = slots[slot.view(np.int64)].astype(np.intp)
+        x >>= np.uint64(BITS)
+        x *= table.freq[sym]
+        x += slot
+        x -= table.start[sym]
+        short = np.flatnonzero(x < LOW)
+        k = len(short)
         if k:
-            x[short] = x[short] << np.uint64(32) | words[place:place + k]
+            x[short] = x.take(short) << np.uint64(32) | words[place:place + k]
             place += k
-        state[:width] = x
         out[(step - begin) * lanes:(step - begin) * lanes + width] = sym
     ids = table.ids[out]
     # The whole block leads back to the states the coder began with.

@@ -33,14 +33,14 @@ def _odd(text):
 
 
 class _Known(dict):
-    """Ids by chunk; a chunk that is not known is noted and has no ids for now."""
+    """Ids by chunk; a chunk that is not known is noted and stands for its ids for now."""
 
     def __init__(self):
         self.asked = []
 
     def __missing__(self, chunk):
         self.asked.append(chunk)
-        return b""
+        return chunk
 
 
 class Encoder:
@@ -51,7 +51,7 @@ class Encoder:
     """
 
     def __init__(self, name, end_id):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
@@ -65,6 +65,16 @@ class Encoder:
         self.marks[[i for t, i in vocabulary.items() if (
             t.startswith("Ġ") if self.lead else suffix and t.endswith(suffix))]] = True
         self.chunks, self.bare = _Known(), {}
+        # Such a vocabulary never cuts a word: its model may get words that are cut already.
+        self.words = None
+        kind = pre_tokenizers.ByteLevel
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if self.lead and not self.tokenizer.normalizer and all(a.special for a in added) \
+                and isinstance(self.tokenizer.pre_tokenizer, kind):
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            written = kind(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.written = {k: written(chr(k))[0][0] for k in range(0xC0, 0x100)}
 
     def _ids(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -74,8 +84,12 @@ class Encoder:
         """Ids of each of the words behind a space, by one call for all of them."""
         if not words:
             return []
-        (found,) = self.tokenizer.encode_batch_fast(
-            [self.lead + " ".join(words)], add_special_tokens=False)
+        if self.words:
+            line = " Ġ".join([w if w.isascii() else w.translate(self.written) for w in words])
+            (found,) = self.words.encode_batch_fast(["Ġ" + line], add_special_tokens=False)
+        else:
+            (found,) = self.tokenizer.encode_batch_fast(
+                [self.lead + " ".join(words)], add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         at = np.flatnonzero(self.marks[ids])
         if len(at) != len(words):  # a vocabulary that does not mark them
@@ -101,6 +115,9 @@ class Encoder:
         known, match = self.chunks, _PARTS.fullmatch
         words, other, tailed = set(), [], []
         for chunk in missing:
+            if chunk.isascii() and chunk.isalpha():
+                words.add(chunk)
+                continue
             m = match(chunk)
             if not m:
                 other.append(chunk)
@@ -140,18 +157,16 @@ class Encoder:
             first = len(asked)
             ids = list(map(known.__getitem__, rest))
             total += len(ids)
-            cut.append((k, head, ids, asked[first:]))
+            cut.append((k, head, ids, len(asked) > first))
         missing = set(asked)
         if len(missing) * 4 > total and len(known) > CACHED * 3 // 4:
             known.clear()  # the texts have changed
         learnt = self._learn(missing) if missing else {}
-        heads = self._ids([c[1] for c in cut])
-        for (k, _, ids, gaps), head in zip(cut, heads):
-            at = -1
-            for chunk in gaps:  # in the order of the text
-                at = ids.index(b"", at + 1)
-                ids[at] = learnt[chunk]
-            out[k] = b"".join([head, *ids, self.end])
+        heads = self._bare({c[1] for c in cut})
+        for k, head, ids, gaps in cut:
+            if gaps:
+                ids = [x if type(x) is bytes else learnt[x] for x in ids]
+            out[k] = b"".join([heads[head], *ids, self.end])
         for k, ids in zip(slow, self._ids([texts[k] or "" for k in slow])):
             out[k] = ids + self.end
         return out
