@@ -86,6 +86,25 @@ def test_features_are_found_once_a_chunk(monkeypatch):
     assert n == 5 and [len(reader(t)[0]) for t in texts[1:]] == [3, 0, 1]
 
 
+def test_texts_are_read_together():
+    """In one go for many texts, as one by one; chunks with equal features share one object."""
+    features = ["hate*", "hatef*", "mean", "élan", "the", "word*", "x²"]
+    reader = toxicity.Reader(features)
+    texts = ["Hateful, mean words; hate-fully", None, "", "the élan. the, (words) hatefully!",
+             "x² hat hate the", "mean-mean mean,"]
+    row, at, rate, words = reader.all(texts)
+    place = {f: k for k, f in enumerate(features)}
+    for k, text in enumerate(texts):
+        chunks = (text or "").lower().split()
+        want = Counter(place[f] for c in chunks for f in set(toxicity.features_of(c)) if f in place)
+        assert dict(zip(at[row == k], np.round(np.expm1(rate[row == k]) * len(chunks) / 50))) == want
+        assert words[k] == len(chunks)
+        one = reader(text)
+        assert (one[0] == at[row == k]).all() and (one[1] == rate[row == k]).all()
+    assert reader.known["hateful,"] is reader.known["hatefully!"]
+    assert [len(b) // 4 for b in reader.packed(texts)[0]] == np.bincount(row, minlength=6).tolist()
+
+
 def test_chain_of_awkward_documents(spark):
     docs = given(spark, DATA, "documents").select("doc_id", "text")
     model = toxicity.train(docs, given(spark, DATA, "labels"))

@@ -54,18 +54,24 @@ class Softmax:
         order = np.argsort(at, kind="stable")
         places, begin = np.unique(at[order], return_index=True)
         by_place, weight = row[order], rate[order]
+        # Written over in every step: fresh arrays of this size cost more than the sums.
+        some, other = np.empty(len(row)), np.empty(len(row))
         for _ in range(STEPS):
             z = np.tile(self.b, (n, 1))
             for d in range(domains if len(row) else 0):
                 plain, scaled = np.ascontiguousarray(self.w[:, :, d])
-                z[docs, d] += np.add.reduceat(plain[at] + scaled[at] * rate, first)
+                np.take(scaled, at, out=other, mode="clip")
+                np.multiply(other, rate, out=other)
+                np.take(plain, at, out=some, mode="clip")
+                z[docs, d] += np.add.reduceat(np.add(some, other, out=some), first)
             z = np.exp(z - z.max(1, keepdims=True))
             g = z / z.sum(1, keepdims=True) - target
             grad = RIDGE * self.w
             for d in range(domains if len(row) else 0):
-                own = np.ascontiguousarray(g[:, d])[by_place]
-                grad[0, places, d] += np.add.reduceat(own, begin) / n
-                grad[1, places, d] += np.add.reduceat(own * weight, begin) / n
+                np.take(np.ascontiguousarray(g[:, d]), by_place, out=some, mode="clip")
+                grad[0, places, d] += np.add.reduceat(some, begin) / n
+                np.multiply(some, weight, out=some)
+                grad[1, places, d] += np.add.reduceat(some, begin) / n
             seen += grad ** 2
             self.w -= 0.3 * grad / np.sqrt(seen)
             seen_b += g.mean(0) ** 2
@@ -75,11 +81,8 @@ class Softmax:
 
     def __call__(self, texts, reader):
         """Posteriors and words of texts."""
-        got = [reader(t) for t in texts]
-        row = np.repeat(np.arange(len(texts)), [len(a) for a, *_ in got])
-        at = np.concatenate([a for a, *_ in got]) if got else np.zeros(0, np.int64)
-        rate = np.concatenate([r for _, r, _ in got]) if got else np.zeros(0)
-        return self.posteriors(row, at, rate, len(texts)), np.array([n for *_, n in got], float)
+        row, at, rate, words = reader.all(texts)
+        return self.posteriors(row, at, rate, len(texts)), words.astype(float)
 
 
 def classifier(docs, labels, domains=DOMAINS):
@@ -91,10 +94,7 @@ def classifier(docs, labels, domains=DOMAINS):
     def read(batches):
         reader = Reader(features)
         for texts, *found in batches:
-            got = [reader(t) for t in texts]
-            yield [np.argmax(np.array(found), axis=0).tolist(),
-                   [a.astype("<i4").tobytes() for a, *_ in got],
-                   [r.astype("<f4").tobytes() for _, r, _ in got]]
+            yield [np.argmax(np.array(found), axis=0).tolist(), *reader.packed(texts)]
 
     # Rows of no domain teach nothing.
     some = " or ".join(f"{y} = 1" for y in ys)

@@ -31,15 +31,24 @@ CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"),
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = range(4, 9)
-_SHORTEST = min(_BEGINNINGS)
+_SHORTEST, _LONGEST = min(_BEGINNINGS), max(_BEGINNINGS)
+
+
+def _words(chunk):
+    """The runs of letters in a chunk; nearly all are the chunk itself, perhaps less its last mark."""
+    if chunk.isalpha():
+        return (chunk,)
+    if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+        return (chunk[:-1],)
+    return _WORDS.findall(chunk)
 
 
 def features_of(chunk):
     """The words of a lower-case chunk and their beginnings."""
     out = []
-    for word in [chunk] if chunk.isalpha() else _WORDS.findall(chunk):
+    for word in _words(chunk):
         out.append(word)
-        out += [word[:k] + "*" for k in _BEGINNINGS[:max(0, len(word) - _SHORTEST)]]
+        out += [word[:k] + "*" for k in range(_SHORTEST, min(len(word), _LONGEST + 1))]
     return out
 
 
@@ -65,14 +74,14 @@ def screen(rows, chain=CHAIN, most=FEATURES):
         seen, known = {}, _Numbers()
         for texts, *labels in batches:
             for text, *y in zip(texts, *labels):
-                own = np.unique(known((text or "").lower().split()))
+                own = known((text or "").lower().split())
                 counts = seen.get(tuple(y))
                 if counts is None or len(counts) < len(known.number):
                     counts = np.zeros(2 * len(known.number), np.int64)
                     old = seen.get(tuple(y), counts[:0])
                     counts[:len(old)] = old
                     seen[tuple(y)] = counts
-                counts[own] += 1
+                counts[own] += 1  # once a document, however often a number stands there
             if len(known.number) > 1_000_000:  # a bounded dictionary; the sums go on in Spark
                 yield from _columns(seen, known)
                 seen, known = {}, _Numbers()
@@ -126,19 +135,32 @@ class _Places(dict):
     """Places of a chunk's chosen features; most chunks have none."""
 
     def __init__(self, features):
-        self.place = {f: k for k, f in enumerate(features)}
-        # Every feature of a word begins as the word does.
-        self.heads = {f.rstrip("*")[:_SHORTEST] for f in features}
+        place = {f: k for k, f in enumerate(features)}
+        self.whole = {f: k for f, k in place.items() if f[-1] != "*"}
+        # Every feature of a word begins as the word does: what begins a chosen one, and its place.
+        self.begun = {f[:k]: place.get(f[:k] + "*") for f in (g.rstrip("*") for g in features)
+                      for k in (len(f) if len(f) < _SHORTEST else _SHORTEST, *_BEGINNINGS)
+                      if k <= len(f)}
+        self.equal = {}
 
     def __missing__(self, chunk):
-        words, own, place = [chunk] if chunk.isalpha() else _WORDS.findall(chunk), (), self.place
-        for word in words:
-            if word[:_SHORTEST] in self.heads:
-                own = tuple({place[f] for f in features_of(chunk) if f in place})
-                break
+        found, begun = [], self.begun
+        for word in _words(chunk):
+            if word[:_SHORTEST] not in begun:
+                continue
+            if word in self.whole:
+                found.append(self.whole[word])
+            for k in range(_SHORTEST, min(len(word), _LONGEST + 1)):
+                start = word[:k]
+                if start not in begun:
+                    break
+                if begun[start] is not None:
+                    found.append(begun[start])
         if len(self) >= CACHED:
             self.clear()
-        self[chunk] = own
+            self.equal.clear()
+        own = tuple(set(found)) if found else ()
+        self[chunk] = own = self.equal.setdefault(own, own)  # few and near in memory
         return own
 
 
@@ -149,11 +171,28 @@ class Reader:
         self.known = _Places(features)
 
     def __call__(self, text):
-        chunks = (text or "").lower().split()
-        found = Counter(chained.from_iterable(map(self.known.__getitem__, chunks)))
-        at = np.fromiter(found, np.int64, len(found))
-        n = np.fromiter(found.values(), np.float64, len(found))
-        return at, np.log1p(50 * n / max(1, len(chunks))), len(chunks)
+        _, at, rate, (words,) = self.all([text])
+        return at, rate, int(words)
+
+    def all(self, texts):
+        """Row, place and rate of every feature of the texts in turn, and the words of each."""
+        found, words, known = [], [], self.known.__getitem__
+        for text in texts:
+            chunks = (text or "").lower().split()
+            found.append(Counter(chained.from_iterable(map(known, chunks))))
+            words.append(len(chunks))
+        sizes, words = np.array([len(f) for f in found], np.int64), np.array(words, np.int64)
+        n = np.fromiter(chained.from_iterable(f.values() for f in found), np.float64, sizes.sum())
+        at = np.fromiter(chained.from_iterable(found), np.int64, sizes.sum())
+        row = np.repeat(np.arange(len(texts)), sizes)
+        return row, at, np.log1p(50 * n / np.maximum(1, words)[row]), words
+
+    def packed(self, texts):
+        """Places and rates of each text as bytes of 32-bit numbers."""
+        row, at, rate, _ = self.all(texts)
+        ends = np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]
+        return [[part.tobytes() for part in np.split(values, ends)]
+                for values in (at.astype("<i4"), rate.astype("<f4"))]
 
 
 class Linear:
@@ -214,10 +253,7 @@ class Chain:
         return self
 
     def predict(self, texts, read):
-        got = [read(t) for t in texts]
-        row = np.repeat(np.arange(len(texts)), [len(a) for a, *_ in got])
-        at = np.concatenate([a for a, *_ in got]) if got else np.zeros(0, np.int64)
-        rate = np.concatenate([r for _, r, _ in got]) if got else np.zeros(0)
+        row, at, rate, _ = read.all(texts)
         dense = np.zeros((len(texts), 0))
         for model in self.models:
             odds = model.odds(row, at, rate, dense, len(texts))
@@ -247,9 +283,7 @@ def train(docs, labels, chain=CHAIN):
     def read(batches):
         reader = Reader(features)
         for texts, folds, *labels in batches:
-            got = [reader(t) for t in texts]
-            yield [folds, *labels, [a.astype("<i4").tobytes() for a, *_ in got],
-                   [r.astype("<f4").tobytes() for _, r, _ in got]]
+            yield [folds, *labels, *reader.packed(texts)]
 
     fields = "fold int, " + ", ".join(f"{y} int" for y in ys) + ", at binary, rate binary"
     got = mapped(rows.select("text", "fold", *ys), fields, read).collect()  # bounded by LABELLED
