@@ -1,5 +1,6 @@
 """Near duplicates, search, shards and the pipeline."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -119,6 +120,30 @@ def test_one_of_each_stays(spark):
     assert kept == set(range(30))
 
 
+def test_dedup_moves_no_text_at_the_end(spark, capsys):
+    """Rows that stay are marked by bits, more than 64 of them and in several partitions."""
+    texts = [f"text {k % 150} has words of its own {k % 150} and no others" for k in range(400)]
+    out = simhash.one_of_each(frame(spark, texts).repartition(5))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(150))
+    out.explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    import glob
+
+    from tremorlake.llm import common
+
+    def files():
+        return set(glob.glob("/tmp/blockmgr-*/*/shuffle_*"))
+
+    before, own = spark.conf.get(common.SHUFFLES_GO), files()
+    counts = spark.range(5000).groupBy(F.expr("id % 997 as k")).agg(F.count("*").alias("n"))
+    assert common.stored(counts, "counts").count() == 997
+    assert not [f for f in files() - own if f.endswith(".data") and os.path.getsize(f) > 2000]
+    assert spark.conf.get(common.SHUFFLES_GO) == before
+
+
 def test_dedup_of_awkward_documents(spark):
     out = simhash.one_of_each(cases(spark))
     assert out.columns == cases(spark).columns

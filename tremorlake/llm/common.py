@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import settle, workspace
 
 BATCH_ROWS = 256  # rows handled at once: texts may be long
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _ready = set()
@@ -43,10 +44,19 @@ def table(spark, sf_dir, name):
 
 
 def stored(df, name):
-    """Written below the shared folder and read back: cuts the lineage, survives lost executors."""
+    """Written below the shared folder and read back: cuts the lineage, survives lost executors.
+
+    What the write shuffled is of no use once it has ended, so Spark removes it then rather than
+    when the driver happens to collect its garbage. The session's own setting comes back.
+    """
     spark = df.sparkSession
     path = workspace(spark, f"llm-{name}")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -287,9 +287,9 @@ def _common(docs, words):
         for (texts,) in batches:
             yield [np.concatenate([shingles(t, words) for t in texts]).view(np.int64)]
 
-    rows = mapped(docs.sample(share, SEED).select("text"), "hash bigint", run) \
-        .groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {SEEN}") \
-        .orderBy(F.desc("n"), "hash").limit(COMMON).collect()
+    counted = mapped(docs.sample(share, SEED).select("text"), "hash bigint", run) \
+        .groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {SEEN}")
+    rows = stored(counted, "common").orderBy(F.desc("n"), "hash").limit(COMMON).collect()
     return np.array([r.hash for r in rows][::-1], np.int64).view(np.uint64)
 
 
@@ -488,4 +488,9 @@ def one_of_each(docs, words=WIDE_WORDS, similarity=SIMILARITY):
     classes = distinct.select("node", "least").join(linked, "node", "left")
     kept = classes.groupBy(F.coalesce("root", "node").alias("class")).agg(
         F.min("least").alias("least")).select(F.col("least.row").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    # A bit for each row that stays, 64 to a word: so few bytes that the texts can stay in place.
+    block, word = fresh(numbered, "block", "word")
+    bit, of = F.expr(f"shiftleft(1L, cast(`{row}` % 64 as int))"), F.expr(f"`{row}` div 64")
+    words = stored(kept.groupBy(of.alias(block)).agg(F.bit_or(bit).alias(word)), "kept")
+    return numbered.withColumn(block, of).join(words, block) \
+        .where(F.col(word).bitwiseAND(bit) != 0).select(*docs.columns)
