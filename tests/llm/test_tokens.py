@@ -61,6 +61,41 @@ def test_new_words_are_one_call(name, end, monkeypatch):
     assert max(asked) <= len(texts)
 
 
+@pytest.mark.parametrize("name,end", VOCABULARIES)
+def test_first_words_of_lines_are_in_that_call(name, end, monkeypatch):
+    """Nor does the library get a new first word of a line, or a known word with marks, alone."""
+    made = Encoder(name, end)
+    texts = ["".join(f"{a}{b}{c}" + (",\n" if b in "adg" else " ") for b in "abcdefg"
+                     for c in "xyz") + "end" for a in ("ba", "ré", "Zu")]
+    asked = []
+
+    def ids(texts):
+        asked.append(len(texts))
+        return Encoder._ids(made, texts)
+
+    monkeypatch.setattr(made, "_ids", ids)
+    want = [x.tobytes() for x in plain(name, end, texts)]
+    assert made.encode(texts) == want
+    assert max(asked) <= len(texts)
+    monkeypatch.setattr(made, "_words", lambda words: pytest.fail(f"asked again: {words}"))
+    again = ["baax baby,\nbabx, rébz Zuby!"]
+    assert made.encode(again) == [x.tobytes() for x in plain(name, end, again)]
+
+
+@pytest.mark.parametrize("name,end", VOCABULARIES)
+def test_full_caches_change_no_id(name, end, monkeypatch):
+    from tremorlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED", 40)
+    monkeypatch.setattr(tokens, "CACHED_LENGTH", 4)
+    made = Encoder(name, end)
+    for k in range(12):
+        texts = [" ".join(f"{'abc'[j % 3]}{chr(97 + j * k % 26)}{'é' * (j % 2)}," * (j % 5 > 0)
+                          + f"longer{j}\nthe" for j in range(4 * k)), "the Straße", "", None]
+        assert made.encode(texts) == [x.tobytes() for x in plain(name, end, texts)]
+        assert len(made.known) <= 40 + 8 * 48
+
+
 @pytest.mark.parametrize("name,end", VOCABULARIES)
 def test_known_words_are_not_asked_again(name, end, monkeypatch):
     """Nor are first words; new words behind a space are those of the library's whole encoding."""
