@@ -134,6 +134,46 @@ def test_mix_meets_its_targets(spark):
     assert np.allclose(p.T @ (n * rate) / n.sum(), wanted, rtol=0.02)
 
 
+def test_rates_are_the_optimum(spark):
+    """A rate follows from how far the domains miss their targets, and that from the rates."""
+    rows = mixing.op4_mixing(spark, DATA).collect()
+    wanted = np.array([w for *_, w in mixing.DOMAINS])
+    p = np.array([[r[f"p_{name}"] for name, *_ in mixing.DOMAINS] for r in rows])
+    n, rate = np.array([r.tokens for r in rows]), np.array([r.rate for r in rows])
+    missed = p.T @ (n * rate) / n.sum() / wanted - 1
+    assert np.allclose(rate, np.maximum(0, 1 - p @ missed / mixing.NEAR_ONE), atol=1e-3)
+
+
+def test_optimum_with_documents_left_out(spark, monkeypatch):
+    """Targets that leave many documents out: still the optimum, after a few rounds."""
+    made = np.random.default_rng(5)
+    n, p = made.integers(1, 900, 3000).astype(float), made.dirichlet([0.2, 0.3, 0.1], 3000)
+    blocks = spark.createDataFrame(
+        [(n[k::7].tobytes(), p[k::7].tobytes()) for k in range(7)],
+        "tokens binary, posteriors binary")
+    rounds, tried = [], mixing._tried
+    monkeypatch.setattr(mixing, "_tried", lambda *a: rounds.append(1) or tried(*a))
+    wanted = np.array([0.02, 0.08, 0.9])
+    pull, met = mixing.fit_rates(blocks, wanted)
+    rate = mixing.rates(p, pull)
+    assert (rate == 0).mean() > 0.2 and len(rounds) < 20
+    assert np.allclose(p.T @ (n * rate) / n.sum(), met)
+    assert np.allclose(met / wanted - 1, pull, atol=1e-6)
+
+
+def test_full_caches_keep_their_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED", 4)
+    features = ["hate*", "mean", "words"]
+    reader, text = toxicity.Reader(features), "mean, hateful words of some, other-hated mean words"
+    want = [x.tolist() for x in toxicity.Reader(features).all([text, "mean"])[:3]]
+    reader("mean hateful words of")
+    for _ in range(3):
+        assert [x.tolist() for x in reader.all([text, "mean"])[:3]] == want
+    assert set(reader.known) == {"mean", "hateful", "words", "of"}
+    assert toxicity.reader(features) is toxicity.reader(list(features))
+    assert toxicity.reader(["mean"]).known.whole == {"mean": 0}
+
+
 def test_mix_of_awkward_documents(spark):
     domains = (("good", "quality = 1", 0.9), ("poor", "quality = 0", 0.1))
     out = mixing.mixed(cases(spark), no_labels(spark), domains)

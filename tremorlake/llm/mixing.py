@@ -1,11 +1,12 @@
 """Mixing sources to target weights (4): soft memberships and fitted document rates.
 
 A softmax classifier trained on the labelled table gives each document posteriors over the domains.
-Nonnegative rates r, one per document, are fitted by accelerated projected gradient so that the
-expected tokens of each domain, sum of r * tokens * posterior, meet the targets in least squares
-(each domain's error weighed by its target), staying near 1 otherwise. In the metric of the tokens a document's step depends on its posteriors
-and one vector per round only, so each round is one aggregate of as many numbers as domains, and a
-document's rate follows from its posteriors and the rounds' vectors: no state is kept anywhere.
+Nonnegative rates r, one per document, are fitted so that the expected tokens of each domain, sum of
+r * tokens * posterior, meet the targets in least squares (each domain's error weighed by its
+target), staying near 1 otherwise. At the optimum a document's rate follows from its posteriors and
+one number per domain, the part by which the domain misses its target. These few numbers minimize a
+convex function, the dual, and are found by Newton's method: a round is one aggregate over the
+documents, for several lengths of the step at once, until the optimum is reached.
 
 Tokens are words (runs of non-space). Null or empty text has none: its rate follows from the base
 posteriors and moves no total. Without labels every document belongs to all domains alike and every
@@ -16,14 +17,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .common import appended, fresh, mapped, stored, table
-from .toxicity import Reader, labelled, screen
+from .toxicity import labelled, reader, screen
 
 # Domain: condition on the labels, share of the tokens wanted.
 DOMAINS = (("good", "quality = 1 and toxic = 0", 0.85),
            ("low_quality", "quality = 0 and toxic = 0", 0.10),
            ("toxic", "quality = 1 and toxic = 1", 0.04),
            ("toxic_low_quality", "quality = 0 and toxic = 1", 0.01))
-ROUNDS, TOLERANCE, NEAR_ONE = 60, 1e-3, 1e-3
+SETTLED, NEAR_ONE = 1e-7, 1e-3
+LENGTHS = tuple(0.5 ** k for k in range(8))  # of a Newton step, tried at once
 STEPS, RIDGE = 150, 1e-4
 BLOCK = 16_384  # documents in a stored block
 
@@ -79,9 +81,9 @@ class Softmax:
         self.fitted = True
         return self
 
-    def __call__(self, texts, reader):
+    def __call__(self, texts):
         """Posteriors and words of texts."""
-        row, at, rate, words = reader.all(texts)
+        row, at, rate, words = reader(self.features).all(texts)
         return self.posteriors(row, at, rate, len(texts)), words.astype(float)
 
 
@@ -92,9 +94,8 @@ def classifier(docs, labels, domains=DOMAINS):
     features, ys = screen(rows, chain), [f"y{k}" for k in range(len(chain))]
 
     def read(batches):
-        reader = Reader(features)
         for texts, *found in batches:
-            yield [np.argmax(np.array(found), axis=0).tolist(), *reader.packed(texts)]
+            yield [np.argmax(np.array(found), axis=0).tolist(), *reader(features).packed(texts)]
 
     # Rows of no domain teach nothing.
     some = " or ".join(f"{y} = 1" for y in ys)
@@ -117,7 +118,6 @@ def memberships(docs, model):
 
     def run(batches):
         own, held = shared.value, []
-        reader = Reader(own.features)
 
         def block():
             ids, n, p = zip(*held)
@@ -125,7 +125,7 @@ def memberships(docs, model):
                     [np.concatenate(p).tobytes()]]
 
         for ids, texts in batches:
-            found, n = own(texts, reader)
+            found, n = own(texts)
             held.append((ids, n, found))
             if sum(len(h[0]) for h in held) >= BLOCK:
                 yield block()
@@ -142,15 +142,9 @@ def _unpacked(tokens, posteriors, domains):
             np.frombuffer(posteriors, np.float64).reshape(-1, domains))
 
 
-def rates(posteriors, pulls, step):
-    """Rates after the rounds whose gradient vectors are ``pulls``, and the point looked ahead to."""
-    now = ahead = np.ones(len(posteriors))
-    t = 1.0
-    for pull in pulls:
-        new = np.maximum(0, ahead - step * (posteriors @ pull + NEAR_ONE * (ahead - 1)))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, now, t = new + (t - 1) / t_new * (new - now), new, t_new
-    return now, ahead
+def rates(posteriors, pull):
+    """Rates of documents where the domains miss their targets by the parts ``pull``."""
+    return np.maximum(0, 1 - posteriors @ pull / NEAR_ONE)
 
 
 def _summed(blocks, width, function):
@@ -170,47 +164,68 @@ def _summed(blocks, width, function):
     return out
 
 
-def fit_rates(blocks, wanted, budget=None, rounds=ROUNDS, tolerance=TOLERANCE):
-    """(pulls, step, shares met): the vectors that make every document's rate.
+def _tried(blocks, pulls):
+    """For each vector: the squares of the rates, the tokens and the products of the tokens of
+    documents that stay, summed over documents."""
+    domains = len(pulls[0])
+
+    def each(n, p):
+        n, p = _unpacked(n, p, domains)
+        out = []
+        for pull in pulls:
+            r = rates(p, pull)
+            kept = p * np.where(r > 0, n, 0)[:, None]
+            out += [[n @ (r * r)], kept.T @ r, (p.T @ kept).ravel()]
+        return np.concatenate(out)
+
+    sums = _summed(blocks, len(pulls) * (1 + domains + domains * domains), each)
+    return [(own[0], own[1:domains + 1], own[domains + 1:].reshape(domains, domains))
+            for own in np.split(sums, len(pulls))]
+
+
+def fit_rates(blocks, wanted, budget=None):
+    """(pull, shares met): the vector that makes every document's rate.
 
     ``wanted``: share of the tokens per domain; ``budget``: tokens in all, those of the input by
-    default. Stops when every domain is within ``tolerance`` of its share, as a part of it.
+    default.
     """
-    domains, wanted = len(wanted), np.asarray(wanted, float)
-
-    def gram(n, p):
-        n, p = _unpacked(n, p, domains)
-        return np.append((p.T @ (p * n[:, None])).ravel(), n.sum())
-
-    *second, total = _summed(blocks, domains * domains + 1, gram)
-    pulls, met = [], np.zeros(domains)
-    if not total:
-        return pulls, 0.0, met
-    budget = budget or total
-    scale = np.sqrt(wanted)
-    bend = np.array(second).reshape(domains, domains) / budget / np.outer(scale, scale)
-    step = 1 / (np.linalg.eigvalsh(bend)[-1] + NEAR_ONE)
-    for _ in range(rounds):
-        def expected(n, p, pulls=list(pulls)):
-            n, p = _unpacked(n, p, domains)
-            now, ahead = rates(p, pulls, step)
-            return np.concatenate([p.T @ (n * now), p.T @ (n * ahead)])
-
-        both = _summed(blocks, 2 * domains, expected) / budget
-        met = both[:domains]
-        if pulls and np.abs(met / wanted - 1).max() <= tolerance:
-            break
-        pulls.append((both[domains:] - wanted) / wanted)
-    return pulls, step, met
-
-
-def fitted(blocks, domains, pulls, step):
+    wanted = np.asarray(wanted, float)
+    pull = np.zeros(len(wanted))
+    (now,) = _tried(blocks, [pull])
+    budget = budget or now[1].sum()
+    if not now[1].sum():
+        return pull, pull
+
+    def state(pull, sums):
+        """The dual and, as parts of the targets, its slope."""
+        squares, met, _ = sums
+        return ((wanted * pull * (pull / 2 + 1)).sum() + NEAR_ONE / 2 * squares / budget,
+                wanted * (1 + pull) - met / budget)
+
+    height, slope = state(pull, now)
+    short = 1.0
+    while np.abs(slope / wanted).max() > SETTLED and short > 1e-12:
+        move = short * np.linalg.solve(np.diag(wanted) + now[2] / budget / NEAR_ONE, -slope)
+        points = [pull + length * move for length in LENGTHS]
+        found = [(*state(p, sums), p, sums)
+                 for p, sums in zip(points, _tried(blocks, points))]
+        best = min(found, key=lambda f: f[0])
+        # At the end the dual is flat to the last digit and the slope decides.
+        if best[0] < height or np.abs(best[1]).max() < np.abs(slope).max():
+            height, slope, pull, now = best
+            short = 1.0
+        else:
+            short *= LENGTHS[-1] / 2
+    return pull, now[1] / budget
+
+
+def fitted(blocks, domains, pull):
     """doc_id, tokens, posteriors and rate of every document."""
     def run(batches):
         for ids, tokens, posteriors in batches:
             for own, n, p in zip(ids, tokens, posteriors):
                 n, p = _unpacked(n, p, domains)
-                yield [own, n.astype(np.int64), p.tolist(), rates(p, pulls, step)[0]]
+                yield [own, n.astype(np.int64), p.tolist(), rates(p, pull)]
 
     return mapped(blocks, "doc_id bigint, tokens bigint, posteriors array<double>, rate double",
                   run)
@@ -222,13 +237,12 @@ def mixed(docs, labels, domains, budget=None):
     model = classifier(docs, labels, domains)
     if not model.fitted:
         return docs
-    pulls, step, _ = fit_rates(memberships(docs, model), [w for *_, w in domains], budget)
+    pull, _ = fit_rates(memberships(docs, model), [w for *_, w in domains], budget)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute():
         own = shared.value
-        reader = Reader(own.features)
-        return lambda texts: [rates(own(texts, reader)[0], pulls, step)[0]]
+        return lambda texts: [rates(own(texts)[0], pull)]
 
     (rate, copies) = fresh(docs, "rate", "copies")
     out = appended(docs, ["text"], f"`{rate}` double", compute)
@@ -243,9 +257,9 @@ def op4_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier(docs, table(spark, sf_dir, "labels"))
     blocks = memberships(docs, model)
-    pulls, step = [], 0.0
+    pull = np.zeros(len(DOMAINS))
     if model.fitted:
-        pulls, step, _ = fit_rates(blocks, [w for *_, w in DOMAINS])
-    return fitted(blocks, len(DOMAINS), pulls, step).select(
+        pull, _ = fit_rates(blocks, [w for *_, w in DOMAINS])
+    return fitted(blocks, len(DOMAINS), pull).select(
         "doc_id", "tokens", *[F.col("posteriors")[k].alias(f"p_{name}")
                               for k, (name, *_) in enumerate(DOMAINS)], "rate")

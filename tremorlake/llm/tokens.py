@@ -188,6 +188,9 @@ class Encoder:
         gc.disable()  # many small objects and no cycles: collecting would only cost time
         try:
             return self._encoded(texts)
+        except BaseException:
+            self._forget()  # some chunks may have numbers but no ids
+            raise
         finally:
             gc.enable()
 
