@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tremorlake.llm import language, mixing, packing, simhash, toxicity
 from tremorlake.llm.common import ready, stored, table
 
+# Words that a worker's encoder knows: the executor still holds the memory of the stages before.
+KNOWN_WORDS = 200_000
 # What the mix is to hold of well written and of poor documents: shares of the tokens.
 MIX = (("good", "quality = 1", 0.88), ("low_quality", "quality = 0", 0.12))
 
@@ -47,7 +49,7 @@ def mix(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Pieces of all documents and their places in sequences."""
     ready(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cached=KNOWN_WORDS)
 
 
 STAGES = [

@@ -1,8 +1,11 @@
 """Encoding, counting, packing and the coded files against plain versions."""
 
+import gc
+import weakref
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from hypothesis import given as draw
 from hypothesis import settings
 from hypothesis import strategies as st
 
-from tremorlake.llm import binary, counting, packing, rans
+from tremorlake.llm import binary, common, counting, packing, rans, tokens, toxicity
 from tremorlake.llm.tokens import Encoder
 from tremorlake.session import workspace
 
@@ -96,6 +99,40 @@ def test_full_caches_change_no_id(name, end, monkeypatch):
         assert len(made.known) <= 40 + 8 * 48
 
 
+def test_a_worker_keeps_one_operator_s_caches():
+    """Else those of the stages before stay in memory through the stages after them."""
+    made = tokens.encoder(*VOCABULARIES[0])
+    assert tokens.encoder(*VOCABULARIES[0]) is made
+    gone = [weakref.ref(made)]
+    del made
+    gone.append(weakref.ref(toxicity.reader(["mean"])))
+    gc.collect()
+    assert gone[0]() is None and gone[1]() is toxicity.reader(["mean"])
+    tokens.encoder(*VOCABULARIES[1])
+    gc.collect()
+    assert gone[1]() is None
+
+
+def test_a_task_s_end_returns_what_arrow_holds(monkeypatch):
+    told = []
+    pool = SimpleNamespace(release_unused=lambda: told.append("released"))
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    run = common.returning(lambda batches: (told.append(b) or b * 2 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and told == [1, 2, "released"]
+
+
+def test_fewer_known_words_pack_alike(spark):
+    docs = cases(spark)
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    few, many = (Counter(packing.pieces(docs, **own).select(*keys).collect())
+                 for own in ({"cached": 3}, {}))
+    assert few == many and few
+    made = Encoder(*VOCABULARIES[1], cached=3)
+    made.encode(["one two three four five six seven"])
+    made.encode(["other words than those before, and more of them"])
+    assert len(made.known) <= 12
+
+
 @pytest.mark.parametrize("name,end", VOCABULARIES)
 def test_known_words_are_not_asked_again(name, end, monkeypatch):
     """Nor are first words; new words behind a space are those of the library's whole encoding."""

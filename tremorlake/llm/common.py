@@ -71,6 +71,18 @@ def fresh(df, *names):
     return out
 
 
+_kept = {}
+
+
+def kept(key, make):
+    """What a worker of Python keeps from task to task, made once. Only what was asked for last:
+    workers live through one operator after the other, and what each of them keeps adds up."""
+    if key not in _kept:
+        _kept.clear()  # first, so that the new one finds its room free
+        _kept[key] = make()
+    return _kept[key]
+
+
 def slices(batches):
     """Arrow batches of at most ``BATCH_ROWS`` rows; Spark bounds the bytes of those it sends."""
     for batch in batches:
@@ -78,6 +90,16 @@ def slices(batches):
             yield batch.slice(at, BATCH_ROWS)
 
 
+def returning(run):
+    """``run``, which makes a task's batches; at its end, what Arrow holds without use goes back to
+    the system. A worker would keep the most that it ever took through all later tasks."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def appended(df, reads, fields, function):
     """``df`` with more columns, computed in batches from the columns ``reads``.
 
@@ -101,7 +123,7 @@ def appended(df, reads, fields, function):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *columns], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def mapped(df, fields, function):
@@ -119,7 +141,7 @@ def mapped(df, fields, function):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k.type) for v, k in zip(made, kinds)], names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def part_number():

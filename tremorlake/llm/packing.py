@@ -39,14 +39,14 @@ class Plan(NamedTuple):
     best_fit: int  # sequences that best fit placed
 
 
-def pieces(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY):
+def pieces(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY, cached=None):
     """One row per piece: doc_id, piece, start, length, ids_crc32, and its place among the equal
-    lengths of its task (``part``, ``nth``)."""
+    lengths of its task (``part``, ``nth``). ``cached``: chunks that a worker's encoder knows."""
     def cut(batches):
         nth, part = defaultdict(int), part_number()
         for ids, texts in batches:
             rows = []
-            for doc, data in zip(ids, encoder(tokenizer, end_id).encode(texts)):
+            for doc, data in zip(ids, encoder(tokenizer, end_id, cached).encode(texts)):
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at:at + 4 * capacity]
                     n = len(own) // 4
@@ -281,9 +281,9 @@ def place(cut, plan):
         "sequence_id bigint, offset bigint", assign)
 
 
-def pack(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY):
+def pack(docs, tokenizer=TOKENIZER, end_id=END_ID, capacity=CAPACITY, cached=None):
     """All documents in sequences of at most ``capacity`` tokens; one row per piece."""
-    cut = stored(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = stored(pieces(docs, tokenizer, end_id, capacity, cached), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
     return place(cut, plan_sequences(histogram, capacity).sequences)
 

@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import public_tokenizers
 
+from .common import kept
+
 CACHED = 600_000  # chunks that a worker knows
 CACHED_IDS = 6_000_000  # ids that a worker keeps of them
 CACHED_LENGTH = 32  # characters of the longest cached chunk
@@ -76,10 +78,10 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, each text followed by ``end_id``.
 
     ``name``: a file of the public tokenizers, or a path. Null counts as empty; the strings of
-    special tokens in a text are ordinary text.
+    special tokens in a text are ordinary text. ``cached``: chunks to be known, ``CACHED`` by default.
     """
 
-    def __init__(self, name, end_id):
+    def __init__(self, name, end_id, cached=None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,6 +91,7 @@ class Encoder:
         self.lead = " " if self._ids([" b"]) != self._ids(["b"]) else ""
         self.end = array("I", [end_id]).tobytes()
         self.end_id = end_id
+        self.cached = cached or CACHED
         # Which ids begin a word behind a space, or else end a word.
         vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.marks = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -173,7 +176,7 @@ class Encoder:
         """The new chunks stay known, the long ones excepted; all are forgotten again where there
         is no room. ``used``: ids before them."""
         known = self.known
-        full = len(known) - len(known.new) >= CACHED or used >= CACHED_IDS
+        full = len(known) - len(known.new) >= self.cached or used >= CACHED_IDS
         for chunk in known.new:
             if full or len(chunk) > CACHED_LENGTH:
                 del known[chunk]
@@ -209,7 +212,7 @@ class Encoder:
             ends.append(len(numbers))
         numbers = np.frombuffer(numbers, np.int64)
         if known.new:
-            many = len(known.new) * 4 > len(numbers) and len(known) > CACHED * 3 // 4
+            many = len(known.new) * 4 > len(numbers) and len(known) > self.cached * 3 // 4
             self._learn()
         ids, last = self.pool.gathered(numbers)
         ends = last[np.array(ends, np.int64) - 1].tolist()
@@ -228,14 +231,9 @@ def _together(found):
         np.array([len(x) // 4 for x in found], np.int64)
 
 
-_encoders = {}
-
-
-def encoder(name, end_id):
-    """The worker's encoder, made once."""
-    if (name, end_id) not in _encoders:
-        _encoders[name, end_id] = Encoder(name, end_id)
-    return _encoders[name, end_id]
+def encoder(name, end_id, cached=None):
+    """The worker's encoder."""
+    return kept(("encoder", name, end_id, cached), lambda: Encoder(name, end_id, cached))
 
 
 def crc(data):

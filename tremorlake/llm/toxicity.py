@@ -20,7 +20,7 @@ from itertools import chain as chained
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import appended, fresh, mapped, stored, table
+from .common import appended, fresh, kept, mapped, stored, table
 
 LABELLED, FEATURES = 40_000, 512
 FOLDS, STEPS, RIDGE = 3, 120, 1e-3
@@ -209,14 +209,9 @@ class Reader:
                 for values in (at.astype("<i4"), rate.astype("<f4"))]
 
 
-_readers = {}
-
-
 def reader(features):
-    """The worker's reader of these features, kept until others are asked for."""
-    if _readers.get("features") != features:
-        _readers.update(features=features, reader=Reader(features))
-    return _readers["reader"]
+    """The worker's reader of these features."""
+    return kept(("reader", *features), lambda: Reader(features))
 
 
 class Linear:
