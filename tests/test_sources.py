@@ -53,6 +53,36 @@ def test_documents_are_bounded(spark, tmp_path):
     assert one.batch_count == 1050
 
 
+def test_documents_keep_every_field(spark, tmp_path):
+    """Null and empty structs, odd numbers and texts are in the documents as they came; a feature
+    goes to Python as four packed columns, dealt by its id."""
+    many = dict(felt=2**31 - 1, tsunami=-2**31, updated=-2**63, sig=0, nst=7, alert="", status="s",
+                net="us", magType="m", type="t", title="T\n\"", cdi=0.1, mmi=1 / 3, dmin=5e-324, gap=-0.0)
+    empty = tuple([None] * len(schemas.PROPERTIES))
+    rows = feature_frame(spark, [
+        feature("a", mag=1e300, time=2**63 - 1, place="ü \U0001f30b", **many), feature(None), feature("", mag=None),
+        feature("n", mag=float("nan"), rms=float("inf")), feature("g", point=None),
+        ("p", None, ("Point", [1.0, None, -2.5])), ("q", empty, (None, None)), ("r", None, ("", [])),
+    ])
+    for most in (3, 10_000):
+        made = writers.bundle(rows, most)
+        back = made.select(F.explode("features").alias("f")).select("f.*")
+        assert back.schema == rows.schema
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    text = plan(writers.bundle(rows))
+    assert "hashpartitioning(id" in text and "RoundRobin" not in text
+    assert "MapInArrow documents(texts#" in text
+
+
+def test_ids_are_those_of_the_format(spark):
+    from tremorlake.sources import events_view
+
+    ids = spark.sql("SELECT * FROM VALUES (0L), (7L), (99999999L), (100000000L), (-1L), (null), "
+                    "(9223372036854775807L), (-9223372036854775808L) AS t(event_id)")
+    both = ids.selectExpr(f"{events_view._ID} AS a", "format_string('q%08d', event_id) AS b")
+    assert both.filter("NOT a <=> b").isEmpty()
+
+
 def test_landing_evaluates_its_input_once(spark, tmp_path):
     """Ids that differ on every evaluation: the counts are those of the rows written."""
     rows = spark.range(3000).where(F.rand() < 0.5).select(

@@ -129,6 +129,49 @@ def test_copies_are_combined_before_the_state(spark, features):
     assert flatten(combined).first().event_id == "hot"
 
 
+def test_activity_moves_what_it_needs(spark, polled, tmp_path, monkeypatch):
+    """Only id, magnitude and time of a feature go through Python, the shuffle and the state."""
+    moved, keep = [], ingest._one_per_batch
+
+    def seen_columns(rows):
+        moved.append([(f.name, getattr(f.dataType, "names", None)) for f in rows.schema])
+        return keep(rows)
+
+    monkeypatch.setattr(ingest, "_one_per_batch", seen_columns)
+    out = str(tmp_path / "out")
+    ingest.run(ingest.stream_activity(_stream(spark, polled), out, str(tmp_path / "cp")))
+    assert moved == [[("id", None), ("properties", ["mag", "time"])]]
+    assert ingest.current_activity(spark, out).count() > 0
+
+
+def test_narrow_documents_have_the_same_rows(spark, tmp_path):
+    """Whatever is wrong with a feature, asking for two properties gives the rows of asking for all."""
+    whole = '{"id":"%s","properties":{"mag":1,"time":5%s}%s}'
+    odd = [
+        whole % ("a", ',"felt":"x"', ""), whole % ("b", ',"felt":99999999999', ""),
+        whole % ("c", "", ',"geometry":"no"'), whole % ("d", ',"place":{"a":1}', ',"geometry":[1]'),
+        whole % ("e", "", ',"geometry":{"type":1,"coordinates":["a",2]}'),
+        whole % ("f", ',"rms":1e999,"title":NaN', ""), '{"id":"g","properties":"text"}', '{"id":"h"}',
+        '{"id":"i","properties":{"mag":"bad","time":5}}', '{"properties":{"mag":"NaN","time":5}}',
+        '{"id":7,"properties":{"mag":1,"time":1.5}}', "null", '"text"', whole % ("j", ',"rms":01', ""),
+    ]
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    for k, one in enumerate(odd):
+        (folder / f"{k}.json").write_text(
+            f'{{"features":[{whole % (f"x{k}", "", "")},{one},{whole % (f"y{k}", "", "")}]}}')
+    (folder / "cut.json").write_text('{"features":[{"id":"cut","properties":{"mag":1,"time":1}},')
+    got = []
+    for n, properties in enumerate((None, ("mag", "time"))):
+        rows = ingest.stream_features(spark, str(folder), properties=properties)
+        rows = rows.select("id", F.col("properties").isNull().alias("none"), "properties.mag", "properties.time")
+        ingest.run(rows.writeStream.format("parquet").trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / f"cp{n}")).start(str(tmp_path / f"out{n}")))
+        read = spark.read.schema(rows.schema).parquet(str(tmp_path / f"out{n}"))
+        got.append(sorted(repr(tuple(r)) for r in read.collect()))
+    assert got[0] == got[1] and len(got[0]) > 30
+
+
 def test_late_events_have_a_route(spark, sf_dir):
     """Out of time order, one file a batch: some events come after the horizon and are counted."""
     from tremorlake.catalog.streaming import _in_weeks

@@ -34,17 +34,24 @@ def _week():
     return F.floor((F.dayofmonth(F.timestamp_millis("properties.time")) - 1) / 8)
 
 
-def _in_polls(spark, sf_dir, start, path=None):
-    """Run the stream that ``start`` makes of the feed after each delivery, in time order."""
+def _in_polls(spark, sf_dir, start, path=None, properties=None):
+    """Run the stream that ``start`` makes of the feed after each delivery, in time order.
+
+    ``properties``: what the stream needs of them, see ``ingest.stream_features``."""
+    def run():
+        ingest.run(start(ingest.stream_features(spark, path, properties=properties)))
+
     if path:
-        ingest.run(start(ingest.stream_features(spark, path)))
+        run()
         return
     path, rows = workspace(spark, "feed"), features(spark, sf_dir)
-    again = set_property(rows, updated=F.col("properties.updated") + 3_600_000)
     for k in range(WEEKS):
-        both = rows.filter(_week() == k).unionByName(again.filter(_week() == k - 1))
+        # One scan brings both weeks.
+        later = F.when(_week() == k, 0).otherwise(3_600_000)
+        both = set_property(rows.filter(_week().isin(k - 1, k)),
+                            updated=F.col("properties.updated") + later)
         writers.land_features(both, path, f"2024-02-01 0{k}:00:00")
-        ingest.run(start(ingest.stream_features(spark, path)))
+        run()
 
 
 def _folders(spark, name):
@@ -198,7 +205,8 @@ SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour_win
 FROM quakes GROUP BY 1"""))
 def activity(spark, sf_dir, path=None):
     out, checkpoint = _folders(spark, "g4")
-    _in_polls(spark, sf_dir, lambda feed: ingest.stream_activity(feed, out, checkpoint), path)
+    _in_polls(spark, sf_dir, lambda feed: ingest.stream_activity(feed, out, checkpoint), path,
+              ingest.ACTIVITY_PROPERTIES)
     rows = terajoules(ingest.current_activity(spark, out), "total_energy_joules", "total_energy_tj")
     return as_text(rounded(rows, avg_magnitude=9), "hour_window")
 

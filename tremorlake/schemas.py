@@ -33,6 +33,12 @@ _FEATURE_SPEC = "id string, properties p, geometry g"
 FEATURE = table(_FEATURE_SPEC, p=PROPERTIES, g=GEOMETRY)
 FEATURE_LINES = table(f"{_FEATURE_SPEC}, {CORRUPT} string", p=PROPERTIES, g=GEOMETRY)
 
+
+def feature_of(properties):
+    """A feature with its id and the named properties only."""
+    return table("id string, properties p", p=T.StructType([PROPERTIES[n] for n in properties]))
+
+
 # One schema reads both a polled feed document and a landed batch document:
 # a field the document does not carry is null.
 COLLECTION = table(

@@ -6,10 +6,11 @@ adaptive execution, so one busy day is never one task's work.
 """
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions.clock import to_millis
-from ..schemas import BUNDLE, FEATURE, LANDING_KEYS
+from ..schemas import BUNDLE, FEATURE, GEOMETRY, LANDING_KEYS, PROPERTIES
 from .readers import read_landed
 
 ORC_BLOOM = "region,alert_level,tsunami_flag"  # fixed value
@@ -30,6 +31,51 @@ def with_landing_keys(df, instant):
 
 DOCUMENT_FEATURES = 10_000  # of a landed document, at most
 
+# A feature goes to Python as four arrays: Spark measures each Arrow vector of a batch after every
+# row, and a feature as it is has 26. Packed type and Arrow type by the type of a property.
+_PACKS = {"string": ("texts", pa.string()), "double": ("numbers", pa.float64()),
+          "bigint": ("whole", pa.int64()), "int": ("whole", pa.int32())}
+_KINDS = {f.name: _PACKS[f.dataType.simpleString()] for f in PROPERTIES}
+
+
+def _packed(features):
+    """Features as arrays of their texts, numbers, whole numbers and coordinates."""
+    packs = {"texts": [F.col("id"), F.col("geometry.type")], "numbers": [],
+             "whole": [F.isnotnull(c).cast("bigint") for c in ("properties", "geometry")]}
+    for name, (pack, _) in _KINDS.items():
+        value = F.col(f"properties.{name}")
+        packs[pack].append(value.cast("bigint") if pack == "whole" else value)
+    return features.select(
+        *[F.array(*values).alias(pack) for pack, values in packs.items()],
+        F.col("geometry.coordinates").alias("coordinates"))
+
+
+def _unpacking():
+    """The function that makes features of a batch of ``_packed`` rows, as one Arrow array.
+
+    It is sent to the tasks whole: executors need not have this package.
+    """
+    kinds, names, places = _KINDS, FEATURE.fieldNames(), GEOMETRY.fieldNames()
+
+    def unpacked(batch):
+        at = {"texts": 0, "numbers": 0, "whole": 0}
+
+        def following(pack, kind):
+            values = pc.list_element(batch.column(pack), at[pack])
+            at[pack] += 1
+            return values.cast(kind)
+
+        id, shape = (following("texts", pa.string()) for _ in range(2))
+        no_properties, no_geometry = (
+            pc.equal(following("whole", pa.int64()), 0) for _ in range(2))
+        properties = pa.StructArray.from_arrays(
+            [following(*kind) for kind in kinds.values()], list(kinds), mask=no_properties)
+        geometry = pa.StructArray.from_arrays(
+            [shape, batch.column("coordinates")], places, mask=no_geometry)
+        return pa.StructArray.from_arrays([id, properties, geometry], names)
+
+    return unpacked
+
 
 def bundle(features, most=DOCUMENT_FEATURES):
     """Group features into documents of at most ``most``.
@@ -37,6 +83,8 @@ def bundle(features, most=DOCUMENT_FEATURES):
     A task's features fill one document after another; small tasks are merged first, so an
     ingestion that fits one document becomes one. No group of features is ever collected.
     """
+    unpacked = _unpacking()
+
     def document(rows):
         whole = pa.array([0, len(rows)], pa.int32())
         return pa.RecordBatch.from_arrays(
@@ -47,9 +95,9 @@ def bundle(features, most=DOCUMENT_FEATURES):
     def documents(batches):
         held, n = [], 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                rows = batch.column(0).slice(at, most - n)
+            at, features = 0, unpacked(batch)
+            while at < len(features):
+                rows = features.slice(at, most - n)
                 held.append(rows)
                 at, n = at + len(rows), n + len(rows)
                 if n == most:
@@ -58,8 +106,9 @@ def bundle(features, most=DOCUMENT_FEATURES):
         if held:
             yield document(pa.concat_arrays(held))
 
-    one = features.select(F.struct(*FEATURE.fieldNames()).alias("feature")).hint("rebalance")
-    return one.mapInArrow(documents, BUNDLE)
+    # Dealt by id: dealing in turn would first sort every row of a task.
+    one = features.select(*FEATURE.fieldNames()).hint("rebalance", F.col("id"))
+    return _packed(one).mapInArrow(documents, BUNDLE)
 
 
 def land_features(features, path, ingested_at=None, form="documents", title=None,

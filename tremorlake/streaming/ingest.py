@@ -8,6 +8,7 @@ or its driver goes on where it was and writes each event once.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import event_time
 from ..functions.measures import seismic_energy
@@ -15,7 +16,9 @@ from ..operators.cleansing import dedup, drop_incomplete, flatten
 from ..operators.filters import dispatch
 from ..operators.serving import serving_rows, upsert_serving
 from ..operators.statistics import HOURLY_SPIKE_SIGMAS
-from ..schemas import COLLECTION, CORRUPT, FEATURE, FEATURE_LINES, LANDING_KEYS, table
+from ..schemas import (
+    COLLECTION, CORRUPT, FEATURE, FEATURE_LINES, LANDING_KEYS, feature_of, table,
+)
 from ..sources import parts
 from ..sources.writers import ingestion_instant, with_landing_keys
 
@@ -36,20 +39,33 @@ def _reader(spark, schema, max_files):
     return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
 
 
-def stream_features(spark, path, max_files=None, form="documents"):
-    """Features of landed documents (or lines) as they arrive."""
+def stream_features(spark, path, max_files=None, form="documents", properties=None):
+    """Features of landed documents (or lines) as they arrive.
+
+    ``properties``: the only ones that are asked for. Spark prunes no nested columns of JSON, so
+    a stream of documents that needs a few says so and the parser builds no others; the rows are
+    the same.
+    """
     if form == "lines":
-        lines = _reader(spark, FEATURE_LINES, max_files).json(path)
-        return lines.select(*FEATURE.fieldNames())
-    documents = _reader(spark, COLLECTION, max_files).option("multiLine", "true").json(path)
+        lines = _reader(spark, FEATURE_LINES, max_files).json(path).select(*FEATURE.fieldNames())
+        return narrowed(lines, properties) if properties else lines
+    schema = table("features f", f=T.ArrayType(feature_of(properties))) if properties else COLLECTION
+    documents = _reader(spark, schema, max_files).option("multiLine", "true").json(path)
     return documents.select(F.explode("features").alias("feature")).select("feature.*")
 
 
+def narrowed(features, properties):
+    """Features with their id and the named properties only."""
+    kept = F.struct(*[F.col(f"properties.{name}").alias(name) for name in properties])
+    return features.select("id", F.when(F.col("properties").isNotNull(), kept).alias("properties"))
+
+
 def _one_per_batch(features):
     """Keep one copy per id within each Arrow batch before the dedup shuffle.
 
     The state operator has no map-side combine of its own; without this an id that fills a
-    third of the input would travel to one task copy by copy.
+    third of the input would travel to one task copy by copy. Only the columns that ``features``
+    has go to Python and through the shuffle, so a caller leaves out what it does not need.
     """
     def keep_first(batches):
         for batch in batches:
@@ -57,8 +73,8 @@ def _one_per_batch(features):
             first = np.unique(codes, return_index=True)[1]
             yield batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
 
-    columns = features.select(*FEATURE.fieldNames())
-    return columns.mapInArrow(keep_first, FEATURE)
+    columns = features.select(*[c for c in FEATURE.fieldNames() if c in features.columns])
+    return columns.mapInArrow(keep_first, columns.schema)
 
 
 def stream_dedup(features, horizon=HORIZON):
@@ -132,12 +148,15 @@ def merge_activity(batch, path, number, slide=None):
     return windows, known
 
 
+ACTIVITY_PROPERTIES = ("mag", "time")  # what activity needs of a feature
+
+
 def stream_activity(features, path, checkpoint, slide=None, trigger=AVAILABLE_NOW):
     """Hourly activity (or of sliding hours), kept up to date by each batch of new events.
 
     Read it with ``current_activity``.
     """
-    new = _measured(stream_dedup(features))
+    new = _measured(stream_dedup(narrowed(features, ACTIVITY_PROPERTIES)))
 
     def merge(batch, number):
         merge_activity(batch, path, number, slide)
